@@ -39,7 +39,10 @@ def n_words() -> Column:
 
 
 def word_chars() -> Column:
-    return F.length(F.array_join("__words", "")).cast("long")
+    text = F.col("__text")
+    for space in " \t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(space), F.lit(""))
+    return F.length(text).cast("long")
 
 
 def n_symbols() -> Column:
@@ -71,12 +74,12 @@ def n_repeat_words() -> Column:
 
 
 def stuttered() -> Column:
-    """Words that equal the word before them."""
-    return F.size(F.filter("__words", lambda w, i: F.coalesce(w == F.get("__words", i - 1), F.lit(False)))).cast("long")
+    """Words that equal the word before them (counted as words whose next word is equal)."""
+    return F.regexp_count(F.col("__text"), F.lit(r"(?<!\S)(\S++)(?=\s++\1(?!\S))")).cast("long")
 
 
 def shouted() -> Column:
-    return F.regexp_count(F.col("__text"), F.lit("!")).cast("long")
+    return (F.octet_length("__text") - F.octet_length(F.replace(F.col("__text"), F.lit("!"), F.lit("")))).cast("long")
 
 
 def base_rules() -> list[Rule]:
@@ -86,14 +89,18 @@ def base_rules() -> list[Rule]:
     ]
 
 
-def method_rules() -> list[Rule]:
-    """Rules on the share of symbols, shouting, stuttering and repeated lines, and on the mean length of words."""
+def method_rules(known: bool = False) -> list[Rule]:
+    """Rules on the share of symbols, shouting, stuttering and repeated lines, and on the mean length of words.
+
+    ``known``: the base measures are columns already, named as in :func:`verdicts`.
+    """
+    n, symbols, dups, chars = (F.col(m.__name__) if known else m() for m in (n_words, n_symbols, n_dup_lines, word_chars))
     return [
-        Rule("symbols", 10 * n_symbols() > 3 * n_words()),
-        Rule("shouting", 10 * shouted() > 3 * n_words()),
-        Rule("stutter", 10 * stuttered() > 3 * n_words()),
-        Rule("duplicate_lines", (n_dup_lines() >= 4) & (10 * n_dup_lines() > 6 * F.size(F.split("__text", "\n")))),
-        Rule("word_length", (word_chars() < 2 * n_words()) | (word_chars() > 25 * n_words())),
+        Rule("symbols", 10 * symbols > 3 * n),
+        Rule("shouting", 10 * shouted() > 3 * n),
+        Rule("stutter", 10 * stuttered() > 3 * n),
+        Rule("duplicate_lines", (dups >= 4) & (10 * dups > 6 * F.size(F.split("__text", "\n")))),
+        Rule("word_length", (chars < 2 * n) | (chars > 25 * n)),
     ]
 
 
@@ -141,7 +148,8 @@ def keep(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """A row per document: the base measures, and whether the cascade keeps it."""
-    rules = ordered(docs.select("text"), method_rules())
+    at = {r.name: i for i, r in enumerate(ordered(docs.select("text"), method_rules()))}
+    rules = sorted(method_rules(known=True), key=lambda r: at[r.name])
     measured = prepared(docs.select("doc_id", "text")).select(
         "doc_id",
         "__text",

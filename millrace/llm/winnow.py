@@ -2,13 +2,13 @@
 
 A window is ten consecutive words of a benchmark item, or the whole of a shorter item. Both sides hash their k-grams of
 words (k = 5) and keep, for every window of a text, the smallest k-gram hash in it: its fingerprint. Equal windows have
-equal fingerprints, so every shared window is found by joining fingerprints; runs of windows with one fingerprint
-travel as one row, with the word hashes around them. A joined run is then extended: each of its windows is compared
-with the benchmark's windows as a whole, and the words of those that occur are hit.
+equal fingerprints, so every shared window is found by joining fingerprints. A joined position is then extended: the
+document's whole window there is compared with the benchmark's, and the words of those that occur are hit.
 
-The documents are read once. Only fingerprints are joined; the benchmark's are broadcast while their counted number
-stays within ``BROADCAST_FINGERPRINTS`` and joined by a shuffle beyond. Windows are compared by 64-bit hashes of their
-words' hashes besides the fingerprint.
+Only positions and fingerprints are joined; the benchmark's are broadcast while their counted number stays within
+``BROADCAST_FINGERPRINTS`` and joined by a shuffle beyond. The texts are read a second time for the extension, but only
+those with a joined position are cut into words again. Windows are compared by 64-bit hashes of their words' hashes
+besides the fingerprint.
 
 Defined results: null and empty texts have no words and no hits; null, empty and repeated items are allowed (repeated
 ids count once); each row of documents gets a row, repeated rows too.
@@ -50,25 +50,12 @@ def _fingerprints(h: Column, length: int) -> Column:
     return common.rolling(_spans(h, k), length - k + 1, F.least)
 
 
-def _runs(h: Column, length: int) -> Column:
-    """Runs of windows with one fingerprint: struct(len, fp, first window, hashes of the words that they span)."""
-
-    def cut(f: Column) -> Column:
-        starts = F.array_compact(F.transform(f, lambda x, i: F.when((i == 0) | (F.get(f, i - 1) != x), i)))
-        return common.let(
-            starts,
-            lambda s: F.transform(
-                s,
-                lambda p, i: F.struct(
-                    F.lit(length).alias("len"),
-                    F.get(f, p).alias("fp"),
-                    p.alias("first"),
-                    F.slice(h, p + 1, F.coalesce(F.get(s, i + 1), F.size(f)) - p + (length - 1)).alias("around"),
-                ),
-            ),
-        )
-
-    return common.let(_fingerprints(h, length), cut)
+def _window_at(h: Column, pos: Column, length: Column, lengths: list[int]) -> Column:
+    """The hash that _spans gives the window of ``length`` words at ``pos``."""
+    out = F.lit(None).cast("bigint")
+    for n in lengths:
+        out = F.when(length == n, _spans(F.slice(h, pos + 1, n), n)[0]).otherwise(out)
+    return out
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -84,13 +71,6 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return out.select("len", F.col("x.fp").alias("fp"), F.col("x.window").alias("window"), "item_id").distinct()
 
 
-def _window_hashes(lengths: list[int]) -> Column:
-    out = F.array().cast("array<bigint>")
-    for length in lengths:
-        out = F.when(F.col("len") == length, _spans(F.col("around"), length)).otherwise(out)
-    return out
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, __key, n_words, n_hit, n_items, items_sha256 and contaminated for every row of ``docs``."""
     bench = common.materialize(benchmark_windows(benchmark.select("item_id", "text")), "bench-windows")
@@ -98,25 +78,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     prints = bench.select("len", "fp").distinct()
     n = prints.count()
 
-    hashed = docs.select("doc_id", common.row_key().alias("__key"), word_hashes(F.col("text")).alias("h"))
-    # The first entry stands for the document itself, so that one pass over the texts gives words and runs.
-    itself = F.array(F.struct(F.lit(0).alias("len"), F.lit(None).cast("long").alias("fp"), F.lit(-1).alias("first"), F.array().cast("array<bigint>").alias("around")))
-    runs = F.concat(itself, *[_runs(F.col("h"), x) for x in lengths])
-    spread = hashed.select("doc_id", "__key", F.size("h").alias("n_words"), F.explode(runs).alias("r")).select("doc_id", "__key", "n_words", "r.*")
-    known = prints.unionByName(prints.sparkSession.createDataFrame([(0, None)], "len int, fp long"))
-    same = spread["len"].eqNullSafe(known["len"]) & spread["fp"].eqNullSafe(known["fp"])
-    if n > BROADCAST_FINGERPRINTS:
-        # A shuffled join: the documents' own rows must not all meet under one key.
-        met = spread.where("len = 0").unionByName(spread.where("len > 0").join(prints, ["len", "fp"], "left_semi").select(spread.columns))
+    hashed = docs.select("doc_id", common.row_key().alias("__key"), F.col("text"), word_hashes(F.col("text")).alias("h"))
+    # An entry of length 0 stands for the document itself, so that one pass over the texts gives words and fingerprints.
+    struct = lambda length, fp: F.struct(F.lit(length).alias("len"), fp.alias("fps"))
+    sets = F.array(struct(0, F.array(F.size("h").cast("long"))), *[struct(x, _fingerprints(F.col("h"), x)) for x in lengths])
+    spread = hashed.select("doc_id", "__key", F.explode(sets).alias("r")).select("doc_id", "__key", "r.len", F.posexplode("r.fps").alias("pos", "fp"))
+    if n <= BROADCAST_FINGERPRINTS:
+        # One pass: the documents' own entries pass the broadcast join unmatched.
+        marked = spread.join(F.broadcast(prints.withColumn("known", F.lit(True))), ["len", "fp"], "left")
+        met = marked.where("len = 0 or known").select("doc_id", "__key", "len", "pos", "fp")
     else:
-        met = spread.join(F.broadcast(known), same, "left_semi")
-    met = common.materialize(met, "winnow-runs")
-
-    # Extension: every window of a joined run, held against the benchmark's windows as a whole.
-    grown = met.where("len > 0").select("doc_id", "__key", "len", "fp", "first", F.posexplode(_window_hashes(lengths)).alias("j", "window"))
-    hits = grown.select("doc_id", "__key", "len", "fp", "window", (F.col("first") + F.col("j")).alias("s"))
+        met = spread.where("len = 0").unionByName(spread.where("len > 0").join(prints, ["len", "fp"], "left_semi").select(spread.columns))
+    met = common.materialize(met, "winnow-met")
+    own = met.where("len = 0").select("doc_id", "__key", F.col("fp").alias("n_words"))
+
+    # Extension: the whole window at every joined position, held against the benchmark's windows.
+    at = met.where("len > 0").groupBy("__key").agg(F.collect_set(F.struct("len", "pos", "fp")).alias("at"))
+    at = common.materialize(at, "winnow-at")
+    texts = docs.select(common.row_key().alias("__key"), "text").join(common.small(at, at.count(), BROADCAST_FINGERPRINTS // 10), "__key").dropDuplicates(["__key"])
+    again = texts.select("__key", "at", word_hashes(F.col("text")).alias("h"))
+    windows = F.transform("at", lambda x: F.struct(x["len"].alias("len"), x["fp"].alias("fp"), x["pos"].alias("s"), _window_at(F.col("h"), x["pos"], x["len"], lengths).alias("window")))
+    grown = again.select("__key", F.explode(windows).alias("x")).select("__key", "x.*")
     whole = bench.select("len", "fp", "window").distinct()
-    hits = common.materialize(hits.join(common.small(whole, n, BROADCAST_FINGERPRINTS // 10), ["len", "fp", "window"], "left_semi").distinct(), "winnow-hits")
+    hits = common.materialize(grown.join(common.small(whole, n, BROADCAST_FINGERPRINTS // 10), ["len", "fp", "window"], "left_semi"), "winnow-hits")
 
     spans = hits.groupBy("__key").agg(F.sort_array(F.collect_set(F.struct("s", (F.col("s") + F.col("len")).alias("e")))).alias("spans"))
     union = F.aggregate(
@@ -129,7 +113,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = hits.select("__key", "len", "fp", "window").distinct().join(bench, ["len", "fp", "window"]).select("__key", F.col("item_id").cast("string").alias("item")).distinct()
     listed = items.groupBy("__key").agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.sort_array(F.collect_list("item")), ",").alias("items"))
     found = covered.join(listed, "__key", "left")
-    own = met.where("len = 0").select("doc_id", "__key", F.col("n_words").cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return own.join(found, "__key", "left").select(
         "doc_id",
