@@ -6,17 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mix, pii, quality_rules, simhash_cover, winnow
+from . import chat, langid, licenses, mix, pii, quality_knn, quality_rules, simhash_cover, toxicity, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_neighbours": quality_knn.query,
+    "op2_chat_snapshots": chat.query,
+    "op3_license_patience": licenses.query,
     "op4_winnowing_decontamination": winnow.query,
     "op5_systematic_mixing": mix.query,
     "op6_anchor_pii": pii.query,
     "op7_quality_cascade": quality_rules.query,
+    "op8_language_bytes": langid.query,
+    "op9_toxicity_conv": toxicity.query,
     "op10_simhash_anchor_cover": simhash_cover.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat_snapshots": chat.SQL,
     "op4_winnowing_decontamination": winnow.SQL,
     "op5_systematic_mixing": mix.SQL,
     "op7_quality_cascade": quality_rules.SQL,
