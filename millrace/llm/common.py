@@ -2,61 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.arrays import let, rolling
+from millrace.plans.storage import materialize, shared_dir
+
+__all__ = ["id_crc", "let", "materialize", "rolling", "row_key", "shared_dir", "small", "table", "words"]
+
 #: Runs of ASCII white space; what lies between them are words.
 WHITESPACE = r"[\x20\x09-\x0D]+"
 #: Most rows that a broadcast key table may have; beyond it Spark picks a shuffled join.
 BROADCAST_ROWS = 500_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors share; a temporary one only where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/millrace-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast if its counted ``rows`` stay within ``limit``; else leave the join to Spark."""
     return F.broadcast(df) if rows <= limit else df
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once, however often the body (or a lambda in it) uses it."""
-    return F.transform(F.array(value), body)[0]
-
-
-def rolling(values: Column, n: int, combine: Callable[[Column, Column], Column]) -> Column:
-    """``combine`` over every run of ``n`` elements, by doubling: log2(n) passes, whatever n is.
-
-    A run that is no power of two is combined from two overlapping halves, so ``combine`` must allow that (a minimum
-    does; so does a hash, which only has to tell runs apart). Empty where the array has fewer than ``n`` elements.
-    """
-
-    def grow(cur: Column, size: int) -> Column:
-        if size == n:
-            return cur
-        step = size if 2 * size <= n else n - size
-        return let(cur, lambda c: grow(F.transform(c, lambda x, i: combine(x, F.get(c, i + step))), size + step))
-
-    return let(values, lambda v: F.slice(grow(v, 1), F.lit(1), F.greatest(F.size(v) - (n - 1), F.lit(0))))
-
-
 def words(text: Column, breaks: str = WHITESPACE) -> Column:
     """The words of a text between ``breaks``; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), breaks), "")

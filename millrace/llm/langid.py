@@ -149,13 +149,15 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
 
 def sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> list[tuple[str, str]]:
     """(text, lang) of about ``per_language`` documents of each language, chosen by a hash of the id over all rows."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    counts = common.materialize(known.groupBy("lang").agg(F.count(F.lit(1)).alias("__n")), "languages")
+    n = counts.count()
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(float(per_language)) / F.col("__n")
-    # A table of languages, one row each; Spark broadcasts it if its size allows.
-    chosen = known.select("doc_id", "text", "lang").join(counts, "lang").where(draw < share)
-    return [(r[0], r[1]) for r in chosen.orderBy(draw, "lang").limit(2 * per_language * max(1, counts.count())).select("text", "lang").collect()]
+    # Ids and languages are chosen first; the chosen ones, at most 2 * per_language * n, then meet the texts.
+    chosen = known.select("doc_id", "lang").join(common.small(counts, n), "lang").where(draw < F.lit(float(per_language)) / F.col("__n"))
+    chosen = chosen.orderBy(draw, "lang").limit(2 * per_language * max(1, n)).select("doc_id", F.col("lang").alias("__lang"))
+    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").where(F.col("lang") == F.col("__lang")).where(F.col("text").isNotNull())
+    return [(r[0], r[1]) for r in rows.orderBy(draw, "lang", "text").limit(2 * per_language * max(1, n)).select("text", "lang").collect()]
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -188,8 +188,11 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced by its kind; ``n_chars``, where there is one, follows the text."""
 
-    clean = F.arrow_udf(lambda x: pa.array([redacted(t) for t in x.to_pylist()], pa.string()), "string", F.ArrowUDFType.SCALAR)
-    out = docs.withColumn("text", clean(F.col("text").cast("string")))
+
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array([redacted(t) for t in x.to_pylist()], pa.string())
+
+    out = docs.withColumn("text", F.arrow_udf(run, "string")(F.col("text").cast("string")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
