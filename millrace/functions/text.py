@@ -44,9 +44,9 @@ def format_tokens(n: Column) -> Column:
     """A count with the suffix Md, M or k."""
     d = n.cast("double")
     return (
-        F.when(n >= 10**9, F.format_string("%.2f Md", d / 1e9))
-        .when(n >= 10**6, F.format_string("%.2f M", d / 1e6))
-        .when(n >= 10**3, F.format_string("%.1f k", d / 1e3))
+        F.when(n >= 10**9, F.format_string("%.2f Md", F.bround(d / 1e9, 2)))
+        .when(n >= 10**6, F.format_string("%.2f M", F.bround(d / 1e6, 2)))
+        .when(n >= 10**3, F.format_string("%.1f k", F.bround(d / 1e3, 1)))
         .otherwise(n.cast("string"))
     )
 

@@ -13,7 +13,7 @@ from millrace.functions import stopwords
 from millrace.functions import text as T
 from millrace.operators import dedup, evaluation, filters, mixture, novelty, ops, retrieval, tokenizer, tokens
 from millrace.plans.storage import materialize, shared_dir
-from millrace.sources import SOURCES, instructions
+from millrace.sources import SOURCES, hash_split, instructions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -463,3 +463,75 @@ def str_unique(spark: SparkSession, d: str) -> DataFrame:
     rows = streaming.documents(spark, f"{at}/in", format="parquet", schema="doc_id bigint, text string")
     streaming.ingest(streaming.unique(rows), f"{at}/out", f"{at}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{at}/out").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("flt_hash_split", "SELECT doc_id, ('0x' || substr(md5('docs/' || doc_id), 1, 15))::BIGINT % 10000 < 1500 AS held FROM documents")
+def flt_hash_split(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d, "doc_id").select("doc_id", hash_split(F.concat(F.lit("docs/"), F.col("doc_id").cast("string")), 0.15).alias("held"))
+
+
+@query("ded_band_keys")
+def ded_band_keys(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.band_keys(docs(spark, d, "doc_id", "text")).select("doc_id", F.posexplode("keys").alias("band", "key"))
+
+
+@query(
+    "tok_compare",
+    rf"""WITH c AS (SELECT sum(length(text))::BIGINT AS chars, sum(len({_WORDS}))::BIGINT AS words, sum(len(regexp_extract_all(text, '{_SIMPLE}')))::BIGINT AS pieces FROM documents)
+SELECT 'chars' AS tokenizer, chars AS tokens, 0.0::DOUBLE AS tokens_saved FROM c UNION ALL SELECT 'words', words, round_even(1 - words::DOUBLE / chars, 4) FROM c UNION ALL SELECT 'pieces', pieces, round_even(1 - pieces::DOUBLE / chars, 4) FROM c""",
+)
+def tok_compare(spark: SparkSession, d: str) -> DataFrame:
+    rows = docs(spark, d)
+    counters = {"chars": F.length("text"), "words": T.n_words(F.col("text")), "pieces": F.regexp_count(F.col("text"), F.lit(f"(?U){_SIMPLE}"))}
+    parts = [tokenizer.measure(rows, n).select(F.lit(name).alias("tokenizer"), F.lit(None).cast("string").alias("grp"), "tokens") for name, n in counters.items()]
+    return tokenizer.compare(parts[0].unionByName(parts[1]).unionByName(parts[2]), "chars").select("tokenizer", "tokens", "tokens_saved")
+
+
+@query("prj_format_tokens", "SELECT o_orderkey, CASE WHEN n >= 1000000 THEN printf('%.2f M', n / 1e6) WHEN n >= 1000 THEN printf('%.1f k', n / 1e3) ELSE n::VARCHAR END AS shown FROM (SELECT o_orderkey, o_orderkey * 250 AS n FROM orders)")
+def prj_format_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", T.format_tokens(F.col("o_orderkey") * 250).alias("shown"))
+
+
+@query(
+    "evl_compare_runs",
+    """WITH m AS (SELECT event_type AS measure, avg(value) FILTER (user_id % 2 = 0) AS base, avg(value) FILTER (user_id % 2 = 1) AS tuned FROM events GROUP BY event_type)
+SELECT measure, round(base, 6) AS base, round(tuned, 6) AS tuned, round(tuned / base - 1, 6) AS change FROM m""",
+)
+def evl_compare_runs(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events")
+    half = lambda k: rows.where(F.col("user_id") % 2 == k).groupBy(F.col("event_type").alias("measure")).agg(F.avg("value").alias("value")).withColumn("kind", F.lit("ppl"))
+    return evaluation.compare_runs(half(0), half(1)).select("measure", *[F.round(c, 6).alias(c) for c in ("base", "tuned", "change")])
+
+
+@query(
+    "evl_sweep_verdict",
+    """WITH b AS (SELECT p_brand AS optimizer, p_size AS width, arg_min(p_partkey, (p_retailprice, p_partkey)) AS lr FROM part GROUP BY ALL)
+SELECT optimizer, count(DISTINCT lr) = 1 AS transfers, count(*) AS widths FROM b GROUP BY optimizer""",
+)
+def evl_sweep_verdict(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("optimizer"), F.col("p_size").alias("width"), F.col("p_partkey").alias("lr"), F.col("p_retailprice").alias("loss"))
+    return evaluation.sweep_verdict(rows).select("optimizer", "transfers", F.size("best").cast("bigint").alias("widths"))
+
+
+@query(
+    "spl_targets",
+    """SELECT event_id AS i, list_transform(range(1, 4), lambda k: CASE WHEN (event_id + k) % 3 = 0 THEN -100 ELSE user_id + k END)::VARCHAR AS targets FROM events""",
+)
+def spl_targets(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events")
+    ids = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.col("user_id") + k)
+    mask = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.when((F.col("event_id") + k) % 3 == 0, 0).otherwise(1))
+    out = tokens.shifted(rows.select(F.col("event_id").alias("i"), ids.alias("ids"), mask.alias("mask")))
+    return out.select("i", F.concat(F.lit("["), F.array_join(F.transform("targets", lambda t: t.cast("string")), ", "), F.lit("]")).alias("targets"))
+
+
+@query("ops_coverage", "SELECT user_id, round(1 - exp(-count(*)::DOUBLE / 500), 9) AS coverage FROM events GROUP BY user_id")
+def ops_coverage(spark: SparkSession, d: str) -> DataFrame:
+    seen = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return seen.select("user_id", F.round(ops.coverage(F.col("n").cast("double"), F.lit(500)), 9).alias("coverage"))
+
+
+@query("ops_recent", "SELECT o_orderkey AS label, o_totalprice / 500000 >= 0.5 AS alert FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
+def ops_recent(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("label"), (F.col("o_orderstatus") == "F").alias("complete"), F.col("o_orderdate").alias("created_at"), (F.col("o_totalprice") / 500_000).alias("overlap"))
+    return ops.recent(rows, 50).select("label", "alert")
