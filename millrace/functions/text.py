@@ -41,7 +41,7 @@ def estimate_tokens(count: Column) -> Column:
 
 
 def format_tokens(n: Column) -> Column:
-    """A count with the suffix Md, M or k."""
+    """A count with the suffix Md, M or k; decimal ties go to the even digit."""
     d = n.cast("double")
     return (
         F.when(n >= 10**9, F.format_string("%.2f Md", F.bround(d / 1e9, 2)))
