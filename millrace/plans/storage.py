@@ -7,6 +7,7 @@ import json
 import tempfile
 import uuid
 from datetime import UTC, datetime
+from functools import lru_cache
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +15,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    """``spark.checkpoint.dir``; where that is unset (tests, one machine), a temporary folder of this process."""
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+
+
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="millrace-")
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

@@ -107,3 +107,15 @@ def test_streams(spark, tmp_path):
     streaming.near_unique(streaming.documents(spark, str(tmp_path / "in"), max_files=1), str(tmp_path / "near"), str(tmp_path / "cp2"), bands=16, rows=4).awaitTermination()
     kept = spark.read.option("recursiveFileLookup", "true").parquet(*[str(p) for p in (tmp_path / "near").glob("batch=*/docs")])
     assert kept.count() == 3
+
+
+def test_shared_folder_without_a_setting(spark, monkeypatch):
+    class Unset:
+        def __init__(self):
+            self.conf = self
+
+        def get(self, name, default=None):
+            return default
+
+    assert storage.shared_dir(Unset()) == storage.shared_dir(Unset())
+    assert storage.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
