@@ -63,13 +63,17 @@ def _fold(t: str) -> str:
 
 
 def nfc(text: Column) -> Column:
-    """Composed form. Spark has no function for it, so texts with a character beyond Latin-1 take an Arrow UDF."""
-    return F.when(text.rlike(r"[^\x00-\x{2FF}]"), _mapped(lambda t: unicodedata.normalize("NFC", t))(text)).otherwise(text)
+    """Composed form. Spark has no function for it, so texts with a character from U+0300 on take an Arrow UDF.
+
+    A UDF is evaluated for every row, so the others go to it as nulls.
+    """
+    there = F.when(text.rlike(r"[^\x00-\x{2FF}]"), text)
+    return F.coalesce(_mapped(lambda t: unicodedata.normalize("NFC", t))(there), text)
 
 
 def fold(text: Column) -> Column:
     """Lower case without accents; ASCII texts stay on the JVM."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), _mapped(_fold)(text)).otherwise(F.lower(text))
+    return F.coalesce(_mapped(_fold)(F.when(text.rlike(r"[^\x00-\x7F]"), text)), F.lower(text))
 
 
 def normalize(text: Column, *, unify_apostrophes: bool = True, compose: bool = True) -> Column:
