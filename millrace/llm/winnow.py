@@ -95,8 +95,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # Extension: the whole window at every joined position, held against the benchmark's windows.
     at = met.where("len > 0").groupBy("__key").agg(F.collect_set(F.struct("len", "pos", "fp")).alias("at"))
     at = common.materialize(at, "winnow-at")
-    texts = docs.select(common.row_key().alias("__key"), "text").join(common.small(at, at.count(), BROADCAST_FINGERPRINTS // 10), "__key").dropDuplicates(["__key"])
-    again = texts.select("__key", "at", word_hashes(F.col("text")).alias("h"))
+    # Only keys are broadcast, 8 bytes a row; the positions meet the few texts' hashes in a shuffled join.
+    keys = common.small(at.select("__key"), at.count())
+    texts = docs.select(common.row_key().alias("__key"), "text").join(keys, "__key", "left_semi")
+    again = texts.select("__key", word_hashes(F.col("text")).alias("h")).dropDuplicates(["__key"]).join(at.hint("merge"), "__key")
     windows = F.transform("at", lambda x: F.struct(x["len"].alias("len"), x["fp"].alias("fp"), x["pos"].alias("s"), _window_at(F.col("h"), x["pos"], x["len"], lengths).alias("window")))
     grown = again.select("__key", F.explode(windows).alias("x")).select("__key", "x.*")
     whole = bench.select("len", "fp", "window").distinct()
