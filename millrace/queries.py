@@ -212,8 +212,7 @@ r AS (SELECT *, coalesce(sum(est) OVER (PARTITION BY source ORDER BY doc_id ROWS
 SELECT doc_id, source, k AS pass_no FROM (SELECT *, unnest(range(CASE WHEN total > 0 THEN ceil(take / total)::BIGINT ELSE 1 END)) AS k FROM r JOIN p USING (source)) WHERE before + k * total < take""",
 )
 def mix_assemble(spark: SparkSession, d: str) -> DataFrame:
-    got = mixture.available(docs(spark, d)).select("source", F.least("tokens", F.lit(1000).cast("bigint")).alias("take"), F.lit(1.0).alias("repeats"))
-    return mixture.assemble(docs(spark, d), got).select("doc_id", "source", "pass_no")
+    return mixture.assemble(docs(spark, d), _plan(spark, d)).select("doc_id", "source", "pass_no")
 
 
 @query(
