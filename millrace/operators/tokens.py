@@ -70,11 +70,13 @@ def draw(found: DataFrame, n: int, window: int, seed: int, split: str = "train")
 
 def sequential(found: DataFrame, window: int, batch: int = 1, split: str = "val") -> DataFrame:
     """Windows side by side inside each zone, in order, full batches only: (i, pos)."""
-    inside = found.where((F.col("split") == split) & (F.col("len") >= window))
-    starts = inside.select(F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - window, F.lit(window).cast("bigint"))).alias("pos"))
-    numbered = starts.withColumn("i", F.row_number().over(W.orderBy("pos")) - 1)  # a row per validation window
-    n = F.count(F.lit(1)).over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    return numbered.withColumn("__n", n).where(F.col("i") < F.floor(F.col("__n") / batch) * batch).select("i", "pos")
+    fits = found.where((F.col("split") == split) & (F.col("len") >= window)).select("start", F.floor(F.col("len") / window).alias("fits"))
+    before = W.orderBy("start").rowsBetween(W.unboundedPreceding, -1)  # a row per zone
+    placed = fits.withColumn("cum", F.coalesce(F.sum("fits").over(before), F.lit(0)))
+    total = placed.agg(F.sum("fits")).first()[0] or 0
+    numbered = found.sparkSession.range(total // batch * batch).withColumnRenamed("id", "i")
+    inside = (F.col("i") >= F.col("cum")) & (F.col("i") < F.col("cum") + F.col("fits"))
+    return numbered.join(F.broadcast(placed), inside).select("i", (F.col("start") + (F.col("i") - F.col("cum")) * window).alias("pos"))
 
 
 def windows(packed: DataFrame, positions: DataFrame, length: int, block: int = 1 << 16) -> DataFrame:

@@ -285,23 +285,29 @@ def tok_sft_mask(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.size(ids).cast("bigint").alias("n_ids"), F.aggregate(mask, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_supervised"))
 
 
+def _zones(spark: SparkSession, d: str) -> DataFrame:
+    """Zones over the tokens that the documents hold: a tenth for validation, in up to 20 blocks."""
+    total = docs(spark, d, "text").agg(F.sum(T.n_words(F.col("text")).cast("bigint"))).first()[0] or 0
+    return tokens.zones(spark, total, total // 10, min(20, total // 10))
+
+
 @query(
     "spl_zones",
     """WITH v AS (SELECT i * 10000 + 4500 AS start, 1000 AS len FROM range(20) t(i)), t AS (SELECT coalesce(lag(start + len) OVER (ORDER BY start), 0) AS s, start AS e FROM v UNION ALL SELECT 19 * 10000 + 5500, 200000)
 SELECT 'val' AS split, start, len::BIGINT AS len FROM v UNION ALL SELECT 'train', s, e - s FROM t WHERE e > s""",
 )
 def spl_zones(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.zones(spark, 200_000, 20_000, 20)
+    return _zones(spark, d)
 
 
 @query("spl_sequential", "SELECT row_number() OVER (ORDER BY pos) - 1 AS i, pos FROM (SELECT i * 10000 + 4500 + 129 * k AS pos FROM range(20) t(i), range(7) u(k)) ORDER BY pos LIMIT 136")
 def spl_sequential(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.sequential(tokens.zones(spark, 200_000, 20_000, 20), 129, batch=8)
+    return tokens.sequential(_zones(spark, d), 129, batch=8)
 
 
 @query("spl_draw")
 def spl_draw(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.draw(tokens.zones(spark, 200_000, 20_000, 20), 1000, 129, seed=7)
+    return tokens.draw(_zones(spark, d), 1000, 129, seed=7)
 
 
 @query(
@@ -311,9 +317,10 @@ SELECT p // 5000 AS i, sum(id)::BIGINT AS total, count(*) AS n FROM g WHERE p %
 )
 def spl_windows(spark: SparkSession, d: str) -> DataFrame:
     packed = materialize(tokens.pack(_ids(spark, d)), "packed")
-    total = packed.agg(F.sum(F.size("ids").cast("bigint"))).first()[0]
-    at = spark.range((total - 33) // 5000).select(F.col("id").alias("i"), (F.col("id") * 5000).alias("pos"))
-    got = tokens.windows(packed, at, 33)
+    total = packed.agg(F.sum(F.size("ids").cast("bigint"))).first()[0] or 0
+    # Side by side over the whole stream; the last window has what is left.
+    at = spark.range(-(-total // 33)).select(F.col("id").alias("i"), (F.col("id") * 33).alias("pos"))
+    got = tokens.windows(packed, at, 33, block=1 << 12)
     return got.select("i", F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), F.size("ids").cast("bigint").alias("n"))
 
 
