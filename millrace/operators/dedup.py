@@ -40,9 +40,10 @@ def lsh_threshold(bands: int, rows: int) -> float:
     return (1 / bands) ** (1 / rows)
 
 
-def word_hashes(text: Column, max_words: int = 5000) -> Column:
-    """crc32 of the first words, lower-cased (the bound is the operator's own definition, a parameter)."""
-    return F.transform(F.slice(T.words(F.lower(text)), 1, max_words), lambda w: F.crc32(w.cast("binary")))
+def word_hashes(text: Column, max_words: int | None = None) -> Column:
+    """crc32 of the words, lower-cased; of the first ``max_words``, where a bound is asked for."""
+    words = T.words(F.lower(text))
+    return F.transform(words if max_words is None else F.slice(words, 1, max_words), lambda w: F.crc32(w.cast("binary")))
 
 
 def shingle_hashes(hashes: Column, size: int = 5) -> Column:
@@ -67,7 +68,7 @@ def coefficients(permutations: int, seed: int) -> np.ndarray:
     return np.stack([rng.integers(1, 1 << 32, permutations, dtype=np.uint64) | 1, rng.integers(0, 1 << 32, permutations, dtype=np.uint64)])
 
 
-def band_keys(docs: DataFrame, *, bands: int = 16, rows: int = 8, shingle_size: int = 5, max_words: int = 5000, seed: int = 1337) -> DataFrame:
+def band_keys(docs: DataFrame, *, bands: int = 16, rows: int = 8, shingle_size: int = 5, max_words: int | None = None, seed: int = 1337) -> DataFrame:
     """doc_id and ``keys``: a hash per band of the MinHash signature; no keys for texts shorter than a shingle."""
     c = coefficients(bands * rows, seed)
     kind = docs.schema["doc_id"].dataType.simpleString()
