@@ -119,12 +119,13 @@ def strip_book_frame(text: Column) -> Column:
     return strip(let(after, lambda t: F.split(t, end, 2)[0]))
 
 
-def language_scores(text: Column, *, max_tokens: int = 2000, least: int = 20) -> dict[str, Column]:
-    """By language, the share of the first tokens that are its stop words; 0 below ``least`` tokens.
+def language_scores(text: Column, *, max_tokens: int | None = None, least: int = 20) -> dict[str, Column]:
+    """By language, the share of the tokens that are its stop words; 0 below ``least`` tokens.
 
-    The prefix bound is the operator's own definition, a parameter.
+    Only the first ``max_tokens`` count, where a bound is asked for.
     """
-    tokens = F.slice(F.regexp_extract_all(F.lower(text), F.lit(f"({LATIN_TOKEN})"), F.lit(1)), 1, max_tokens)
+    found = F.regexp_extract_all(F.lower(text), F.lit(f"({LATIN_TOKEN})"), F.lit(1))
+    tokens = found if max_tokens is None else F.slice(found, 1, max_tokens)
 
     def score(listed: frozenset) -> Column:
         known = F.array(*[F.lit(w) for w in sorted(listed)])
