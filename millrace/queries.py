@@ -185,7 +185,7 @@ def ded_near(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ded_stats", f"SELECT count(*) AS seen, count_if(exact_copy)::BIGINT AS exact, 0::BIGINT AS near, count_if(NOT exact_copy)::BIGINT AS kept, 1 - count_if(NOT exact_copy)::DOUBLE / count(*) AS removal_rate FROM ({_EXACT})")
 def ded_stats(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.stats(dedup.deduplicate(docs(spark, d, "doc_id", "text"), near=False))
+    return dedup.stats(dedup.deduplicate(docs(spark, d, "doc_id", "text")))
 
 
 @query("mix_available", f"SELECT source, count(*) AS documents, sum(n)::BIGINT AS words, floor(sum(n)::BIGINT * 1.45::DOUBLE)::BIGINT AS tokens FROM (SELECT source, len({_WORDS}) AS n FROM documents) GROUP BY source")
