@@ -32,7 +32,21 @@ from . import common
 WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 THRESHOLD = 0.6
 
-#: Short notices by which documents name a license, and the openings of common license texts.
+_BSD_OPENING = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+_BSD_WARRANTY = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED "
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+    "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF "
+    "USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+    "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+#: Short notices by which documents name a license, and whole license texts and headers.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": (
@@ -41,27 +55,35 @@ TEMPLATES = {
         "software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
         "See the License for the specific language governing permissions and limitations under the License."
     ),
+    "BSD-2-Clause": _BSD_OPENING + _BSD_WARRANTY,
     "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+        _BSD_OPENING + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission. " + _BSD_WARRANTY
     ),
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-header": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
-        "Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+        "Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. "
+        "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/."
     ),
     "MIT": "Released under the MIT License.",
     "MIT-text": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), "
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
-        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
+        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A "
+        "PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
+        "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 #: Words that prose uses too and that therefore do not open a region.
-COMMON = frozenset("a above all and any are as at be by can case copy either except file following for free from general in is it later law list may not notice obtain of on or out person public see the this to use used under with without work you".split())
+COMMON = frozenset("1 2 3 a above action all along an and any are as at authors be been before business but by can case caused charge claim conditions connection contract copy data deal details direct do either even event except file files following for forms free from general goods granted have holder hope however if in including is it its kind later law liable limited list loss may met more must name names neither no nor not notice obtain of on or other otherwise out part particular person persons portions possibility products program provided public purpose received rights see sell services shall should so software source special specific strict subject such that the theory thereof these they this those to under use used useful way whether whom will with without work written you your".split())
 
 
 def words(text: str) -> list[str]:
@@ -142,11 +164,15 @@ def found(text: str | None) -> list[tuple[str, float, int, int]]:
     telling_places = [(i, w) for i, w in enumerate(lowered) if w in telling]
     out = []
     for name, template, own in templates if telling_places else ():
-        repeats = {w for w, n in Counter(template).items() if n > 1}
+        counted = Counter(template)
+        repeats = {w for w, n in counted.items() if n > 1}
         places = [(i, w) for i, w in telling_places if w in own and w not in repeats]
         done = -1
         for first, last in _regions(places, len(template)):
             a0, a1 = max(done + 1, first - len(template)), min(len(lowered), last + len(template) + 1)
+            # No alignment matches more words than the two have in common.
+            if (Counter(lowered[a0:a1]) & counted).total() < THRESHOLD * len(template):
+                continue
             pairs = patience(lowered[a0:a1], template)
             if len(pairs) >= THRESHOLD * len(template):
                 s, e = a0 + pairs[0][0], a0 + pairs[-1][0]
