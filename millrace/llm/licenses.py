@@ -140,22 +140,31 @@ def _prepared() -> tuple[list[tuple[str, list[str], frozenset]], frozenset]:
     return out, frozenset().union(*(x[2] for x in out))
 
 
-def _regions(places: list[tuple[int, str]], length: int) -> list[tuple[int, int]]:
-    """Groups of a template's telling words, as (first, last) places."""
+def _regions(places: list[tuple[int, str]], length: int) -> list[tuple[int, int, int | None]]:
+    """Groups of a template's telling words: first and last place, and where a repeat opens the next group."""
     out, seen, first, last = [], set(), -1, -1
     for i, w in places:
         if first >= 0 and (i - last > length or w in seen):
-            out.append((first, last))
+            out.append((first, last, i if w in seen else None))
             seen, first = set(), -1
         if first < 0:
             first = i
         seen.add(w)
         last = i
     if first >= 0:
-        out.append((first, last))
+        out.append((first, last, None))
     return out
 
 
+def _aligned(lowered: list[str], a0: int, a1: int, template: list[str], counted: Counter) -> list[tuple[int, int]]:
+    """Matched places in a window of the text; none if they cover less than ``THRESHOLD`` of the template."""
+    # No alignment matches more words than the two have in common.
+    if (Counter(lowered[a0:a1]) & counted).total() < THRESHOLD * len(template):
+        return []
+    pairs = patience(lowered[a0:a1], template)
+    return [(a0 + i, j) for i, j in pairs] if len(pairs) >= THRESHOLD * len(template) else []
+
+
 def found(text: str | None) -> list[tuple[str, float, int, int]]:
     """(license, coverage, start, end) of every region that covers at least ``THRESHOLD`` of a template."""
     templates, telling = _prepared()
@@ -168,14 +177,14 @@ def found(text: str | None) -> list[tuple[str, float, int, int]]:
         repeats = {w for w, n in counted.items() if n > 1}
         places = [(i, w) for i, w in telling_places if w in own and w not in repeats]
         done = -1
-        for first, last in _regions(places, len(template)):
+        for first, last, again in _regions(places, len(template)):
             a0, a1 = max(done + 1, first - len(template)), min(len(lowered), last + len(template) + 1)
-            # No alignment matches more words than the two have in common.
-            if (Counter(lowered[a0:a1]) & counted).total() < THRESHOLD * len(template):
-                continue
-            pairs = patience(lowered[a0:a1], template)
-            if len(pairs) >= THRESHOLD * len(template):
-                s, e = a0 + pairs[0][0], a0 + pairs[-1][0]
+            pairs = []
+            # A repeat is the next copy if what follows it is one too; otherwise it is a word too many in this copy.
+            if again is not None and (pairs := _aligned(lowered, a0, again, template, counted)):
+                pairs = pairs if _aligned(lowered, pairs[-1][0] + 1, min(len(lowered), again + len(template) + 1), template, counted) else []
+            if pairs := pairs or _aligned(lowered, a0, a1, template, counted):
+                s, e = pairs[0][0], pairs[-1][0]
                 out.append((name, len(pairs) / len(template), matches[s].start(), matches[e].end()))
                 done = e
     return sorted(out, key=lambda x: (-x[1], -len(TEMPLATES[x[0]]), x[0], x[2]))

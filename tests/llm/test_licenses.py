@@ -25,3 +25,18 @@ def test_bsd_texts_are_told_apart(name, other):
     got = licenses.found(T[name])
     assert got[0][:2] == (name, 1.0)
     assert all(r[1] < 1 for r in got if r[0] == other) or name == "BSD-3-Clause"
+
+
+@pytest.mark.parametrize("name", sorted(T))
+def test_copies_side_by_side_are_two_regions(name):
+    text = f"five other words here now {T[name]} {T[name]}"
+    got = [r for r in licenses.found(text) if r[0] == name]
+    assert [r[1] for r in got] == [1.0, 1.0]
+    assert got[0][2] == 26 and got[0][3] < got[1][2] == 27 + len(T[name])
+
+
+def test_a_doubled_word_is_not_a_second_copy():
+    words = T["MIT-text"].split()
+    at = words.index("MERCHANTABILITY,")
+    got = [r for r in licenses.found(" ".join([*words[: at + 1], *words[at:]])) if r[0] == "MIT-text"]
+    assert len(got) == 1 and got[0][1] == 1.0
