@@ -79,7 +79,7 @@ def build(spark: SparkSession, root: str, config: dict[str, Any], force: bool =
         "corpus": [r.asDict() for r in mixture.available(corpus).collect()],
     }
     if others := config.get("novelty", {}).get("against"):
-        limit = config["novelty"].get("limit", 4000)
+        limit = config["novelty"].get("limit")  # all documents, unless a limit is asked for
         mine = novelty.fingerprints(corpus, limit=limit)
         theirs = None
         for name, path in others.items():
