@@ -1,19 +1,23 @@
-"""What the training-data operators share: intermediate tables, row keys, hold-outs and size-checked broadcasts."""
+"""What the training-data operators share: intermediate tables, row keys, hold-outs, samples and size-checked broadcasts."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.arrays import let, rolling
 from millrace.plans.storage import materialize, shared_dir
 
-__all__ = ["id_crc", "let", "materialize", "rolling", "row_key", "shared_dir", "small", "table", "words"]
+__all__ = ["id_crc", "labelled_sample", "let", "materialize", "rolling", "row_key", "shared_dir", "small", "table", "unused", "words"]
 
 #: Runs of ASCII white space; what lies between them are words.
 WHITESPACE = r"[\x20\x09-\x0D]+"
 #: Most rows that a broadcast key table may have; beyond it Spark picks a shuffled join.
 BROADCAST_ROWS = 500_000
+#: Bounds of a classifier's sample over all labels together: documents, and bytes of their texts.
+SAMPLE_DOCUMENTS = 24_000
+SAMPLE_BYTES = 256 << 20
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -38,3 +42,42 @@ def id_crc(doc_id: str = "doc_id") -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as it takes not to be a column of ``df`` (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def labelled_sample(docs: DataFrame, known: DataFrame, per_label: int, documents: int = SAMPLE_DOCUMENTS, size: int = SAMPLE_BYTES) -> list[tuple]:
+    """(text, label, lang) of a bounded sample of labelled documents, in the order of a hash of their ids.
+
+    ``known`` has doc_id and label, rows without either count for nothing; ``docs`` has doc_id, text and lang, and
+    label too where rows of one id differ in it. Of each
+    label up to ``per_label`` documents are drawn over all rows, fewer if the labels are so many that this would be
+    more than ``documents`` in all (then the most frequent labels first); of these, as many as begin within the label's
+    share of ``size`` bytes. Texts are whole. An id counts once however many rows repeat it, with the smallest of its texts.
+    """
+    spark = docs.sparkSession
+    ids = known.select("doc_id", F.col("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
+    # Counted without a shuffle of ids; twice the share is drawn at first, so an estimate is enough.
+    counts = materialize(ids.groupBy("label").agg(F.approx_count_distinct("doc_id").alias("n")), "sample-labels")
+    n_labels = counts.count()
+    if n_labels > documents:
+        counts = materialize(counts.orderBy(F.desc("n"), "label").limit(documents), "sample-labels")
+        n_labels = documents
+    each = max(1, min(per_label, documents // max(1, n_labels)))
+    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    wide = ids.join(small(counts, n_labels), "label").where(draw < F.lit(2.0 * each + 20) / F.col("n")).select("doc_id", "label").distinct()
+    order = W.partitionBy("label").orderBy(draw, "doc_id")  # about 2 * per_label rows each
+    chosen = wide.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).select("doc_id", "label")
+    chosen = materialize(chosen, "sample-ids")
+    keys = ["doc_id", "label"] if "label" in docs.columns else ["doc_id"]
+    met = docs.select(*keys, F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null")
+    met = met.join(small(chosen, chosen.count()), keys).groupBy("doc_id", "label").agg(F.min(F.struct("text", "lang")).alias("d"))
+    before = F.sum(F.octet_length("d.text").cast("bigint")).over(order.rowsBetween(W.unboundedPreceding, -1))
+    fits = materialize(met.select("doc_id", "label", "d.text", "d.lang", F.coalesce(before, F.lit(0)).alias("before")).where(F.col("before") < F.lit(size // max(1, n_labels))), "sample")
+    return [(r["text"], r["label"], r["lang"]) for r in fits.orderBy(draw, "label").select("text", "label", "lang").collect()]

@@ -6,12 +6,13 @@ byte), so a response is a sum of w looked-up rows and a ReLU. The network is tra
 sample of labelled documents; the whole text of every document is then cut into windows, and a document's answer is
 the mean of its windows' log-probabilities.
 
-``SAMPLE_PER_LANGUAGE`` bounds the sample: about that many documents of each language, chosen by a hash of their ids
-over all rows, at most twice that. Language counts and the choice cover every row.
+``SAMPLE_PER_LANGUAGE`` bounds the sample: up to that many documents of each language, whole, chosen by a hash of their
+ids over all rows; ``common.SAMPLE_DOCUMENTS`` and ``common.SAMPLE_BYTES`` bound it over all languages, however many there
+are. Language counts and the choice cover every row.
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0; so is every text where there is
-nothing to learn from (empty tables, no language). Rows with a null language are never learned from. Ties go to the
-first language by code point. Repeated rows get a row each.
+nothing to learn from (empty tables, no language). Rows with a null language are never learned from; an id that many
+rows repeat is learned from once in each language. Ties go to the first language by code point. Repeated rows get a row each.
 """
 
 from __future__ import annotations
@@ -31,8 +32,6 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 SAMPLE_PER_LANGUAGE = 600
-#: Windows that one document of the sample gives at most to the training (not to its answer).
-TRAINING_WINDOWS = 8
 STEPS = 400
 BATCH = 128
 LETTER = re.compile(r"[^\W\d_]")
@@ -89,14 +88,11 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     """A model from (text, language) rows; the same rows in any order give the same model."""
     languages = sorted({lang for _, lang in rows})
     rng = np.random.default_rng(seed)
-    windows, labels = [], []
-    for text, lang in sorted(rows, key=lambda x: (x[1], x[0])):
-        got, _ = windows_of([text.encode("utf-8", "replace")])
-        if len(got) > TRAINING_WINDOWS:
-            got = got[rng.choice(len(got), TRAINING_WINDOWS, replace=False)]
-        windows.append(got)
-        labels += [languages.index(lang)] * len(got)
-    x, y = (np.concatenate(windows) if windows else np.zeros((0, WINDOW), np.uint8)), np.array(labels, dtype=np.int64)
+    rows = sorted(rows, key=lambda x: (x[1], x[0]))
+    x, counts = windows_of([text.encode("utf-8", "replace") for text, _ in rows])
+    starts = np.cumsum(counts) - counts
+    place = {lang: k for k, lang in enumerate(languages)}
+    y = np.array([place[lang] for _, lang in rows], dtype=np.int64)
     tables = [[rng.normal(0, 0.1, (256, FILTERS)).astype(np.float32) for _ in range(w)] for w in WIDTHS]
     for t in (t for group in tables for t in group):
         t[0] = 0  # padding answers to nothing
@@ -105,21 +101,25 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
         return model
     params = [t for group in tables for t in group] + [model.weights, model.bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    # Languages are drawn evenly, so that a rare one counts as much as a frequent one.
-    by_label = [np.flatnonzero(y == k) for k in range(len(languages))]
+    # Languages are drawn evenly, so that a rare one counts as much as a frequent one; so are a language's documents,
+    # and a document's windows, wherever in the text they are. Rows are ordered by language.
+    sizes = np.bincount(y, minlength=len(languages))
+    edges = np.cumsum(sizes) - sizes
     for step in range(1, STEPS + 1):
-        pick = np.array([rng.choice(by_label[k]) for k in rng.integers(0, len(languages), BATCH)])
+        k = rng.integers(0, len(languages), BATCH)
+        document = edges[k] + (rng.random(BATCH) * sizes[k]).astype(np.int64)
+        pick = starts[document] + (rng.random(BATCH) * counts[document]).astype(np.int64)
         f, at = model.pooled(x[pick])
         p = np.exp(model.log_probabilities(f))
-        p[np.arange(BATCH), y[pick]] -= 1
+        p[np.arange(BATCH), k] -= 1
         p /= BATCH
         grads = []
         back = (p @ model.weights.T) * (f > 0)
         for j, group in enumerate(tables):
             part, where = back[:, j * FILTERS : (j + 1) * FILTERS], at[j]
-            for k in range(len(group)):
+            for offset in range(len(group)):
                 g = np.zeros((256, FILTERS), np.float32)
-                np.add.at(g, (np.take_along_axis(x[pick], where + k, axis=1), np.arange(FILTERS)[None, :]), part)
+                np.add.at(g, (np.take_along_axis(x[pick], where + offset, axis=1), np.arange(FILTERS)[None, :]), part)
                 g[0] = 0
                 grads.append(g)
         grads += [f.T @ p, p.sum(axis=0)]
@@ -148,22 +148,15 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
 
 
 def sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """(text, lang) of about ``per_language`` documents of each language, chosen by a hash of the id over all rows."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    counts = common.materialize(known.groupBy("lang").agg(F.count(F.lit(1)).alias("__n")), "languages")
-    n = counts.count()
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    # Ids and languages are chosen first; the chosen ones, at most 2 * per_language * n, then meet the texts.
-    chosen = known.select("doc_id", "lang").join(common.small(counts, n), "lang").where(draw < F.lit(float(per_language)) / F.col("__n"))
-    chosen = chosen.orderBy(draw, "lang").limit(2 * per_language * max(1, n)).select("doc_id", F.col("lang").alias("__lang"))
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").where(F.col("lang") == F.col("__lang")).where(F.col("text").isNotNull())
-    return [(r[0], r[1]) for r in rows.orderBy(draw, "lang", "text").limit(2 * per_language * max(1, n)).select("text", "lang").collect()]
+    """(text, lang) of up to ``per_language`` documents of each language, chosen by a hash of their ids over all rows."""
+    rows = docs.select("doc_id", "text", "lang", F.col("lang").cast("string").alias("label")).where(F.col("text").isNotNull())
+    return [(text, label) for text, label, _ in common.labelled_sample(rows, rows, per_language)]
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of ``docs``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 150 kB, whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 150 kB, and 200 bytes a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -5,12 +5,13 @@ neighbouring words repeat. Weighted term vectors are projected to ``DIMENSIONS``
 leading right singular vectors of the sample's matrix. The labelled vectors are broadcast; every document's cosines
 with all of them are computed in blocks, and its ``NEIGHBOURS`` nearest vote with their labels, weighted by similarity.
 
-The labelled vectors are a bounded sample: about ``SAMPLE_PER_LABEL`` documents of either label, at most
-twice that, chosen by a hash of the id over all labelled rows. So the broadcast is about 1 MB whatever the corpus.
+The labelled vectors are a bounded sample: up to ``SAMPLE_PER_LABEL`` documents of either label, chosen by a hash of
+the id over all labelled rows (see :func:`common.labelled_sample`). So the broadcast is about 1 MB whatever the corpus.
 
 Defined results: null and empty texts have the zero vector, no neighbour, and the sample's share of label 1 as their
-score; so has every text where nothing is labelled (then 0.5). A document with several labels counts once for each.
-Labels whose document is missing, or null, are not used. Repeated rows get a row each.
+score; so has every text where nothing is labelled (then 0.5). A document with several labels counts once for each;
+one whose id or label is repeated counts once. Labels whose document is missing, or null, are not used. Repeated rows
+get a row each.
 """
 
 from __future__ import annotations
@@ -144,18 +145,12 @@ def train(rows: list[tuple[str, int]]) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> list[tuple[str, int]]:
-    """(text, label) of about ``per_label`` documents of either label, chosen by a hash of the id over all rows.
+    """(text, label) of up to ``per_label`` documents of either label, chosen by a hash of the id over all rows.
 
     Only rows whose crc32 of the id is not divisible by 5 are learned from.
     """
-    known = labels.select("doc_id", F.col(label).cast("int").alias("__label")).where(F.col("__label").isin(0, 1) & F.col("doc_id").isNotNull() & (common.id_crc() % 5 != 0))
-    counts = known.groupBy("__label").agg(F.count(F.lit(1)).alias("__n"))
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = known.join(F.broadcast(counts), "__label").where(draw < F.lit(float(per_label)) / F.col("__n"))
-    chosen = chosen.orderBy(draw, "__label").limit(4 * per_label).select("doc_id", "__label")
-    # Two labels and the sample's bound: at most 4 * per_label rows are broadcast and collected.
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").orderBy(draw, "__label", "text").limit(4 * per_label)
-    return [(r[0], r[1]) for r in rows.select("text", "__label").collect()]
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (common.id_crc() % 5 != 0))
+    return [(text, y) for text, y, _ in common.labelled_sample(docs.select("doc_id", "text", F.lit(None).alias("lang")), known, per_label)]
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
