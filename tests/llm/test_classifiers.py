@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from millrace.llm import langid, quality_knn, toxicity
+from millrace.llm import common, langid, quality_knn, toxicity
 
 SYLLABLES = {"en": "th er on an re he in ed nd ha", "de": "sch ung en er ich ü ei ge nd", "fr": "eau ou è on qu ai en ré é", "es": "ción ñ os la ue ar o que í"}
 
@@ -42,6 +43,35 @@ def test_languages_held_out(documents, corpus, odd, spark):
     assert langid.identify(docs.where("false"), model).count() == 0
 
 
+def test_samples_count_an_id_once(documents, spark):
+    rows = [(1, f"same id {i % 7}", "de") for i in range(300)] + [(10 + i, f"other text {i}", "en" if i % 2 else "de") for i in range(300)]
+    docs = documents(rows)
+    got = langid.sample(docs)
+    assert len(got) == 301 and len(set(got)) == 301 and ("same id 0", "de") in got
+    labels = spark.createDataFrame([(i, int(i % 2)) for i, _, _ in rows], "doc_id bigint, quality int").withColumn("toxic", quality_knn.F.col("quality"))
+    known = [i for i in {r[0] for r in rows} if not held(i, 5, 0)]
+    assert len(quality_knn.sample(docs, labels, "quality", 1500)) == len(known)
+    assert len(toxicity.sample(docs, labels)[0]) == len(known)
+    some = quality_knn.sample(docs, labels, "quality", 20)
+    assert sorted(y for _, y in some) == [0] * 20 + [1] * 20
+    assert some == quality_knn.sample(docs.repartition(5), labels, "quality", 20)
+
+
+def test_samples_are_bounded_over_all_languages(documents):
+    rows = [(i, f"word{i} " * 20, f"l{i % 1000:03}") for i in range(3000)]
+    docs = documents(rows)
+    known = docs.select("doc_id", docs["lang"].alias("label"))
+    take = lambda **bounds: common.labelled_sample(docs, known, 600, **bounds)
+    assert len(take()) == 3000
+    got = take(documents=2000)
+    assert len(got) == 2000 and len({label for _, label, _ in got}) == 1000
+    assert len({label for _, label, _ in take(documents=100)}) == len(take(documents=100)) == 100
+    # A label's documents are taken while those before them have not used up its share of the bytes.
+    assert len(take(size=1000)) == 1000
+    model = langid.train([(text, label) for text, label, _ in got[:600]])
+    assert langid.predict(model, ["word5 word5"])[0][0] in model.languages
+
+
 def test_language_uses_the_whole_text(corpus):
     model = langid.train([(t, lang) for _, t, lang in corpus])
     rng = random.Random(2)
@@ -121,9 +151,29 @@ def test_texts_do_not_see_each_other(corpus):
     texts = [t for _, t, _ in corpus[:60]] + ["", "one"]
     rows = [(t + (" idiot" if i % 2 else ""), i % 2, lang) for i, (_, t, lang) in enumerate(corpus[:200])]
     model = toxicity.train(rows)
-    tables = model.tables()
-    together = model.scores(texts, tables)
-    assert np.allclose(together, [model.scores([t], tables)[0] for t in texts], atol=1e-6)
+    together = model.scores(texts)
+    assert np.allclose(together, [model.scores([t])[0] for t in texts], atol=1e-6)
+
+
+def test_toxicity_score_by_brute_force(corpus):
+    rows = [(t + (" idiot idiotic" if i % 2 else ""), i % 2, lang) for i, (_, t, lang) in enumerate(corpus[:200])]
+    model = toxicity.train(rows)
+    for text in [rows[0][0], rows[1][0], "Idiot", "a idiots b", "never seen words", ""]:
+        words = re.findall(r"\w+", text.lower())
+        parts = [[w, *("\0" + w[:n] for n in toxicity.PREFIXES if n < len(w))] for w in words]
+        rows_of = [[int(model.number[zlib.crc32(p.encode()) % toxicity.BUCKETS]) for p in ps] for ps in parts]
+        vectors = [sum((model.embeddings[k].astype(float) for k in ks if k), np.zeros(toxicity.DIMENSIONS)) for ks in rows_of]
+        vectors += [np.zeros(toxicity.DIMENSIONS)] * toxicity.PAD
+        maxima = []
+        for group in model.filters:
+            for f in range(toxicity.FILTERS):
+                maxima.append(max(sum(vectors[p + k] @ kernel[:, f] for k, kernel in enumerate(group)) for p in range(max(1, len(words)))))
+        guess = np.zeros(len(model.languages))
+        for ks in rows_of:
+            guess += sum(model.language_table[k].astype(float) for k in ks)
+        shift = model.shifts[guess.argmax() if guess.any() else len(model.languages)]
+        z = np.maximum(maxima, 0) @ model.weights + model.bias - shift
+        assert model.scores([text])[0] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4), text
 
 
 def test_threshold_is_the_best_cut():
@@ -133,3 +183,41 @@ def test_threshold_is_the_best_cut():
         cut = toxicity._threshold(z, y, w)
         error = lambda c: (w * ((z >= c) != (y == 1))).sum()
         assert error(cut) == pytest.approx(min(error(c) for c in [*z, z.min() - 1, z.max() + 1]))
+
+
+def test_language_by_brute_force(corpus):
+    model = langid.train([(t, lang) for _, t, lang in corpus[:80]])
+    for text in [corpus[0][1], corpus[1][1] * 3, "é", "x" * 256, "x" * 257]:
+        raw = text.encode()
+        logs = []
+        for a in range(0, len(raw), langid.WINDOW):
+            w = raw[a : a + langid.WINDOW].ljust(langid.WINDOW, b"\0")
+            best = []
+            for tables in model.tables:
+                for f in range(langid.FILTERS):
+                    best.append(max(0.0, *(sum(float(t[w[p + k], f]) for k, t in enumerate(tables)) for p in range(langid.WINDOW - len(tables) + 1))))
+            z = np.array(best) @ model.weights + model.bias
+            logs.append(z - np.log(np.exp(z).sum()))
+        p = np.exp(np.mean(logs, axis=0))
+        p /= p.sum()
+        langs, scores = langid.predict(model, [text])
+        assert langs == [model.languages[int(p.argmax())]] and scores[0] == pytest.approx(p.max(), abs=1e-4)
+
+
+def test_terms_by_brute_force():
+    for text in ["", "a", "Ab 1! é\nab ab", "one two one\none two one\n\nx"]:
+        raw, got = text.encode(), quality_knn.term_vectors([text])[0]
+        pairs = Counter((quality_knn.CLASS[a], quality_knn.CLASS[b]) for a, b in zip(raw, raw[1:], strict=False))
+        norm = sum(pairs.values()) ** 0.5
+        v = np.zeros(quality_knn.TERMS)
+        for (a, b), n in pairs.items():
+            v[a * quality_knn.CLASSES + b] = n**0.5 / norm
+        words, lines = raw.split(), [x for x in raw.split(b"\n") if x.strip()]
+        if pairs:
+            n = max(1, len(words))
+            shares = [max(0, 1 - len(set(words)) / n**0.8) if words else 0, 1 - len(set(lines)) / len(lines) if lines else 0, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n]
+            for k, s in enumerate(shares):
+                for j in range(quality_knn.STEPS):
+                    v[quality_knn.PAIRS + k * quality_knn.STEPS + j] = quality_knn.REPEAT_WEIGHT * min(1, max(0, s * quality_knn.STEPS - j))
+            v /= np.linalg.norm(v)
+        assert np.allclose(got, v, atol=1e-5)
