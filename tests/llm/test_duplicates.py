@@ -154,5 +154,30 @@ def test_contamination_by_brute_force(spark, documents, odd, monkeypatch, broadc
     clean = winnow.remove_contaminated(docs, bench)
     assert clean.columns == docs.columns
     assert Counter(r["doc_id"] for r in clean.collect()) == Counter(i for i, t in rows if not brute_hits(t, items)[-1])
+    assert {r["__key"] for r in clean.collect()} == {"own"}
     assert winnow.contamination(docs, bench.where("false")).where("contaminated").count() == 0
     assert winnow.contamination(docs.where("false"), bench).count() == 0
+
+
+def test_contamination_of_repetitive_texts(spark, documents):
+    rng = random.Random(9)
+    draw = lambda n, k: " ".join(rng.choice("abcdef"[:k]) for _ in range(n))
+    items = [(i, draw(n, k)) for i, (n, k) in enumerate([(30, 1), (25, 2), (12, 3), (10, 2), (9, 2), (7, 2), (4, 3), (40, 6)])]
+    rows = [(i, draw(rng.randrange(60), rng.choice((1, 2, 2, 3, 6)))) for i in range(80)] + [(100, "a " * 3000), (101, "a b " * 900)]
+    rows += [(200 + i, f"{draw(5, 6)} {t} {draw(5, 6)}") for i, t in items]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = Counter(tuple(r) for r in winnow.contamination(documents(rows), bench).drop("__key").collect())
+    assert got == Counter((i, *brute_hits(t, items)) for i, t in rows)
+
+
+def test_fingerprints_thin_and_cover(spark):
+    rng = random.Random(10)
+    words = [f"w{rng.randrange(5000)}" for _ in range(4000)]
+    row = spark.createDataFrame([(words,)], "w array<string>").select(winnow.hashes(winnow.F.col("w")).alias("h"))
+    for length in (10, 9, 6, 3, 1):
+        got = row.select(winnow.fingerprints(winnow.F.col("h"), length).alias("x")).first()["x"]
+        covered = [i for r in got for i in range(r["a"], r["b"] + 1)]
+        assert covered == list(range(4000 - length + 1))
+        assert all(x["fp"] != y["fp"] for x, y in zip(got, got[1:], strict=False))
+        if length == 10:
+            assert len(got) < 0.31 * 4000
