@@ -42,15 +42,39 @@ def test_measures_and_verdicts_by_brute_force(documents, odd):
 def test_order_changes_no_verdict(documents):
     docs = documents([(i, t) for i, t in enumerate(texts())])
     rules = quality_rules.base_rules() + quality_rules.method_rules()
-    kept = [sorted(r[0] for r in quality_rules.prepared(docs).where(quality_rules.cascade(x).isNull()).select("doc_id").collect()) for x in (rules, rules[::-1])]
+    verdict = lambda x: quality_rules.over_parts(F.col("text"), lambda p: quality_rules.cascade(x, p)).isNull()
+    kept = [sorted(r[0] for r in docs.where(verdict(x)).select("doc_id").collect()) for x in (rules, rules[::-1])]
     assert kept[0] == kept[1] == sorted(r["doc_id"] for r in quality_rules.keep(docs).collect()) and kept[0]
     shares = {r.name: share for r, _, share in quality_rules.estimate(docs, rules)}
     assert 0 < shares["too_short"] < 1
 
 
+def test_order_is_by_rejection_per_cost_and_stable(documents):
+    rows = [(i, t) for k in range(4) for i, t in enumerate(texts(), 1000 * k)]
+    docs, rules = documents(rows), quality_rules.base_rules() + quality_rules.method_rules()
+    by = {r.name: (cost, share) for r, cost, share in quality_rules.estimate(docs, rules, sample_rows=10**6)}
+    n = [len(t or "") for _, t in rows]
+    assert by["shouting"][0] == pytest.approx(100 + 0.7 * sum(n) / len(n)) and by["stutter"][0] == pytest.approx(100 + 23.3 * sum(n) / len(n))
+    assert by["too_short"][1] == sum(brute(t)[0] < 20 for _, t in rows) / len(rows)
+    # A measure that is known already costs its rule nothing more.
+    assert quality_rules.estimate(docs, rules[1:2], measures=quality_rules.BASE)[0][1] == 100
+    names = [r.name for r in quality_rules.ordered(docs, rules)]
+    found = {r.name: share / cost for r, cost, share in quality_rules.estimate(docs, rules)}
+    assert names[0] == "too_short" and [found[x] for x in names] == sorted(found.values(), reverse=True)
+    for parts in (1, 2, 7):
+        assert [r.name for r in quality_rules.ordered(docs.repartition(parts), rules[::-1])] == names
+    assert [r.name for r in quality_rules.ordered(docs.where("false"), rules)] == sorted(by)
+
+
+def test_one_id_on_many_rows_does_not_enter_the_sample_as_rows(documents):
+    docs = documents([(1, "same words again " * 10)] * 300 + [(i, t) for i, t in enumerate(texts(), 10)])
+    rules = quality_rules.method_rules()
+    assert [r.name for r in quality_rules.ordered(docs, rules, sample_rows=30)] == [r.name for r in quality_rules.ordered(docs.repartition(2), rules, sample_rows=30)]
+
+
 def test_keep_leaves_columns_and_copes_with_empty_tables(documents, spark):
     docs = documents([(1, " ".join(f"w{i}" for i in range(30)))])
-    assert quality_rules.keep(docs).columns == docs.columns and quality_rules.keep(docs).count() == 1
+    assert quality_rules.keep(docs).columns == docs.columns and quality_rules.keep(docs).collect() == docs.collect()
     assert quality_rules.keep(docs.where("false")).count() == 0
     assert quality_rules.verdicts(docs.where("false")).count() == 0
 
