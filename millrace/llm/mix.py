@@ -8,15 +8,16 @@ once per integer boundary that its step crosses. Ordering by size keeps the word
 the target. The offset is a hash of seed and source, so reruns agree.
 
 Prefix sums are ranks times a constant, and ranks are built from counts: by (source, size), then by (source, size,
-one of 256 buckets of the id's hash), then inside a bucket. No task ever holds a whole source, nor a whole group of one size.
+one of 256 buckets of the id's hash), then by id and text inside a bucket. No task ever holds a whole source, nor a whole
+group of one size; rows that repeat in id and text are one counted row until the end.
 
 Defined results: null and empty texts have size 0 (and so add no words); the null source is a source, ordered last; a
-source without words has target 0 and is not taken; repeated rows count each.
+source without words has target 0 and is not taken; repeated rows count each, and share their group's copies out among them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,12 +25,18 @@ from . import common
 
 CAP = 3
 SEED = "mix-1"
+#: Rows alike that one task unrolls at a time.
+PIECE = 100_000
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the number of words of every row."""
+    """doc_id, source, a hash of the text (key) and its number of words, for every row."""
     size = F.size(common.words(F.col("text").cast("string"))).cast("long")
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), _key().alias("key"), size.alias("size"))
+
+
+def _key() -> Column:
+    return F.xxhash64(F.col("text"), F.col("text").isNull())
 
 
 def targets(rows: DataFrame) -> DataFrame:
@@ -60,60 +67,97 @@ def targets(rows: DataFrame) -> DataFrame:
     return found.withColumn("target", target).select("source", "source_size", "target", ratio.alias("ratio"), offset.alias("offset"))
 
 
-def ranked(rows: DataFrame) -> DataFrame:
-    """``rows`` with rank: 0, 1, ... within the source by (size, bucket, doc_id), from counts at three levels."""
+def _met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join on ``keys``, null meeting null."""
+    right = right.select(*[F.col(k).alias(f"r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in keys]
+    return left.join(right, on, "inner").drop(*[f"r_{k}" for k in keys])
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """A row for all rows alike in source, size, doc_id and key: how many they are (n) and the rank of the first of them.
+
+    Ranks are 0, 1, ... within the source by (size, bucket, doc_id, key), from counts at four levels.
+    """
     named = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     bucket = F.conv(F.substring(named, 1, 2), 16, 10).cast("int")
-    kept = rows.withColumn("bucket", bucket)
-    fine = kept.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    coarse = fine.groupBy("source", "size").agg(F.sum("n").alias("n"))
+    alike = rows.groupBy("source", "size", "doc_id", "key").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", bucket)
+    fine = alike.groupBy("source", "size", "bucket").agg(F.sum("n").alias("m"))
+    coarse = fine.groupBy("source", "size").agg(F.sum("m").alias("m"))
     # The sizes of one source: as many rows as it has different sizes, not documents.
     over_sizes = W.partitionBy("source").orderBy("size").rowsBetween(W.unboundedPreceding, -1)
-    coarse = coarse.select("source", "size", F.coalesce(F.sum("n").over(over_sizes), F.lit(0)).alias("below"))
+    coarse = coarse.select("source", "size", F.coalesce(F.sum("m").over(over_sizes), F.lit(0)).alias("below"))
     over_buckets = W.partitionBy("source", "size").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    fine = fine.select("source", "size", "bucket", F.coalesce(F.sum("n").over(over_buckets), F.lit(0)).alias("beside"))
-    inside = W.partitionBy("source", "size", "bucket").orderBy(F.col("doc_id").asc_nulls_last())
-    numbered = kept.withColumn("inside", F.row_number().over(inside) - 1)
+    fine = fine.select("source", "size", "bucket", F.coalesce(F.sum("m").over(over_buckets), F.lit(0)).alias("beside"))
+    inside = W.partitionBy("source", "size", "bucket").orderBy(F.col("doc_id").asc_nulls_last(), "key").rowsBetween(W.unboundedPreceding, -1)
+    numbered = alike.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    out = _met(_met(numbered, fine, ["source", "size", "bucket"]), coarse, ["source", "size"])
+    return out.select("source", "size", "doc_id", "key", "n", (F.col("below") + F.col("beside") + F.col("inside")).alias("first"))
 
-    def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-        right = right.select(*[F.col(k).alias(f"r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-        on = [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in keys]
-        return left.join(right, on, "inner").drop(*[f"r_{k}" for k in keys])
 
-    out = joined(joined(numbered, fine, ["source", "size", "bucket"]), coarse, ["source", "size"])
-    return out.withColumn("rank", F.col("below") + F.col("beside") + F.col("inside"))
+def _goals(docs: DataFrame) -> DataFrame:
+    """:func:`placed` with source_size, target, ratio and offset."""
+    rows = common.materialize(sized(docs), "mix-sizes")
+    return _met(placed(rows), targets(rows), ["source"])
+
+
+def _copies(rank: Column) -> Column:
+    step = lambda k: F.floor(F.col("ratio") * k.cast("double") + F.col("offset"))
+    return F.least(F.lit(CAP), step(rank + 1) - step(rank)).cast("long")
 
 
 def plan(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target and copies for every row of ``docs``."""
-    rows = common.materialize(sized(docs), "mix-sizes")
-    goals = targets(rows).withColumnRenamed("source", "s")
-    placed = ranked(rows).join(goals, F.col("source").eqNullSafe(F.col("s")))
-    step = lambda k: F.floor(F.col("ratio") * k.cast("double") + F.col("offset"))
-    copies = F.least(F.lit(CAP), step(F.col("rank") + 1) - step(F.col("rank"))).cast("long")
-    return placed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    goals = common.materialize(_goals(docs), "mix-goals")
+    # Rows alike are unrolled again; many of them in pieces, so that no task unrolls a large group alone.
+    few = goals.where(F.col("n") <= PIECE).withColumn("piece", F.lit(0).cast("long"))
+    many = goals.where(F.col("n") > PIECE).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(PIECE).cast("long")))).repartition("doc_id", "key", "piece")
+    rows = few.unionByName(many).withColumn("i", F.explode(F.sequence("piece", F.least(F.col("piece") + PIECE, F.col("n")) - 1)))
+    return rows.select("doc_id", "source", "size", "source_size", "target", _copies(F.col("first") + F.col("i")).alias("copies"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of ``docs`` once per copy, with ``copy_no`` from 1 on, and its source's target.
 
-    Rows meet their plan by id; rows that share an id are paired with that id's plans by size.
+    Rows meet their place by id, source and a hash of the text; the texts are shuffled once. ``copy_no`` and ``target_words``
+    are added unless ``docs`` has columns of these names; no column of ``docs`` is lost or changed.
     """
-    columns = docs.columns
-    extra = [c for c in ("copy_no", "target_words") if c not in columns]
-    chosen = plan(docs).where("copies > 0 or size = 0")
-    by_id = chosen.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("source", "size", "copies", "target"))).alias("__plans"))
-    keyed = docs.withColumns({"__size": F.size(common.words(F.col("text").cast("string"))).cast("long"), "__source": F.col("source").cast("string")})
-    met = keyed.join(by_id.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    own = F.filter("__plans", lambda p: p["source"].eqNullSafe(F.col("__source")) & (p["size"] == F.col("__size")))
-    met = met.withColumn("__own", own)
-    # Rows alike in id, source and size: their plans are handed out in the order of the rows' texts.
-    shared = met.where(F.size("__own") > 1).withColumn("__n", F.row_number().over(W.partitionBy("doc_id", "__source", "__size").orderBy("text")))
-    single = met.where(F.size("__own") <= 1).withColumn("__n", F.lit(1))
-    dealt = single.unionByName(shared).withColumn("__plan", F.get("__own", F.col("__n") - 1)).where(F.col("__plan")["copies"] > 0)
-    out = dealt.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__plan")["copies"])).alias("__copy"))
-    added = {"copy_no": F.col("__copy"), "target_words": F.col("__plan")["target"]}
-    return out.select(*[F.col(f"`{c}`") for c in columns], *[added[c].alias(c) for c in extra])
+    goals = common.materialize(_goals(docs), "mix-goals").select("doc_id", "source", "key", "n", "first", "target", "ratio", "offset")
+    at = [common.unused(docs, f"__mix_{k}") for k in ("doc_id", "source", "key")]
+    rest = ("n", "first", "target", "ratio", "offset")
+    name = {c: common.unused(docs, f"__mix_{c}") for c in (*rest, "part", "i", "copy")}
+    keyed = docs.withColumns({at[1]: F.col("source").cast("string"), at[2]: _key()})
+
+    def placed_in(goals: DataFrame, rows: DataFrame, *, counted: int | None = None) -> DataFrame:
+        ids = common.unused(docs, "__mix_id"), common.unused(docs, "__mix_of"), common.unused(docs, "__mix_hash")
+        right = goals.select(F.col("doc_id").alias(ids[0]), F.col("source").alias(ids[1]), F.col("key").alias(ids[2]), *[F.col(c).alias(name[c]) for c in rest])
+        right = right if counted is None else common.small(right, counted)
+        return rows.join(right, F.col("doc_id").eqNullSafe(F.col(ids[0])) & F.col(at[1]).eqNullSafe(F.col(ids[1])) & (F.col(at[2]) == F.col(ids[2])))
+
+    def copied(rank: Column) -> Column:
+        step = lambda k: F.floor(F.col(name["ratio"]) * k.cast("double") + F.col(name["offset"]))
+        return F.least(F.lit(CAP), step(rank + 1) - step(rank)).cast("long")
+
+    def emitted(rows: DataFrame, rank: Column) -> DataFrame:
+        n = copied(rank)
+        out = rows.where(n > 0).select("*", F.explode(F.sequence(F.lit(1).cast("long"), n)).alias(name["copy"]))
+        added = {"copy_no": F.col(name["copy"]), "target_words": F.col(name["target"])}
+        return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[added[c].alias(c) for c in added if c not in docs.columns])
+
+    out = emitted(placed_in(goals.where("n = 1"), keyed), F.col(name["first"]))
+    repeated = goals.where("n > 1")
+    if groups := repeated.count():
+        # Rows that repeat in id, source and text are numbered, in two steps: by the parts they were read in, then inside a part.
+        rows = placed_in(repeated, keyed, counted=groups).withColumn(name["part"], F.spark_partition_id())
+        rows = common.materialize(rows, "mix-repeated")
+        alike = ["doc_id", at[1], at[2]]
+        parts = rows.groupBy(*alike, name["part"]).agg(F.count(F.lit(1)).alias("m"))
+        parts = parts.withColumn(name["i"], F.coalesce(F.sum("m").over(W.partitionBy(*alike).orderBy(name["part"]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("m")
+        rows = _met(rows, parts, [*alike, name["part"]])
+        inside = F.row_number().over(W.partitionBy(*alike, name["part"]).orderBy(F.lit(0))) - 1
+        rows = rows.withColumn(name["i"], F.col(name["first"]) + F.col(name["i"]) + inside)
+        out = out.unionByName(emitted(rows, F.col(name["i"])))
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,15 +116,35 @@ def test_targets_and_taken(documents, seed):
     assert sorted(map(repr, got)) == sorted(map(repr, again))
 
 
-def test_systematic_steps_by_brute_force(documents):
-    rows = [(i, "w " * (i % 5 + 1), "en", "ab"[i % 3 == 0]) for i in range(60)]
-    got = mix.ranked(mix.sized(documents(rows))).collect()
+def test_systematic_steps_by_brute_force(documents, monkeypatch):
+    monkeypatch.setattr(mix, "PIECE", 3)
+    rows = [(i, "w " * (i % 5 + 1), "en", "ab"[i % 3 == 0]) for i in range(60)] + [(7, "w w", "en", "a")] * 11 + [(None, "w", "en", None)] * 4
+    got = mix.placed(mix.sized(documents(rows))).collect()
     by = defaultdict(list)
     for r in got:
-        by[r["source"]].append((r["rank"], r["size"]))
+        by[r["source"]] += [(r["first"] + i, r["size"]) for i in range(r["n"])]
     for ranks in by.values():
         assert [k for k, _ in sorted(ranks)] == list(range(len(ranks)))
         assert [s for _, s in sorted(ranks)] == sorted(s for _, s in ranks)
+    planned = mix.plan(documents(rows)).collect()
+    assert Counter((r["doc_id"], r["source"], r["size"]) for r in planned) == Counter((i, s, len(t.split())) for i, t, _, s in rows)
+
+
+def test_mix_shares_copies_among_repeated_rows_and_keeps_columns(documents):
+    rows = [(1, "w w w", "en", "a")] * 50 + [(None, None, "en", "a")] * 20 + [(i, "x " * 9, "en", "b") for i in range(2, 30)] + [(2, "y " * 9, "en", "b")]
+    docs = documents(rows, parts=4)
+    out = mix.mixed(docs)
+    planned = Counter()
+    for r in mix.plan(docs).collect():
+        planned[r["doc_id"], r["source"]] += r["copies"]
+    got = out.collect()
+    assert Counter((r["doc_id"], r["source"]) for r in got) == +planned and len(got) > 30
+    assert all(r["__key"] == r["score"] == r["copies"] == "own" for r in got)
+    # Repeated rows get the same number of copies, give or take one.
+    assert max(r["copy_no"] for r in got if r["doc_id"] == 1) <= -(-planned[1, "a"] // 50)
+    named = docs.withColumns({"__mix_n": F.lit("mine"), "__mix_key": F.lit("mine"), "copy_no": F.lit("mine"), "n": F.lit("mine")})
+    again = mix.mixed(named).collect()
+    assert len(again) == len(got) and all(r["__mix_n"] == r["__mix_key"] == r["copy_no"] == r["n"] == "mine" for r in again)
 
 
 def test_mix_emits_each_row_as_often_as_planned(documents, odd):
