@@ -114,6 +114,7 @@ def test_groups_and_keep_one(documents, odd):
     kept = simhash_cover.keep_one(docs)
     assert kept.columns == docs.columns
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(smallest.values())
+    assert {(r["__key"], r["n_words"], r["score"], r["copies"]) for r in kept.collect()} == {("own",) * 4}
     assert simhash_cover.groups(docs.where("false")).count() == 0 and simhash_cover.keep_one(docs.where("false")).count() == 0
 
 
