@@ -1,9 +1,9 @@
 """License scans by patience alignment.
 
-A text is searched for each license template in two steps. Regions: the places of the template's telling words (those
-that few templates and little prose use) are grouped, a region ending where the next one is more than a
-template's length away or a telling word repeats; so two copies of a license are two regions. Alignment: within a
-region, words that occur once in the region and once in the template are anchors; the longest increasing subsequence
+A text is searched for each license template in two steps. Regions: a telling word of the template (one that occurs
+once in it, and that little prose uses) tells where a copy would begin and end; that stretch of the text is aligned with
+the template, the best alignments stand, and what they leave of the text is searched with wider windows; so n copies side by
+side are n regions. Alignment: within a region, words that occur once in the region and once in the template are anchors; the longest increasing subsequence
 of their places is kept; the gaps between neighbouring anchors, and those before and after, are aligned in the same
 way, after equal words at their ends have been matched. Coverage is the share of the template's words that are matched.
 
@@ -18,9 +18,10 @@ rows each. Positions are code points, the end exclusive.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
@@ -46,8 +47,14 @@ _BSD_WARRANTY = (
     "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
 
-#: Short notices by which documents name a license, and whole license texts and headers.
+#: Short notices by which documents name a license, headers, and whole license texts; a caller may pass its own.
 TEMPLATES = {
+    "0BSD-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. "
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": (
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. "
@@ -60,6 +67,15 @@ TEMPLATES = {
         _BSD_OPENING + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
         "without specific prior written permission. " + _BSD_WARRANTY
     ),
+    "BSL-1.0-text": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) "
+        "to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, "
+        "all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in "
+        "all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by "
+        "a source language processor. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+        "PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
@@ -81,9 +97,24 @@ TEMPLATES = {
         "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "Unlicense-text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a "
+        "compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright "
+        "interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt "
+        "act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT "
+        "NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
+        "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "Zlib-text": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation "
+        "would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+        "3. This notice may not be removed or altered from any source distribution."
+    ),
 }
 #: Words that prose uses too and that therefore do not open a region.
-COMMON = frozenset("1 2 3 a above action all along an and any are as at authors be been before business but by can case caused charge claim conditions connection contract copy data deal details direct do either even event except file files following for forms free from general goods granted have holder hope however if in including is it its kind later law liable limited list loss may met more must name names neither no nor not notice obtain of on or other otherwise out part particular person persons portions possibility products program provided public purpose received rights see sell services shall should so software source special specific strict subject such that the theory thereof these they this those to under use used useful way whether whom will with without work written you your".split())
+COMMON = frozenset("1 2 3 a above act action all along alter an anyone appreciated and any are as at authors be been before business but being by can case caused charge claim code commercial conditions connection contract copy data deal details direct do either even event except file files following for forms free from general goods granted have holder hope however if in including is it its kind later law liable limited list loss may met more must name names neither no nor not notice obtain of on or other otherwise out part particular person persons portions possibility products program provided public purpose received rights see sell services shall should so software source special specific strict subject such that the theory thereof these they this those to under use used useful way whether whom will with without work written you your".split())
 
 
 def words(text: str) -> list[str]:
@@ -134,94 +165,130 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-@lru_cache(maxsize=1)
-def _prepared() -> tuple[list[tuple[str, list[str], frozenset]], frozenset]:
-    out = [(name, w := words(text), frozenset(w) - COMMON) for name, text in sorted(TEMPLATES.items())]
-    return out, frozenset().union(*(x[2] for x in out))
-
-
-def _regions(places: list[tuple[int, str]], length: int) -> list[tuple[int, int, int | None]]:
-    """Groups of a template's telling words: first and last place, and where a repeat opens the next group."""
-    out, seen, first, last = [], set(), -1, -1
-    for i, w in places:
-        if first >= 0 and (i - last > length or w in seen):
-            out.append((first, last, i if w in seen else None))
-            seen, first = set(), -1
-        if first < 0:
-            first = i
-        seen.add(w)
-        last = i
-    if first >= 0:
-        out.append((first, last, None))
-    return out
+@dataclass(frozen=True)
+class Template:
+    name: str
+    words: list[str]
+    counted: Counter
+    #: Places in the template of its telling words that occur once in it.
+    place: dict[str, int]
+
+    @classmethod
+    def of(cls, name: str, text: str) -> Template:
+        w = words(text)
+        counted = Counter(w)
+        return cls(name, w, counted, {x: i for i, x in enumerate(w) if counted[x] == 1 and x not in COMMON})
+
 
+@lru_cache(maxsize=8)
+def _prepared(templates: tuple[tuple[str, str], ...]) -> tuple[list[Template], frozenset]:
+    out = [Template.of(name, text) for name, text in sorted(templates)]
+    return out, frozenset().union(*(t.place for t in out))
 
-def _aligned(lowered: list[str], a0: int, a1: int, template: list[str], counted: Counter) -> list[tuple[int, int]]:
+
+def _aligned(lowered: list[str], a0: int, a1: int, template: Template) -> list[tuple[int, int]]:
     """Matched places in a window of the text; none if they cover less than ``THRESHOLD`` of the template."""
+    least = THRESHOLD * len(template.words)
+    part = lowered[a0:a1]
     # No alignment matches more words than the two have in common.
-    if (Counter(lowered[a0:a1]) & counted).total() < THRESHOLD * len(template):
+    if (Counter(part) & template.counted).total() < least:
         return []
-    pairs = patience(lowered[a0:a1], template)
-    return [(a0 + i, j) for i, j in pairs] if len(pairs) >= THRESHOLD * len(template) else []
+    pairs = [(a0 + i, j) for i, j in patience(part, template.words)]
+    # A word at either end that lies far off from the rest belongs to something else.
+    far = 2 + len(template.words) // 8
+    while len(pairs) > 1 and pairs[-1][0] - pairs[-2][0] > pairs[-1][1] - pairs[-2][1] + far:
+        pairs.pop()
+    while len(pairs) > 1 and pairs[1][0] - pairs[0][0] > pairs[1][1] - pairs[0][1] + far:
+        pairs.pop(0)
+    return pairs if len(pairs) >= least else []
+
+
+def _copies(lowered: list[str], template: Template, places: list[int]) -> list[list[tuple[int, int]]]:
+    """The matched places of each copy; no two copies overlap.
+
+    A telling word tells where its copy begins if nothing is missing or added before it. Each such beginning is tried,
+    and the best alignments stand first; what they leave of the text is then searched with wider windows.
+    """
+    length = len(template.words)
+    slack = 2 + length // 4
+    starts: list[int] = []
+    ends: list[int] = []
+    out = []
+
+    def accept(i: int, reach: tuple[int, int]) -> None:
+        k = bisect_right(starts, i)
+        if k and ends[k - 1] > i:
+            return
+        a0 = max(reach[0], ends[k - 1] if k else 0)
+        a1 = min(reach[1], starts[k] if k < len(starts) else len(lowered))
+        if pairs := _aligned(lowered, a0, a1, template):
+            # The pairs lie between two accepted copies, so the lists stay sorted.
+            starts.insert(k, pairs[0][0])
+            ends.insert(k, pairs[-1][0] + 1)
+            out.append(pairs)
+
+    tried = []
+    for begin, i in {i - template.place[lowered[i]]: i for i in reversed(places)}.items():
+        # Words before the beginning take part only where that matches more.
+        sizes = [(-len(_aligned(lowered, a0, begin + length + slack, template)), -a0) for a0 in (max(0, begin), max(0, begin - slack))]
+        if min(sizes)[0]:
+            tried.append((*min(sizes), begin + length + slack, i))
+    for _, a0, a1, i in sorted(tried):
+        accept(i, (-a0, a1))
+    for i in places:
+        accept(i, (i - length, i + 2 * length))
+    return out
 
 
-def found(text: str | None) -> list[tuple[str, float, int, int]]:
-    """(license, coverage, start, end) of every region that covers at least ``THRESHOLD`` of a template."""
-    templates, telling = _prepared()
+def found(text: str | None, templates: tuple[tuple[str, str], ...] = tuple(TEMPLATES.items())) -> list[tuple[str, float, int, int]]:
+    """(license, coverage, start, end) of every copy that covers at least ``THRESHOLD`` of a template."""
+    known, telling = _prepared(templates)
     matches = list(WORD.finditer(text or ""))
     lowered = [m[0].lower() for m in matches]
-    telling_places = [(i, w) for i, w in enumerate(lowered) if w in telling]
+    telling_places = [i for i, w in enumerate(lowered) if w in telling]
     out = []
-    for name, template, own in templates if telling_places else ():
-        counted = Counter(template)
-        repeats = {w for w, n in counted.items() if n > 1}
-        places = [(i, w) for i, w in telling_places if w in own and w not in repeats]
-        done = -1
-        for first, last, again in _regions(places, len(template)):
-            a0, a1 = max(done + 1, first - len(template)), min(len(lowered), last + len(template) + 1)
-            pairs = []
-            # A repeat is the next copy if what follows it is one too; otherwise it is a word too many in this copy.
-            if again is not None and (pairs := _aligned(lowered, a0, again, template, counted)):
-                pairs = pairs if _aligned(lowered, pairs[-1][0] + 1, min(len(lowered), again + len(template) + 1), template, counted) else []
-            if pairs := pairs or _aligned(lowered, a0, a1, template, counted):
-                s, e = pairs[0][0], pairs[-1][0]
-                out.append((name, len(pairs) / len(template), matches[s].start(), matches[e].end()))
-                done = e
-    return sorted(out, key=lambda x: (-x[1], -len(TEMPLATES[x[0]]), x[0], x[2]))
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, rows = [], []
-        for i, t in enumerate(b.column(1).to_pylist()):
-            got = found(t)
-            ids += [i] * len(got)
-            rows += got
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0).take(pa.array(ids, pa.int64())), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.int64(), pa.int64())))],
-            ["doc_id", "license", "coverage", "start", "end"],
-        )
-
-
-def scan(docs: DataFrame) -> DataFrame:
+    for template in known if telling_places else ():
+        places = [i for i in telling_places if lowered[i] in template.place]
+        for pairs in _copies(lowered, template, places):
+            s, e = pairs[0][0], pairs[-1][0]
+            out.append((len(pairs) / len(template.words), len(template.words), template.name, matches[s].start(), matches[e].end()))
+    return [(name, share, s, e) for share, _, name, s, e in sorted(out, key=lambda x: (-x[0], -x[1], x[2], x[3]))]
+
+
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """A row for every license found in every row of ``docs``: doc_id, license, coverage, start, end."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_scan, f"doc_id {kind}, license string, coverage double, start long, end long")
+    listed = tuple(templates.items())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, rows = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                got = found(t, listed)
+                ids += [i] * len(got)
+                rows += got
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(ids, pa.int64())), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.int64(), pa.int64())))],
+                ["doc_id", "license", "coverage", "start", "end"],
+            )
 
-def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = [(got[0], len(got)) if (got := found(t)) else (("none", 0.0, None, None), 0) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), *(pa.array([r[0][k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.int64(), pa.int64()))), pa.array([r[1] for r in rows], pa.int64())],
-            ["doc_id", "license", "coverage", "start", "end", "n_found"],
-        )
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, license string, coverage double, start long, end long")
 
 
-def best(docs: DataFrame) -> DataFrame:
+def best(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """A row for every row of ``docs``: its best-covered license, where it is, and how many were found."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_best, f"doc_id {kind}, license string, coverage double, start long, end long, n_found long")
+    listed = tuple(templates.items())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(got[0], len(got)) if (got := found(t, listed)) else (("none", 0.0, None, None), 0) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *(pa.array([r[0][k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.int64(), pa.int64()))), pa.array([r[1] for r in rows], pa.int64())],
+                ["doc_id", "license", "coverage", "start", "end", "n_found"],
+            )
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, license string, coverage double, start long, end long, n_found long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from millrace.llm import licenses
@@ -27,6 +29,47 @@ def test_bsd_texts_are_told_apart(name, other):
     assert all(r[1] < 1 for r in got if r[0] == other) or name == "BSD-3-Clause"
 
 
+@pytest.mark.parametrize("n", [3, 20, 200])
+@pytest.mark.parametrize("name", sorted(T))
+def test_n_copies_in_a_row_are_n_regions(name, n):
+    got = [r for r in licenses.found("Intro " + (T[name] + " ") * n) if r[0] == name]
+    assert [r[1] for r in got] == [1.0] * n
+    assert [r[2] for r in got] == [6 + k * (len(T[name]) + 1) for k in range(n)]
+
+
+def common_words(a, b):
+    """The length of a longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j], row[j + 1])
+    return row[-1]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_found_by_brute_force(seed):
+    rng = random.Random(seed)
+    prose = lambda k: [f"zz{rng.randrange(999)}" for _ in range(k)]
+    whole = [x for x in sorted(T) if len(licenses.words(T[x])) > 30]
+    text, planted = prose(9), []
+    for _ in range(12):
+        name = rng.choice(whole)
+        copy = licenses.words(T[name])
+        for _ in range(rng.choice((0, 0, len(copy) // 20, len(copy) // 8))):
+            i = rng.randrange(1, len(copy) - 1)
+            copy[i : i + rng.randrange(2)] = prose(rng.randrange(3))
+        planted.append((name, len(text), len(text) + len(copy), common_words(copy, licenses.words(T[name])) / len(licenses.words(T[name]))))
+        text += copy + prose(rng.choice((0, 0, 1, 40)))
+    joined = " ".join(text)
+    at = [m.start() for m in licenses.WORD.finditer(joined)]
+    got = licenses.found(joined)
+    for name, a, z, best in planted:
+        own = [r for r in got if r[0] == name and r[2] < (at[z] if z < len(at) else len(joined)) and r[3] > at[a]]
+        assert len(own) == 1, (name, a, z, own)
+        assert best - 0.06 <= own[0][1] <= best + 1e-9 and own[0][2] == at[a]
+
+
 @pytest.mark.parametrize("name", sorted(T))
 def test_copies_side_by_side_are_two_regions(name):
     text = f"five other words here now {T[name]} {T[name]}"
