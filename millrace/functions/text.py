@@ -99,20 +99,23 @@ def prefix_fingerprint(text: Column, length: int = 400) -> Column:
 
 
 def strip_markdown(text: Column, *, keep_code: bool = True) -> Column:
-    """Without front matter, embeds, link targets and lines of tags; embeds go before links."""
+    """Without front matter, embeds, link targets and lines of tags; embeds go before links.
+
+    The patterns are fixed values; letters of any language are letters of a tag.
+    """
     out = F.regexp_replace(text, r"(?s)\A---\n.*?\n---\n", "")
     out = F.regexp_replace(out, r"!\[\[[^\]]+\]\]", "")
     out = F.regexp_replace(out, r"\[\[[^\]|]+\|([^\]]+)\]\]", "$1")
     out = F.regexp_replace(out, r"\[\[([^\]|]+)\]\]", "$1")
     out = F.regexp_replace(out, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    out = F.regexp_replace(out, r"(?md)^#[\w/-]+(?:\s+#[\w/-]+)*\s*$", "")
+    out = F.regexp_replace(out, r"(?mdU)^#[\w/-]+(?:\s+#[\w/-]+)*\s*$", "")
     if not keep_code:
         out = F.regexp_replace(out, r"(?s)```.*?```", "")
     return strip(out)
 
 
 def strip_book_frame(text: Column) -> Column:
-    """What lies between a digital library's START and END marks; all of it where they are missing."""
+    """What lies between a digital library's START and END marks (fixed values); all of it where they are missing."""
     start = r"(?i)\*\*\*\s*START OF (?:THE|THIS) PROJECT GUTENBERG.*?\*\*\*"
     end = r"(?i)\*\*\*\s*END OF (?:THE|THIS) PROJECT GUTENBERG.*?\*\*\*"
     after = F.when(text.rlike(start), F.element_at(F.split(text, start, 2), -1)).otherwise(text)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.functions.frames import columns, small, unused
 from millrace.plans.storage import materialize
 
 #: The base of the shingle hash and the modulus of the permutations.
@@ -26,13 +27,27 @@ MERSENNE_61 = (1 << 61) - 1
 def exact(docs: DataFrame, *order: str) -> DataFrame:
     """``docs`` with ``exact_copy``: whether an earlier document has the same fingerprint.
 
-    The first of each fingerprint is a minimum, aggregated before the shuffle, so a fingerprint that many documents
-    share costs no large task; only equal orders need a look at single rows.
+    Only fingerprints and orders are compared; counts and minima are aggregated before the shuffle, so a fingerprint that
+    many documents share costs no large task. Texts meet their verdict by the order's columns, and are not shuffled while
+    the copies are few. Of rows that are equal in fingerprint and order one stays, whichever; null texts are copies of each other.
     """
     keys = list(order) or ["doc_id"]
-    marked = docs.withColumn("__fp", T.fingerprint(F.col("text"))).withColumn("__at", F.struct(*keys))
-    first = marked.groupBy("__fp").agg(F.min("__at").alias("__first")).select(F.col("__fp").alias("__of"), "__first")
-    return marked.join(first, F.col("__fp").eqNullSafe(F.col("__of"))).withColumn("exact_copy", ~F.col("__at").eqNullSafe(F.col("__first"))).drop("__fp", "__at", "__of", "__first")
+    fp, at, hit = (unused(docs, f"__{x}") for x in ("fp", "at", "hit"))
+    marked = docs.withColumns({fp: F.coalesce(T.fingerprint(F.col("text")), F.lit("")), at: F.struct(*keys)})
+    counted = materialize(marked.groupBy(fp, at).agg(F.count(F.lit(1)).alias("n")), "exact")
+    first = counted.groupBy(fp).agg(F.min(at).alias("first"))
+    judged = counted.join(first, fp).select(fp, at, "n", (F.col(at) == F.col("first")).alias("is_first"))
+    copies = materialize(judged.where("not is_first").select(fp, at, F.lit(True).alias(hit)), "copies")
+    out = marked.join(small(copies, copies.count()), [fp, at], "left").withColumn("exact_copy", F.coalesce(F.col(hit), F.lit(False)))
+    shown = [*columns(docs), F.col("exact_copy")]
+    # Rows that repeat in full: all of them but one are copies.
+    again = materialize(judged.where("is_first and n > 1").select(fp, at), "ties")
+    if n := again.count():
+        tied = materialize(out.join(small(again, n), [fp, at], "left_semi").withColumn(hit, F.monotonically_increasing_id()), "tied")
+        one = tied.groupBy(fp, at).agg(F.min(hit).alias("one"))
+        chosen = tied.join(one, [fp, at]).withColumn("exact_copy", F.col(hit) != F.col("one"))
+        return out.join(small(again, n), [fp, at], "left_anti").select(*shown).unionByName(chosen.select(*shown))
+    return out.select(*shown)
 
 
 def lsh_threshold(bands: int, rows: int) -> float:
@@ -96,20 +111,25 @@ def band_keys(docs: DataFrame, *, bands: int = 16, rows: int = 8, shingle_size:
 def greedy(keys: DataFrame) -> DataFrame:
     """doc_id of the documents to drop; ``keys`` has doc_id, ``ord`` (unique) and ``keys``.
 
-    Each round a document that shares a key with a kept earlier one is dropped, and one that is the first undecided
-    of all its keys is kept; the smallest undecided one always is, so the rounds end.
+    Each round a document that is the first open one of all its keys is kept, and the open ones that share a key with
+    it are dropped; the smallest open one always is kept, so the rounds end. Decided documents leave the table, and so
+    do keys that only one open document is left with: rounds shrink, and a long chain of shared keys costs many rounds of few rows.
     """
     pairs = keys.select("doc_id", "ord", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    shared = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("least")).where("n > 1")
     # Documents without a shared key are kept at once and decide nothing.
-    state = materialize(pairs.join(shared, "key").withColumn("state", F.lit("open")), "greedy")
-    while not state.where("state = 'open'").isEmpty():
-        least = state.groupBy("key").agg(F.min(F.when(F.col("state") == "keep", F.col("ord"))).alias("kept"), F.min(F.when(F.col("state") != "drop", F.col("ord"))).alias("live"))
-        seen = state.join(least, "key")
-        verdict = seen.groupBy("doc_id").agg(F.bool_or(F.coalesce(F.col("kept") < F.col("ord"), F.lit(False))).alias("hit"), F.bool_and(F.col("live") == F.col("ord")).alias("first"))
-        new = F.when(F.col("state") != "open", F.col("state")).when(F.col("hit"), F.lit("drop")).when(F.col("first"), F.lit("keep")).otherwise(F.lit("open"))
-        state = materialize(state.join(verdict, "doc_id").withColumn("state", new).select("doc_id", "ord", "key", "state"), "greedy")
-    return state.where("state = 'drop'").select("doc_id").distinct()
+    open_ = materialize(pairs.join(shared.select("key", "least"), "key"), "greedy")
+    dropped = None
+    while not open_.isEmpty():
+        first = open_.groupBy("doc_id").agg(F.bool_and(F.col("least") == F.col("ord")).alias("first")).where("first").select("doc_id")
+        kept = open_.join(first, "doc_id", "left_semi").select("key").distinct()
+        gone = materialize(open_.join(kept, "key", "left_semi").select("doc_id").distinct().join(first, "doc_id", "left_anti"), "dropped")
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+        left = open_.join(gone.unionByName(first), "doc_id", "left_anti").select("doc_id", "ord", "key")
+        # A key of one open document decides nothing more; a document that has no other key left is kept.
+        still = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("least")).where("n > 1")
+        open_ = materialize(left.join(still.select("key", "least"), "key"), "greedy", instead_of=open_)
+    return dropped if dropped is not None else keys.select("doc_id").where("false")
 
 
 def deduplicate(docs: DataFrame, *, near: bool = True, **params: int) -> DataFrame:

@@ -6,6 +6,8 @@ import hashlib
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import UTC, datetime
 from functools import lru_cache
 from typing import Any
@@ -15,8 +17,16 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where that is unset (tests, one machine), a temporary folder of this process."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """``spark.checkpoint.dir``, or else the checkpoint folder of the context; on one machine a temporary folder of this process.
+
+    On a cluster executors would each write to a disk of their own there, so without a folder this raises.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _own_dir()
 
 
 @lru_cache(maxsize=1)
@@ -24,11 +34,41 @@ def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="millrace-")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/millrace-{tag}-{uuid.uuid4().hex}"
+def materialize(df: DataFrame, tag: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: cuts the lineage and survives lost executors.
+
+    ``instead_of``: a table of an earlier round that nothing reads any more once this one is written; it is removed.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/millrace-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for kept in _scopes:
+        kept.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    if instead_of is not None:
+        remove(spark, instead_of.table_path)
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark finds it; nothing happens if it is gone."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at the end, the tables that were materialised inside; for work whose results are written elsewhere."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
 
 
 def config_hash(config: Any) -> str:
