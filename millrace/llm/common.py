@@ -7,24 +7,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.arrays import let, rolling
+from millrace.functions.frames import small, unused
 from millrace.plans.storage import materialize, shared_dir
 
 __all__ = ["id_crc", "labelled_sample", "let", "materialize", "rolling", "row_key", "shared_dir", "small", "table", "unused", "words"]
 
 #: Runs of ASCII white space; what lies between them are words.
 WHITESPACE = r"[\x20\x09-\x0D]+"
-#: Most rows that a broadcast key table may have; beyond it Spark picks a shuffled join.
-BROADCAST_ROWS = 500_000
 #: Bounds of a classifier's sample over all labels together: documents, and bytes of their texts.
 SAMPLE_DOCUMENTS = 24_000
 SAMPLE_BYTES = 256 << 20
 
 
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if its counted ``rows`` stay within ``limit``; else leave the join to Spark."""
-    return F.broadcast(df) if rows <= limit else df
-
-
 def words(text: Column, breaks: str = WHITESPACE) -> Column:
     """The words of a text between ``breaks``; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), breaks), "")
@@ -44,14 +38,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def unused(df: DataFrame, name: str) -> str:
-    """``name``, with as many underscores behind it as it takes not to be a column of ``df`` (in any case of letters)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def labelled_sample(docs: DataFrame, known: DataFrame, per_label: int, documents: int = SAMPLE_DOCUMENTS, size: int = SAMPLE_BYTES) -> list[tuple]:
     """(text, label, lang) of a bounded sample of labelled documents, in the order of a hash of their ids.
 
