@@ -62,6 +62,17 @@ def _fold(t: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", t.lower()) if unicodedata.category(c) != "Mn")
 
 
+def _latin() -> tuple[str, str]:
+    """Letters of the Latin blocks beyond ASCII that fold to one character each, and what they fold to."""
+    own = [c for c in map(chr, (*range(0x80, 0x250), *range(0x1E00, 0x1F00))) if len(_fold(c)) == 1]
+    return "".join(own), "".join(map(_fold, own))
+
+
+#: What translate() folds on the JVM, and general punctuation, which folds to itself.
+LATIN, FOLDED = _latin()
+BEYOND = rf"[^\x00-\x7F\x{{2010}}-\x{{2027}}\x{{2030}}-\x{{205E}}{LATIN}]"
+
+
 def nfc(text: Column) -> Column:
     """Composed form. Spark has no function for it, so texts with a character from U+0300 on take an Arrow UDF.
 
@@ -72,8 +83,8 @@ def nfc(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents; ASCII texts stay on the JVM."""
-    return F.coalesce(_mapped(_fold)(F.when(text.rlike(r"[^\x00-\x7F]"), text)), F.lower(text))
+    """Lower case without accents; texts of composed Latin letters stay on the JVM, the others take an Arrow UDF."""
+    return F.coalesce(_mapped(_fold)(F.when(text.rlike(BEYOND), text)), F.lower(F.translate(text, LATIN, FOLDED)))
 
 
 def normalize(text: Column, *, unify_apostrophes: bool = True, compose: bool = True) -> Column:
@@ -122,19 +133,25 @@ def strip_book_frame(text: Column) -> Column:
     return strip(let(after, lambda t: F.split(t, end, 2)[0]))
 
 
-def language_scores(text: Column, *, max_tokens: int | None = None, least: int = 20) -> dict[str, Column]:
-    """By language, the share of the tokens that are its stop words; 0 below ``least`` tokens.
+def with_language_scores(text: Column, body: Callable[[dict[str, Column]], Column], *, max_tokens: int | None = None, least: int = 20) -> Column:
+    """``body`` of the shares, by language, of the tokens that are its stop words; 0 below ``least`` tokens.
 
-    Only the first ``max_tokens`` count, where a bound is asked for.
+    The text is cut once. Only the first ``max_tokens`` count, where a bound is asked for.
     """
     found = F.regexp_extract_all(F.lower(text), F.lit(f"({LATIN_TOKEN})"), F.lit(1))
     tokens = found if max_tokens is None else F.slice(found, 1, max_tokens)
 
-    def score(listed: frozenset) -> Column:
-        known = F.array(*[F.lit(w) for w in sorted(listed)])
-        return let(tokens, lambda t: F.when(F.size(t) < least, F.lit(0.0)).otherwise(F.size(F.filter(t, lambda w: F.array_contains(known, w))) / F.size(t)))
+    def share(t: Column, listed: frozenset) -> Column:
+        # A long list of literals is looked up in a hash set.
+        return F.when(F.size(t) < least, F.lit(0.0)).otherwise(F.size(F.filter(t, lambda w: w.isin(sorted(listed)))) / F.size(t))
+
+    scores = let(tokens, lambda t: F.struct(*[share(t, listed).alias(lang) for lang, listed in stopwords.LANGUAGES.items()]))
+    return let(scores, lambda s: body({lang: s[lang] for lang in stopwords.LANGUAGES}))
 
-    return {lang: score(listed) for lang, listed in stopwords.LANGUAGES.items()}
+
+def language_scores(text: Column, *, max_tokens: int | None = None, least: int = 20) -> dict[str, Column]:
+    """The shares as a column each; what uses several of them cuts the text once by :func:`with_language_scores`."""
+    return {lang: with_language_scores(text, lambda s, of=lang: s[of], max_tokens=max_tokens, least=least) for lang in stopwords.LANGUAGES}
 
 
 def detect_language(scores: dict[str, Column]) -> Column:

@@ -77,7 +77,7 @@ def verify(check: Column, answer: Column) -> Column:
     n = T.n_words(t)
     items = F.size(F.filter(F.split(t, r"(?md)[,\n]|^\s*[-•*]\s*"), lambda x: T.strip(x) != ""))
     out = F.when(t == "", False).when(check == "liste3", items >= 3).when(check == "court", n <= 8).when(check == "phrase", n.between(3, 60))
-    return out.when(check == "francais", T.language_scores(t)["fr"] >= 0.05).otherwise(False)
+    return out.when(check == "francais", T.with_language_scores(t, lambda s: s["fr"] >= 0.05)).otherwise(False)
 
 
 def flops_per_token(parameters: int, layers: int, width: int, length: int) -> int:

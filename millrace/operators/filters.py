@@ -31,11 +31,15 @@ BOILERPLATE = (
 
 @dataclass(frozen=True)
 class Step:
-    """``keep`` is evaluated after ``rewrite`` (new columns from the old ones; ``old`` texts are in __before)."""
+    """``keep`` is evaluated after ``rewrite`` (new columns from the old ones; ``old`` texts are in __before).
+
+    ``mark``, where there is one, is evaluated before both and is __mark to them.
+    """
 
     name: str
     keep: Callable[[], Column]
     rewrite: dict[str, Callable[[], Column]] = field(default_factory=dict)
+    mark: Callable[[], Column] | None = None
 
 
 FILTERS: Registry[Step] = Registry("filter")
@@ -86,18 +90,19 @@ def symbol_ratio(*, max_ratio: float = 0.1, symbols: str = "#…") -> Step:
 
 @FILTERS.register("stopword_density")
 def stopword_density(*, lang: str = "fr", min_density: float = 0.05) -> Step:
-    return Step("stopword_density", lambda: T.language_scores(_text())[lang] >= min_density)
+    return Step("stopword_density", lambda: T.with_language_scores(_text(), lambda s: s[lang] >= min_density))
 
 
 @FILTERS.register("language_is")
 def language_is(*, lang: str = "fr", min_score: float = 0.05, margin: float = 1.2) -> Step:
-    def keep() -> Column:
-        scores = T.language_scores(_text())
+    def judged(scores: dict[str, Column]) -> Column:
         others = [s for k, s in scores.items() if k != lang]
         best = F.greatest(*others) if len(others) > 1 else others[0]
         return (scores[lang] >= min_score) & (scores[lang] >= margin * best)
 
-    return Step("language_is", keep, {"lang": lambda: F.when(keep(), F.lit(lang)).otherwise(F.col("lang"))})
+    # Judged once: the new language carries the verdict for keep().
+    mark = lambda: T.with_language_scores(_text(), lambda s: F.when(judged(s), F.lit(lang)))
+    return Step("language_is", lambda: F.col("__mark").isNotNull(), {"lang": lambda: F.coalesce("__mark", "lang")}, mark)
 
 
 @FILTERS.register("duplicate_lines")
@@ -148,11 +153,10 @@ def drop_short_lines(*, min_words: int = 3, keep_ratio: float = 0.5) -> Step:
 
 @FILTERS.register("detect_lang")
 def detect_lang(*, min_score: float = 0.0) -> Step:
-    def rewrite() -> Column:
-        scores = T.language_scores(_text())
+    def judged(scores: dict[str, Column]) -> Column:
         return F.when(F.greatest(*scores.values()) < min_score, F.col("lang")).otherwise(T.detect_language(scores))
 
-    return Step("detect_lang", lambda: F.lit(True), {"lang": rewrite})
+    return Step("detect_lang", lambda: F.lit(True), {"lang": lambda: T.with_language_scores(_text(), judged)})
 
 
 def build(specs: list[dict]) -> list[Step]:
@@ -169,11 +173,13 @@ def apply(docs: DataFrame, steps: list[Step]) -> DataFrame:
     out = docs.withColumn("reject_step", F.lit(None).cast("string"))
     for step in steps:
         alive = F.col("reject_step").isNull()
+        if step.mark:
+            out = out.withColumn("__mark", F.when(alive, step.mark()))
         if step.rewrite:
             out = out.withColumns({"__before": F.col("text"), **{c: F.when(alive, f()).otherwise(F.col(c)) for c, f in step.rewrite.items()}})
         fails = ~F.coalesce(step.keep(), F.lit(False))
         # Evaluated for rows alive only: WHEN stops at the first branch that holds.
-        out = out.withColumn("reject_step", F.when(~alive, F.col("reject_step")).when(fails, F.lit(step.name))).drop("__before")
+        out = out.withColumn("reject_step", F.when(~alive, F.col("reject_step")).when(fails, F.lit(step.name))).drop("__before", "__mark")
     return out
 
 

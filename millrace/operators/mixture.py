@@ -78,22 +78,35 @@ def available(docs: DataFrame) -> DataFrame:
     return docs.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(T.n_words(F.col("text")).cast("bigint")).alias("words")).withColumn("tokens", T.estimate_tokens(F.col("words")))
 
 
-def running(rows: DataFrame, group: list[str], order: list[str], value: str, out: str, chunks: int = 64) -> DataFrame:
+def running(rows: DataFrame, group: list[str], order: list[str], value: str, out: str, per_range: int = 1_000_000) -> DataFrame:
     """``rows`` with ``out``: the sum of ``value`` over the rows of the group before this one.
 
-    No task holds a whole group: rows are dealt into ranges of the order by their rank among sampled cut points
-    (``repartitionByRange``), the ranges' sums are added up (a row per group and range), and within a range a window
-    adds the rest.
+    Keys and sums alone are dealt into ranges of the order, as many as their count asks for at ``per_range`` rows each; the
+    ranges' sums are added up (a row per group and range), and within a range a window adds the rest. Rows, texts and
+    all, then meet their sum by group and order. Rows equal in both follow one another in any order.
     """
-    dealt = rows.repartitionByRange(chunks, *group, *order).withColumn("__range", F.spark_partition_id())
-    dealt = materialize(dealt, "running")
-    sums = dealt.groupBy(*group, "__range").agg(F.sum(value).alias("__sum"))
+    keys = [*group, *order]
+    sums = materialize(rows.groupBy(*keys).agg(F.sum(value).alias("__sum"), F.count(F.lit(1)).alias("__n")), "running")
+    n, most = sums.agg(F.count(F.lit(1)), F.max("__n")).first()
+    dealt = sums.repartitionByRange(max(1, -(-n // per_range)), *keys).withColumn("__range", F.spark_partition_id())
+    dealt = materialize(dealt, "running", instead_of=sums)
     before = W.partitionBy(*group).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(*[F.col(g).alias(f"__g_{g}") for g in group], F.col("__range").alias("__r"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
-    on = [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in group] + [F.col("__range") == F.col("__r")]
+    totals = dealt.groupBy(*group, "__range").agg(F.sum("__sum").alias("__range_sum")).withColumn("__base", F.coalesce(F.sum("__range_sum").over(before), F.lit(0))).drop("__range_sum")
     inside = W.partitionBy(*group, "__range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    met = dealt.withColumn("__in", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(sums, on)
-    return met.withColumn(out, F.col("__base") + F.col("__in")).drop("__range", "__r", "__base", "__in", "__sum", *[f"__g_{g}" for g in group])
+    within = dealt.withColumn("__in", F.coalesce(F.sum("__sum").over(inside), F.lit(0)))
+    placed = _met(within, totals, [*group, "__range"]).select(*keys, (F.col("__base") + F.col("__in")).alias(out))
+    met = _met(rows, placed, keys)
+    if (most or 0) <= 1:
+        return met
+    beside = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    return met.withColumn(out, F.col(out) + F.coalesce(F.sum(value).over(beside), F.lit(0)))
+
+
+def _met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join on ``keys``, null meeting null."""
+    right = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(right, on, "inner").drop(*[f"__r_{k}" for k in keys])
 
 
 def assemble(docs: DataFrame, plans: DataFrame, *, order: str = "doc_id", strict_repeats: bool = False, seed: int = 1337) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.plans.storage import materialize
 
 #: Elided words that keep their apostrophe, the longest first.
 ELISIONS = ("aujourd", "quelqu", "lorsqu", "puisqu", "quoiqu", "presqu", "jusqu", "entr", "qu", "l", "d", "j", "n", "m", "t", "s", "c")
@@ -47,12 +48,11 @@ def frequencies(docs: DataFrame, name: str = "french") -> DataFrame:
 def train(counts: DataFrame, *, vocab_size: int, min_frequency: int = 2, max_pieces: int = 2_000_000) -> list[tuple[int, int]]:
     """Merges of a byte-level BPE, the most frequent pair first, the smaller pair of equal ones.
 
-    The table of different pieces goes to the driver, so its size is checked: above ``max_pieces`` this raises rather
-    than training on less. Ids: specials, then 256 bytes, then one per merge.
+    The table of different pieces goes to the driver while it has up to ``max_pieces`` rows; beyond that it stays where it
+    is and every merge is a pass over it. Both give the same merges. Ids: specials, then 256 bytes, then one per merge.
     """
-    n = counts.count()
-    if n > max_pieces:
-        raise ValueError(f"{n} different pieces are more than max_pieces={max_pieces}")
+    if counts.count() > max_pieces:
+        return _train_in_place(counts, vocab_size, min_frequency)
     rows = [([SPECIALS + b for b in r["piece"].encode()], r["n"]) for r in counts.collect()]
     where: dict[tuple[int, int], set[int]] = defaultdict(set)
     weight: Counter = Counter()
@@ -90,6 +90,35 @@ def train(counts: DataFrame, *, vocab_size: int, min_frequency: int = 2, max_pie
     return merges
 
 
+def _train_in_place(counts: DataFrame, vocab_size: int, min_frequency: int) -> list[tuple[int, int]]:
+    """As :func:`train`, without collecting the pieces: pairs are counted where they are, one aggregation a merge."""
+    raw = F.encode("piece", "UTF-8")
+    # Bytes as numbers: two hex digits each.
+    ids = F.transform(F.sequence(F.lit(0), F.octet_length("piece") - 1), lambda i: F.conv(F.substr(F.hex(raw), i * 2 + 1, F.lit(2)), 16, 10).cast("int") + SPECIALS)
+    rows = materialize(counts.where(F.octet_length("piece") > 0).select(ids.alias("ids"), "n"), "bpe")
+    merges: list[tuple[int, int]] = []
+    while len(merges) < vocab_size - SPECIALS - 256:
+        pairs = F.zip_with(F.slice("ids", F.lit(1), F.size("ids") - 1), F.slice("ids", F.lit(2), F.size("ids") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        weights = rows.where(F.size("ids") > 1).select(F.explode(pairs).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("w"))
+        best = weights.orderBy(F.desc("w"), "p.a", "p.b").limit(1).collect()
+        if not best or best[0]["w"] < min_frequency:
+            break
+        pair, new = (best[0]["p"]["a"], best[0]["p"]["b"]), SPECIALS + 256 + len(merges)
+        merges.append(pair)
+        rows = materialize(rows.select(F.when(F.array_contains("ids", pair[0]), _merged(F.col("ids"), pair, new)).otherwise(F.col("ids")).alias("ids"), "n"), "bpe", instead_of=rows)
+    return merges
+
+
+def _merged(ids: Column, pair: tuple[int, int], new: int) -> Column:
+    """:func:`merged` as a fold: an id that makes the pair with the one before it takes its place."""
+
+    def step(out: Column, x: Column) -> Column:
+        meets = (x == pair[1]) & (F.element_at(out, -1) == pair[0])
+        return F.when(F.size(out) == 0, F.array(x)).when(meets, F.array_append(F.slice(out, F.lit(1), F.size(out) - 1), F.lit(new))).otherwise(F.array_append(out, x))
+
+    return F.aggregate(ids, F.array().cast("array<int>"), step)
+
+
 def merged(ids: list[int], pair: tuple[int, int], new: int) -> list[int]:
     out, i = [], 0
     while i < len(ids):

@@ -79,11 +79,17 @@ def sequential(found: DataFrame, window: int, batch: int = 1, split: str = "val"
     return numbered.join(F.broadcast(placed), inside).select("i", (F.col("start") + (F.col("i") - F.col("cum")) * window).alias("pos"))
 
 
-def windows(packed: DataFrame, positions: DataFrame, length: int, block: int = 1 << 16) -> DataFrame:
+def windows(packed: DataFrame, positions: DataFrame, length: int, block: int = 1 << 16, *, partial: bool = False) -> DataFrame:
     """The tokens and masks at ``positions`` (i, pos): (i, ids, mask), across documents.
 
-    Documents and windows meet by blocks of positions: an equi-join, however many documents there are.
+    Documents and windows meet by blocks of positions: an equi-join, however many documents there are. A window that
+    begins or ends outside the stream raises; with ``partial`` it has what there is.
     """
+    if not partial:
+        total = packed.agg(F.max(F.col("start") + F.size("ids"))).first()[0] or 0
+        low, high = positions.agg(F.min("pos"), F.max("pos")).first()
+        if low is not None and (low < 0 or high + length > total):
+            raise IndexError(f"windows of {length} at {low} to {high} reach beyond the {total} tokens")
     blocks = lambda a, b: F.explode(F.sequence(F.floor(a / block), F.floor(b / block)))
     left = positions.withColumn("b", blocks(F.col("pos"), F.col("pos") + length - 1))
     right = packed.where(F.size("ids") > 0).select("start", "ids", "mask").withColumn("b", blocks(F.col("start"), F.col("start") + F.size("ids") - 1))

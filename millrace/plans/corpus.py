@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import dedup, filters, mixture, novelty
 from millrace.plans.config import check_keys, derive_seed
-from millrace.plans.storage import Artifact
+from millrace.plans.storage import Artifact, materialize, scratch
 from millrace.sources import SOURCES, sinks
 
 KEYS = {"label", "seed", "sources", "filters", "dedup", "mixture", "novelty"}
@@ -35,7 +35,8 @@ def collect(spark: SparkSession, config: dict[str, Any]) -> tuple[DataFrame | No
             name = spec.pop("name")
             if "seed" in inspect.signature(SOURCES.get(name)).parameters:
                 spec.setdefault("seed", derive_seed(config.get("seed", 1337), "source", label))
-            rows = SOURCES.get(name)(spark, **spec).withColumn("source_ord", F.lit(i))
+            # Read inside the try: most sources fail when they are read, not when they are planned.
+            rows = materialize(SOURCES.get(name)(spark, **spec).withColumn("source_ord", F.lit(i)), "source")
         except Exception as e:  # noqa: BLE001 - any source may fail in its own way; the report says so
             failed[label] = f"{type(e).__name__}: {str(e)[:200]}"
             continue
@@ -52,6 +53,11 @@ def build(spark: SparkSession, root: str, config: dict[str, Any], force: bool =
     artifact = Artifact(spark, root, "corpora", config["label"], config)
     if artifact.complete() and not force:
         return artifact
+    with scratch(spark):
+        return _build(spark, artifact, config)
+
+
+def _build(spark: SparkSession, artifact: Artifact, config: dict[str, Any]) -> Artifact:
     rows, failed = collect(spark, config)
     if rows is None:
         raise ValueError(f"every source failed: {failed}")

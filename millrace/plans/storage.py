@@ -21,10 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
 
     On a cluster executors would each write to a disk of their own there, so without a folder this raises.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = getattr(spark, "sparkContext", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or (context and context.getCheckpointDir())
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if context and not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return _own_dir()
 

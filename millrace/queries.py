@@ -166,8 +166,8 @@ def flt_pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 @query("lng_scores", f"SELECT doc_id, fr, en, CASE WHEN greatest(fr, en) <= 0 THEN 'unknown' WHEN fr = greatest(fr, en) THEN 'fr' ELSE 'en' END AS detected FROM ({_SCORES})")
 def lng_scores(spark: SparkSession, d: str) -> DataFrame:
-    s = T.language_scores(F.col("text"))
-    return docs(spark, d).select("doc_id", *[v.alias(k) for k, v in s.items()]).select("doc_id", "fr", "en", T.detect_language({k: F.col(k) for k in s}).alias("detected"))
+    scored = lambda s: F.struct(*[v.alias(k) for k, v in s.items()], T.detect_language(s).alias("detected"))
+    return docs(spark, d).select("doc_id", T.with_language_scores(F.col("text"), scored).alias("s")).select("doc_id", "s.fr", "s.en", "s.detected")
 
 
 _EXACT = r"SELECT doc_id, source, text, row_number() OVER (PARTITION BY md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) ORDER BY doc_id) > 1 AS exact_copy FROM documents"
@@ -320,7 +320,7 @@ def spl_windows(spark: SparkSession, d: str) -> DataFrame:
     total = packed.agg(F.sum(F.size("ids").cast("bigint"))).first()[0] or 0
     # Side by side over the whole stream; the last window has what is left.
     at = spark.range(-(-total // 33)).select(F.col("id").alias("i"), (F.col("id") * 33).alias("pos"))
-    got = tokens.windows(packed, at, 33, block=1 << 12)
+    got = tokens.windows(packed, at, 33, block=1 << 12, partial=True)
     return got.select("i", F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), F.size("ids").cast("bigint").alias("n"))
 
 

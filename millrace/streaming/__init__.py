@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.functions import text as T
+from millrace.functions.frames import small
 from millrace.operators import dedup, novelty
+from millrace.plans.storage import remove
 from millrace.sources import SCHEMA
 
 
@@ -29,25 +31,30 @@ def ingest(docs: DataFrame, out: str, checkpoint: str, *, available_now: bool =
 
 
 def near_unique(docs: DataFrame, table: str, checkpoint: str, **params: int) -> StreamingQuery:
-    """Greedy near-deduplication of each batch against the kept band keys of all batches before.
+    """Deduplication of each batch against the keys of the documents kept in all batches before: exact copies, then greedy near ones.
 
-    ``table`` gets ``batch=N/docs`` and ``batch=N/keys``; a batch that is run again overwrites its own folders.
+    ``table`` gets ``batch=N/docs``, and one table ``keys`` partitioned by batch; a batch that is run again overwrites its
+    own folders. The batch's keys are looked up among the earlier ones, which are
+    scanned but never shuffled while a batch has few keys.
     """
 
     def step(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         rows = batch.withColumnRenamed("id", "doc_id")
-        keys = dedup.band_keys(rows, **params)
-        keys.write.mode("overwrite").parquet(f"{table}/batch={n}/candidates")
+        # A text's fingerprint is one more key: exact copies, short texts too, share it.
+        exact = rows.select("doc_id", F.xxhash64(F.lit("exact"), T.fingerprint(F.col("text"))).alias("__exact"))
+        found = dedup.band_keys(rows, **params).join(exact, "doc_id").select("doc_id", F.array_append("keys", F.col("__exact")).alias("keys"))
+        found.write.mode("overwrite").parquet(f"{table}/batch={n}/candidates")
         keys = spark.read.parquet(f"{table}/batch={n}/candidates")
         if n:
-            earlier = spark.read.option("pathGlobFilter", "*.parquet").parquet(*[f"{table}/batch={i}/keys" for i in range(n)])
-            hit = keys.select("doc_id", F.explode("keys").alias("key")).join(earlier.select(F.explode("keys").alias("key")).distinct(), "key", "left_semi").select("doc_id").distinct()
-            keys = keys.join(hit, "doc_id", "left_anti")
-        dropped = dedup.greedy(keys.withColumn("ord", F.col("doc_id")))
-        kept = keys.join(dropped, "doc_id", "left_anti")
-        kept.write.mode("overwrite").parquet(f"{table}/batch={n}/keys")
-        rows.join(spark.read.parquet(f"{table}/batch={n}/keys").select("doc_id"), "doc_id", "left_semi").write.mode("overwrite").parquet(f"{table}/batch={n}/docs")
+            asked = keys.select("doc_id", F.explode("keys").alias("key"))
+            earlier = spark.read.schema("key bigint, batch int").parquet(f"{table}/keys").where(F.col("batch") < n)
+            met = earlier.join(small(asked.select("key").distinct(), asked.count()), "key", "left_semi").select("key").distinct()
+            keys = keys.join(asked.join(met, "key", "left_semi").select("doc_id").distinct(), "doc_id", "left_anti")
+        kept = keys.join(dedup.greedy(keys.withColumn("ord", F.col("doc_id"))), "doc_id", "left_anti")
+        kept.select(F.explode("keys").alias("key")).distinct().write.mode("overwrite").parquet(f"{table}/keys/batch={n}")
+        rows.join(kept.select("doc_id"), "doc_id", "left_semi").write.mode("overwrite").parquet(f"{table}/batch={n}/docs")
+        remove(spark, f"{table}/batch={n}/candidates")
 
     return docs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

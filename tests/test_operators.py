@@ -166,8 +166,8 @@ def test_pieces_and_bpe(spark):
     assert [r["text"] for r in tokenizer.decode(encoded, codec).orderBy("doc_id").collect()] == texts
     assert all(r["ids"][-1] == tokenizer.EOT for r in encoded.collect())
     assert len(codec.merges) == 320 - tokenizer.SPECIALS - 256
-    with pytest.raises(ValueError):
-        tokenizer.train(tokenizer.frequencies(rows), vocab_size=320, max_pieces=2)
+    few = {"vocab_size": tokenizer.SPECIALS + 256 + 12}
+    assert tokenizer.train(tokenizer.frequencies(rows), **few, max_pieces=2) == tokenizer.train(tokenizer.frequencies(rows), **few)
 
 
 def test_bpe_merges_by_brute_force(spark):
@@ -252,7 +252,12 @@ def test_notes_are_chunked_by_sections(spark):
     got = retrieval.passages(spark.createDataFrame([("n.md", "n", note), ("court.md", "c", "trop court")], "source string, title string, text string")).collect()
     assert [r["id"] for r in got] == [f"n.md#{i}" for i in range(len(got))]
     assert {r["title"] for r in got} == {"n", "n — Un", "n — Deux"}
-    assert [len(c.split()) for c in retrieval.by_words("x " * 700, 150)] == [150, 150, 150, 150, 100]
+    long = spark.createDataFrame([("a b\n\n" + "x " * 700 + "\n\nc d",)], "text string").select(retrieval.packed_paragraphs(F.col("text"), 150, 300).alias("c")).first()["c"]
+    assert [len(c.split()) for c in long] == [2, 150, 150, 150, 150, 100, 2]
+    headed = "#Pas un titre\n####### ni ceci\ntexte\r\n###### Six  \n  corps \n# \nsuite\n#\tTab\nfin"
+    cut = spark.createDataFrame([(headed,), ("",), ("# Seul",)], "t string").select(retrieval.sections(F.col("t")).alias("s")).collect()
+    assert [tuple(s) for s in cut[0]["s"]] == [("", "#Pas un titre\n####### ni ceci\ntexte"), ("Six", "corps \n# \nsuite"), ("Tab", "fin")]
+    assert cut[1]["s"] == cut[2]["s"] == []
 
 
 def brute_bm25(passages, query, k1=1.5, b=0.75):

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,3 +120,52 @@ def test_shared_folder_without_a_setting(spark, monkeypatch):
 
     assert storage.shared_dir(Unset()) == storage.shared_dir(Unset())
     assert storage.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_shared_folder_of_a_cluster_must_be_named():
+    class Cluster:
+        master, named = "spark://host:7077", None
+
+        def __init__(self):
+            self.conf = self.sparkContext = self
+
+        def get(self, name, default=None):
+            return default
+
+        def getCheckpointDir(self):  # noqa: N802
+            return self.named
+
+    session = Cluster()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(session)
+    session.named = "hdfs:/shared"
+    assert storage.shared_dir(session) == "hdfs:/shared"
+    session.named, session.master = None, "local[4]"
+    assert storage.shared_dir(session)
+
+
+def test_tables_are_removed_when_done(spark):
+    rows = spark.range(5)
+    with storage.scratch(spark):
+        first = storage.materialize(rows, "one")
+        second = storage.materialize(first, "two", instead_of=first)
+        assert not Path(first.table_path).exists() and second.count() == 5
+    assert not Path(second.table_path).exists()
+
+
+def test_overrides_replace_levels_that_are_no_tables():
+    got = {"a": 1, "b": {"c": 2, "d": 3}}
+    config.set_path(got, "a.x.y", 5)
+    config.set_path(got, "b.c", {"z": 1})
+    assert got == {"a": {"x": {"y": 5}}, "b": {"c": {"z": 1}, "d": 3}}
+    assert config.parse_override("a.b = [1, 2]") == ("a.b", [1, 2]) and config.parse_override("a=b c") == ("a", "b c")
+    assert config.parse_override('a={x="=1"}') == ("a", {"x": "=1"})
+
+
+def test_a_source_that_fails_when_it_is_read_fails_alone(spark, tmp_path):
+    spark.createDataFrame([("1", "bon texte")], "id string, text string").write.parquet(str(tmp_path / "good"))
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part.parquet").write_bytes((next((tmp_path / "good").glob("*.parquet"))).read_bytes()[:-200] + b"x" * 192 + b"\x20\x00\x00\x00PAR1")
+    spec = {"sources": [{"name": "hf", "label": "bad", "dataset": str(tmp_path / "bad")}, {"name": "hf", "label": "good", "dataset": str(tmp_path / "good")}]}
+    rows, failed = corpus.collect(spark, spec)
+    assert list(failed) == ["bad"] and [r["source"] for r in rows.collect()] == ["good"]
