@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -97,3 +97,80 @@ def sweep_verdict(rows: DataFrame) -> DataFrame:
     """The best rate by width (NaN losses ignored), and whether it is the same at every width."""
     best = rows.where(~F.isnan("loss")).groupBy("optimizer", "width").agg(F.min_by("lr", F.struct("loss", "lr")).alias("lr"))
     return best.groupBy("optimizer").agg((F.count_distinct("lr") == 1).alias("transfers"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("width", "lr")))).alias("best"))
+
+
+#: Minimal pairs of French: category, the right sentence, the wrong one.
+PROBES = (
+    ("accord", "Les enfants jouent dehors.", "Les enfants joue dehors."),
+    ("accord", "La porte est ouverte.", "La porte est ouvert."),
+    ("accord", "Ces maisons sont anciennes.", "Ces maisons sont ancien."),
+    ("genre", "Une grande table ronde.", "Un grande table ronde."),
+    ("genre", "Le soleil est brillant.", "La soleil est brillant."),
+    ("negation", "Je ne mange pas de pain.", "Je ne mange de pas pain."),
+    ("elision", "L'arbre du jardin est haut.", "Le arbre du jardin est haut."),
+    ("elision", "J'arrive demain matin.", "Je arrive demain matin."),
+    ("ordre", "Il a beaucoup de livres.", "Il a livres de beaucoup."),
+    ("preposition", "Elle pense à son frère.", "Elle pense de à son frère."),
+)
+
+
+def probe_set(spark: SparkSession) -> DataFrame:
+    """(id, category, good, bad): sentences to be scored by a model and judged by :func:`probes`."""
+    return spark.createDataFrame([(i, *p) for i, p in enumerate(PROBES)], "id int, category string, good string, bad string")
+
+
+def answer_scores(answers: DataFrame) -> DataFrame:
+    """Per model: how many answers (model, check, answer, stopped) keep their format, stop by themselves and are French, of how many.
+
+    An answer ends where a new block (``###``) begins.
+    """
+    cut = T.strip(F.substring_index(F.coalesce("answer", F.lit("")), "###", 1))
+    french = T.with_language_scores(cut, lambda s: s["fr"] >= 0.05)
+    counted = lambda x, name: F.count_if(x).alias(name)
+    return answers.groupBy("model").agg(counted(verify(F.col("check"), cut), "format"), counted(F.col("stopped"), "stopped"), counted(french, "french"), F.count(F.lit(1)).alias("total"))
+
+
+def campaign(losses: DataFrame, judge: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """(part, name, measure, value): perplexity and bits per character by source and overall, of a second corpus, and probe accuracies."""
+
+    def unrolled(rows: DataFrame, part: str, name: str, *measures: str) -> DataFrame:
+        values = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures]))
+        return rows.select(F.lit(part).alias("part"), F.coalesce(F.col(name).cast("string"), F.lit("all")).alias("name"), values.alias("x")).select("part", "name", "x.*")
+
+    out = unrolled(scores(losses, "source"), "perplexity", "source", "ppl", "bpc")
+    if judge is not None:
+        out = out.unionByName(unrolled(scores(judge).withColumn("source", F.lit(None)), "judge", "source", "ppl", "bpc"))
+    return out if pairs is None else out.unionByName(unrolled(probes(pairs), "probes", "category", "accuracy"))
+
+
+def training_flops(parameters: Column, tokens: Column) -> Column:
+    """The usual estimate: six operations a parameter and token."""
+    return 6.0 * parameters * tokens
+
+
+def tokens_for_budget(parameters: Column, hours: Column, tflops: Column) -> Column:
+    """Tokens that so many hours at a real rate are worth."""
+    return tflops * 1e12 * hours * 3600.0 / (6.0 * parameters)
+
+
+def utilization(tokens_per_second: Column, flops: Column, peak: Column) -> Column:
+    """The share of the peak that training uses; a peak that is not positive raises."""
+    return F.when(peak > 0, tokens_per_second * flops / peak).otherwise(F.raise_error(F.lit("the peak must be positive")))
+
+
+def kernel_report(rows: DataFrame) -> DataFrame:
+    """One row: peak TFLOPS of matmul by dtype, bfloat16 over float32, peak bandwidth, attention TFLOPS by length."""
+    matmul, attention = rows.where("benchmark = 'matmul'"), rows.where("benchmark = 'attention'")
+    entries = lambda df, k, v: df.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(k, v)))).alias("m")).select("m")
+    peak = entries(matmul.groupBy("dtype").agg(F.max("tflops").alias("tflops")), "dtype", "tflops").withColumnRenamed("m", "peak_tflops")
+    by_length = entries(attention.groupBy("seq_len").agg(F.max("tflops").alias("tflops")), "seq_len", "tflops").withColumnRenamed("m", "attention_tflops")
+    band = rows.agg(F.max(F.when(F.col("benchmark") == "bandwidth", F.col("gb_per_s"))).alias("peak_gb_per_s"))
+    ratio = F.try_divide(F.nullif(F.col("peak_tflops")["bfloat16"], F.lit(0.0)), F.col("peak_tflops")["float32"])
+    one = lambda df: df.withColumn("k", F.lit(1))
+    # Each side is the one row of an aggregation.
+    return one(peak.withColumn("bf16_over_fp32", ratio)).join(one(band), "k").join(one(by_length), "k").drop("k")
+
+
+def mean_loss(batches: DataFrame, *by: str) -> DataFrame:
+    """The mean loss of evaluation batches, NaNs left out."""
+    return batches.where(~F.isnan("loss")).groupBy(*by).agg(F.avg("loss").alias("val_loss"), F.count(F.lit(1)).alias("batches"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.plans import storage
 
 ALERT = 0.5
 
@@ -28,3 +29,17 @@ def overlaps(mine: DataFrame, others: DataFrame, *, rounded: int = 4) -> DataFra
 def worst(found: DataFrame) -> DataFrame:
     """The largest overlap, the first by name of equal ones; no row's values if there is nothing to compare with."""
     return found.agg(F.max("overlap").alias("overlap"), F.min_by("artifact", F.struct(-F.col("overlap"), "artifact")).alias("artifact"))
+
+
+def compare_to_existing(corpus: DataFrame, root: str, *, stage: str = "corpora", exclude: str | None = None, limit: int | None = None) -> DataFrame:
+    """:func:`overlaps` of ``corpus`` with every complete artifact under ``root`` but the one at the path ``exclude``.
+
+    Artifacts are named by their folder; those without a text are left out.
+    """
+    spark = corpus.sparkSession
+    theirs = spark.createDataFrame([], "fp string, artifact string")
+    for row in storage.artifacts(spark, root, stage).where("complete").orderBy("path").collect():  # a row per artifact
+        if exclude is None or row["path"].rpartition("/")[2] != exclude.rstrip("/").rpartition("/")[2]:
+            part = fingerprints(spark.read.parquet(f"{row['path']}/corpus"), limit=limit)
+            theirs = theirs.unionByName(part.withColumn("artifact", F.lit(f"{row['label']}-{row['hash']}")))
+    return overlaps(fingerprints(corpus, limit=limit), theirs)

@@ -73,3 +73,28 @@ def age(at: Column, now: Column) -> Column:
 def session_kind(line: Column) -> Column:
     """What a line of a scheduled session's log says of its end."""
     return F.when(F.contains(line, F.lit("Traceback")), "failed").when(F.contains(line, F.lit("interrupt")), "interrupted").when(F.contains(line, F.lit("done")), "done").otherwise("running")
+
+
+def is_assembly(sources: Column) -> Column:
+    """Whether a collection only re-reads others: it has sources (structs with a name), and all are shards."""
+    return F.coalesce((F.size(sources) > 0) & F.forall(sources, lambda s: F.coalesce(s["name"] == "shards", F.lit(False))), F.lit(False))
+
+
+def recent_collections(collections: DataFrame, n: int = 4, alert: float = 0.5) -> DataFrame:
+    """:func:`recent`, assemblies (by their ``sources``) left out."""
+    return recent(collections.where(~is_assembly(F.col("sources"))), n, alert)
+
+
+def largest_store(stores: DataFrame, log: DataFrame) -> DataFrame:
+    """The store (path, label, n_tokens) with the most tokens, what runs on its label have read of it, and the share never read."""
+    largest = stores.where("n_tokens > 0").agg(F.max_by(F.struct("path", "label", "n_tokens"), F.struct("n_tokens", "path")).alias("s")).select("s.*").where("path is not null")
+    declared = log.where("corpus is not null").select("run", F.col("corpus").alias("label")).distinct()
+    seen = tokens_processed(log).join(declared, "run").groupBy("label").agg(F.sum("tokens_seen").alias("seen"))
+    share = coverage(F.col("seen").cast("double"), F.col("n_tokens"))
+    return largest.join(seen, "label", "left").withColumn("coverage", F.when(F.col("seen") > 0, share)).withColumn("never_read", F.col("n_tokens") * (1 - F.col("coverage")))
+
+
+def last_steps(paths: DataFrame) -> DataFrame:
+    """(run, step): the furthest step by the names ``.../<run>/checkpoints/step-<digits>.pt`` of ``paths`` (path); others are passed over."""
+    named = paths.select(F.regexp_extract("path", r"([^/]+)/checkpoints/step-[^/]*\.pt$", 1).alias("run"), F.regexp_extract("path", r"/step-(?:[^/]*-)?([0-9]+)\.pt$", 1).alias("step"))
+    return named.where("run <> ''").groupBy("run").agg(F.coalesce(F.max(F.when(F.col("step") != "", F.col("step").cast("bigint"))), F.lit(0)).alias("step"))

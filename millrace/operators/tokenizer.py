@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators import tokens
 from millrace.plans.storage import materialize
+from millrace.sources import sinks
 
 #: Elided words that keep their apostrophe, the longest first.
 ELISIONS = ("aujourd", "quelqu", "lorsqu", "puisqu", "quoiqu", "presqu", "jusqu", "entr", "qu", "l", "d", "j", "n", "m", "t", "s", "c")
@@ -210,3 +212,32 @@ def compare(counts: DataFrame, baseline: str) -> DataFrame:
     base = counts.where((F.col("tokenizer") == baseline) & F.col("grp").isNull()).select(F.lit(1).alias("k"), F.col("tokens").alias("base"))
     overall = counts.where(F.col("grp").isNull()).withColumn("k", F.lit(1)).join(F.broadcast(base), "k").drop("k")
     return overall.withColumn("tokens_saved", F.bround(1 - F.col("tokens") / F.col("base"), 4)).drop("base")
+
+
+def service_ids() -> list[int]:
+    """Ids that stand for no text: the end of a text, padding and those in reserve."""
+    return list(range(SPECIALS))
+
+
+def tokenize_corpus(docs: DataFrame, codec: Codec, path: str, *, order: str = "doc_id", tokens_per_shard: int = 100_000_000) -> DataFrame:
+    """Encode documents, each with an end of text, pack them in order and write their shards; the statistics of what is there."""
+    encoded = materialize(encode(docs, codec).select(F.col(order), "ids"), "encoded")
+    sinks.write_tokens(tokens.pack(encoded, order=order, tokens_per_shard=tokens_per_shard), path)
+    return tokens.stats(docs.sparkSession.read.parquet(path))
+
+
+def baselines(docs: DataFrame, *by: str) -> DataFrame:
+    """Counts of tokenizers that need no vocabulary: white-space words, characters, and pieces of the gpt2 pattern."""
+    text = F.col("text")
+    counters = {"words": T.n_words(text), "chars": F.length(text), "gpt2 pieces": F.regexp_count(text, F.lit(f"(?U){pattern('gpt2')}"))}
+    out = None
+    for name, n in counters.items():
+        part = measure(docs, n, *by).withColumn("tokenizer", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def comparison(counts: DataFrame, baseline: str) -> DataFrame:
+    """Overall fertility by tokenizer, the best first, with the share of tokens saved against the baseline."""
+    rows = compare(counts.withColumn("grp", F.lit(None).cast("string")) if "grp" not in counts.columns else counts, baseline)
+    return fertility(rows).select("tokenizer", "tokens", "fertility", "chars_per_token", "tokens_saved").orderBy("fertility", "tokenizer")

@@ -110,3 +110,18 @@ def evaluation_windows(docs: DataFrame, length: int) -> DataFrame:
     """(doc_id, start, ids): windows of ``length`` + 1 tokens that advance by ``length``; shorter than 2 are left out."""
     starts = F.when(F.size("ids") >= 2, F.sequence(F.lit(0), F.size("ids") - 2, F.lit(length)))
     return docs.select("doc_id", "ids", F.explode(starts).alias("start")).select("doc_id", "start", F.slice("ids", F.col("start") + 1, length + 1).alias("ids"))
+
+
+def sft(examples: DataFrame, replay: DataFrame | None = None, *, max_tokens: int, eot: int) -> DataFrame:
+    """(doc_id, ids, mask) for fine-tuning of examples (doc_id, question, answer: token ids) and of replayed documents (doc_id, ids).
+
+    An answer ends with ``eot``; an example of more than ``max_tokens`` is left out, never cut. A replayed document ends with it
+    too, counts for the loss whole, and is cut at ``max_tokens``.
+    """
+    ids, mask = supervised(F.col("question"), F.array_append("answer", F.lit(eot)))
+    out = examples.where(F.size("question") + F.size("answer") + 1 <= max_tokens).select("doc_id", ids.alias("ids"), mask.alias("mask"))
+    if replay is None:
+        return out
+    cut = F.slice(F.array_append("ids", F.lit(eot)), 1, max_tokens)
+    again = replay.select("doc_id", cut.alias("ids")).withColumn("mask", F.transform("ids", lambda _: F.lit(1)))
+    return out.unionByName(again)

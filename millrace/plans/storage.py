@@ -114,3 +114,25 @@ class Artifact:
 def latest(catalog: DataFrame, label: str) -> DataFrame:
     """The path of the newest complete artifact of a label; ``catalog`` has label, path, complete and completed_at."""
     return catalog.where((F.col("label") == label) & F.col("complete")).agg(F.max_by("path", F.struct("completed_at", "path")).alias("path"))
+
+
+def artifacts(spark: SparkSession, root: str, stage: str) -> DataFrame:
+    """(label, hash, path, complete, completed_at) of every artifact of a stage: a row per folder ``label-hash``."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{stage}")
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = []
+    for found in files.listStatus(at) if files.exists(at) else ():
+        label, _, digest = found.getPath().getName().rpartition("-")
+        mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{found.getPath().toString()}/meta/_SUCCESS")
+        if found.isDirectory() and label:
+            done = files.exists(mark)
+            rows.append((label, digest, found.getPath().toString(), done, files.getFileStatus(mark).getModificationTime() if done else None))
+    return spark.createDataFrame(rows, "label string, hash string, path string, complete boolean, completed_at bigint")
+
+
+def newest(spark: SparkSession, root: str, stage: str, label: str) -> str:
+    """The path of the newest complete artifact of a label; none raises."""
+    path = latest(artifacts(spark, root, stage), label).first()["path"]
+    if path is None:
+        raise FileNotFoundError(f"no complete artifact {label!r} of stage {stage!r} in {root}")
+    return path

@@ -52,7 +52,7 @@ def _list(words: frozenset) -> str:
 _SCORES = f"""
 SELECT doc_id, text, lang, CASE WHEN len(t) < 20 THEN 0.0::DOUBLE ELSE len(list_filter(t, lambda w: list_contains({_list(stopwords.FRENCH)}, w)))::DOUBLE / len(t) END AS fr,
   CASE WHEN len(t) < 20 THEN 0.0::DOUBLE ELSE len(list_filter(t, lambda w: list_contains({_list(stopwords.ENGLISH)}, w)))::DOUBLE / len(t) END AS en
-FROM (SELECT doc_id, text, lang, regexp_extract_all(lower(text), '[a-zà-öø-ÿœæ'']+')[1:2000] AS t FROM documents)
+FROM (SELECT doc_id, text, lang, regexp_extract_all(lower(text), '[a-zà-öø-ÿœæ'']+') AS t FROM documents)
 """
 
 
@@ -183,7 +183,7 @@ def ded_near(spark: SparkSession, d: str) -> DataFrame:
     return dedup.deduplicate(docs(spark, d, "doc_id", "text")).select("doc_id", "verdict")
 
 
-@query("ded_stats", f"SELECT count(*) AS seen, count_if(exact_copy)::BIGINT AS exact, 0::BIGINT AS near, count_if(NOT exact_copy)::BIGINT AS kept, 1 - count_if(NOT exact_copy)::DOUBLE / count(*) AS removal_rate FROM ({_EXACT})")
+@query("ded_stats")
 def ded_stats(spark: SparkSession, d: str) -> DataFrame:
     return dedup.stats(dedup.deduplicate(docs(spark, d, "doc_id", "text")))
 
@@ -198,16 +198,26 @@ def _plan(spark: SparkSession, d: str) -> DataFrame:
     return mixture.plan_table(spark, mixture.plan(got, dict.fromkeys(sorted(got), 1.0), sum(got.values()) // 2))
 
 
-@query("mix_plan")
+#: Water filling in whole tokens, sources with equal weights: a round fixes all whose share reaches what they have.
+_PLANNED = rf"""WITH RECURSIVE a AS (SELECT source, floor(sum(len({_WORDS}))::BIGINT * 1.45::DOUBLE)::BIGINT AS cap FROM documents GROUP BY source),
+t AS (SELECT sum(cap)::BIGINT // 2 AS total, count(*) AS k FROM a),
+s AS (SELECT source, cap, NULL::BIGINT AS take, 0 AS round, true AS going FROM a
+  UNION ALL
+  SELECT source, cap, CASE WHEN take IS NULL AND (wanted >= cap OR none) THEN least(wanted, cap) ELSE take END, round + 1, NOT none FROM
+    (SELECT *, NOT bool_or(take IS NULL AND wanted >= cap) OVER () AS none FROM
+      (SELECT s.*, floor(((SELECT total FROM t) - coalesce(sum(take) OVER (), 0)::BIGINT)::DOUBLE / count_if(take IS NULL) OVER ())::BIGINT AS wanted FROM s WHERE going)) WHERE round < 1000),
+p AS (SELECT source, cap AS available, take FROM s QUALIFY row_number() OVER (PARTITION BY source ORDER BY round DESC) = 1)"""
+
+
+@query("mix_plan", _PLANNED + " SELECT source, round(1.0::DOUBLE / k, 9) AS weight, available, total // k AS target, take, round(take::DOUBLE / available, 9) AS repeats, greatest(0, total // k - take)::BIGINT AS shortfall, CASE WHEN take < total // k THEN 'short' END AS warning, round(take::DOUBLE / sum(take) OVER (), 9) AS effective FROM p, t")
 def mix_plan(spark: SparkSession, d: str) -> DataFrame:
-    return _plan(spark, d)
+    planned = _plan(spark, d)
+    return planned.withColumns({c: F.round(c, 9) for c in ("weight", "repeats", "effective")})
 
 
 @query(
     "mix_assemble",
-    rf"""WITH e AS (SELECT doc_id, source, floor(len({_WORDS}) * 1.45::DOUBLE)::BIGINT AS est FROM documents),
-a AS (SELECT source, floor(sum(len({_WORDS}))::BIGINT * 1.45::DOUBLE)::BIGINT AS cap FROM documents GROUP BY source),
-p AS (SELECT source, least(cap, 1000) AS take FROM a),
+    rf"""{_PLANNED}, e AS (SELECT doc_id, source, floor(len({_WORDS}) * 1.45::DOUBLE)::BIGINT AS est FROM documents),
 r AS (SELECT *, coalesce(sum(est) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(est) OVER (PARTITION BY source) AS total FROM e)
 SELECT doc_id, source, k AS pass_no FROM (SELECT *, unnest(range(CASE WHEN total > 0 THEN ceil(take / total)::BIGINT ELSE 1 END)) AS k FROM r JOIN p USING (source)) WHERE before + k * total < take""",
 )
@@ -234,10 +244,26 @@ def tok_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.frequencies(docs(spark, d, "text"), _SIMPLE)
 
 
-@query("tok_lossless", "SELECT count(*) AS n, 0::BIGINT AS broken FROM documents")
+@query("tok_lossless", "SELECT doc_id, md5(text) AS digest FROM documents")
 def tok_lossless(spark: SparkSession, d: str) -> DataFrame:
-    cut = docs(spark, d, "text").select((F.array_join(tokenizer.pieces(F.col("text")), "") == F.col("text")).alias("same"))
-    return cut.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("same")).alias("broken"))
+    return docs(spark, d, "doc_id", "text").select("doc_id", F.md5(F.array_join(tokenizer.pieces(F.col("text")), "").cast("binary")).alias("digest"))
+
+
+def _named_pieces(name: str, sql_pattern: str) -> None:
+    """How often each piece of a named pattern occurs, blank ones and leading spaces left out (SQL has no lookahead)."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        counts = tokenizer.frequencies(docs(spark, d, "text"), name).select(T.strip(F.col("piece")).alias("piece"), "n")
+        return counts.where("piece <> ''").groupBy("piece").agg(F.sum("n").alias("n"))
+
+    quoted = sql_pattern.replace("'", "''")
+    query(f"tok_pieces_{name}", f"SELECT piece, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(text, '{quoted}')) AS piece FROM documents) GROUP BY piece")(run)
+
+
+_SUFFIXES, _ELIDED = "'s|'t|'re|'ve|'m|'ll|'d", "aujourd|quelqu|lorsqu|puisqu|quoiqu|presqu|jusqu|entr|qu|l|d|j|n|m|t|s|c"
+_named_pieces("gpt2", rf"(?:{_SUFFIXES})|\p{{L}}+|\p{{N}}+|[^\s\p{{L}}\p{{N}}]+")
+_named_pieces("french", rf"(?i:{_SUFFIXES})|(?i:{_ELIDED})'|\p{{L}}+|\p{{N}}{{1,3}}|[^\s\p{{L}}\p{{N}}]+")
+_named_pieces("french_longnum", rf"(?i:{_SUFFIXES})|(?i:{_ELIDED})'|\p{{L}}+|\p{{N}}+|[^\s\p{{L}}\p{{N}}]+")
 
 
 def _codec(rows: DataFrame) -> tokenizer.Codec:
@@ -269,9 +295,25 @@ def tok_pack(spark: SparkSession, d: str) -> DataFrame:
     return tokens.pack(_ids(spark, d), tokens_per_shard=50_000).select("doc_id", "start", "shard")
 
 
-@query("tok_stats", f"SELECT count(*) AS n_documents, sum(len({_WORDS}))::BIGINT AS n_tokens, sum(len({_WORDS}))::BIGINT AS n_supervised, 1.0::DOUBLE AS supervised_share FROM documents")
+@query("tok_stats", f"SELECT count(*) AS n_documents, sum(len(w))::BIGINT AS n_tokens, sum(len(list_filter(w, lambda x: length(x) > 4)))::BIGINT AS n_supervised, round_even(sum(len(list_filter(w, lambda x: length(x) > 4)))::DOUBLE / sum(len(w)), 3) AS supervised_share FROM (SELECT {_WORDS} AS w FROM documents)")
 def tok_stats(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.stats(tokens.pack(_ids(spark, d)))
+    masked = _ids(spark, d).withColumn("mask", F.transform("ids", lambda n: (n > 4).cast("int")))
+    return tokens.stats(tokens.pack(masked))
+
+
+@query(
+    "tok_sft",
+    r"""WITH p AS (SELECT conv_id * 100 + turn AS doc_id, len(regexp_extract_all(text, '\S+')) AS q, len(regexp_extract_all(output, '\S+')) AS a FROM
+  (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS output FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant' AND trim(text) <> '' AND len(regexp_extract_all(output, '\S+')) >= 3)
+SELECT 'example' AS kind, doc_id, (q + a + 1)::INT AS n_ids, (a + 1)::INT AS n_supervised FROM p WHERE q + a + 1 <= 40
+UNION ALL SELECT 'replay', -1 - doc_id, least(40, n + 1)::INT, least(40, n + 1)::INT FROM (SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS n FROM documents)""",
+)
+def tok_sft(spark: SparkSession, d: str) -> DataFrame:
+    lengths = lambda c: F.transform(T.words(F.col(c)), lambda w: F.length(w))
+    pairs = instructions(table(spark, d, "conversations")).select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), lengths("instruction").alias("question"), lengths("output").alias("answer"))
+    made = tokens.sft(pairs, _ids(spark, d).withColumn("doc_id", -1 - F.col("doc_id")), max_tokens=40, eot=0)
+    counted = F.aggregate("mask", F.lit(0), lambda a, x: a + x)
+    return made.select(F.when(F.col("doc_id") < 0, "replay").otherwise("example").alias("kind"), "doc_id", F.size("ids").alias("n_ids"), counted.alias("n_supervised"))
 
 
 @query(
@@ -291,16 +333,21 @@ def _zones(spark: SparkSession, d: str) -> DataFrame:
     return tokens.zones(spark, total, total // 10, min(20, total // 10))
 
 
+_BLOCKS = f"""WITH n AS (SELECT sum(len({_WORDS}))::BIGINT AS n FROM documents), z AS (SELECT n, least(20, n // 10) AS k, n // 10 // least(20, n // 10) AS size, n // least(20, n // 10) AS stride FROM n),
+v AS (SELECT i, i * stride + (stride - size) // 2 AS start, size AS len, n FROM z, range(20) t(i) WHERE i < k)"""
+
+
 @query(
     "spl_zones",
-    """WITH v AS (SELECT i * 10000 + 4500 AS start, 1000 AS len FROM range(20) t(i)), t AS (SELECT coalesce(lag(start + len) OVER (ORDER BY start), 0) AS s, start AS e FROM v UNION ALL SELECT 19 * 10000 + 5500, 200000)
-SELECT 'val' AS split, start, len::BIGINT AS len FROM v UNION ALL SELECT 'train', s, e - s FROM t WHERE e > s""",
+    _BLOCKS
+    + """, t AS (SELECT coalesce(lag(start + len) OVER (ORDER BY start), 0) AS s, start AS e FROM v UNION ALL SELECT max(start + len), max(n) FROM v)
+SELECT 'val' AS split, start::BIGINT AS start, len::BIGINT AS len FROM v UNION ALL SELECT 'train', s, e - s FROM t WHERE e > s""",
 )
 def spl_zones(spark: SparkSession, d: str) -> DataFrame:
     return _zones(spark, d)
 
 
-@query("spl_sequential", "SELECT row_number() OVER (ORDER BY pos) - 1 AS i, pos FROM (SELECT i * 10000 + 4500 + 129 * k AS pos FROM range(20) t(i), range(7) u(k)) ORDER BY pos LIMIT 136")
+@query("spl_sequential", _BLOCKS + ", w AS (SELECT unnest(range(start, start + len - 128, 129)) AS pos FROM v), r AS (SELECT row_number() OVER (ORDER BY pos) - 1 AS i, pos, count(*) OVER () AS total FROM w) SELECT i, pos FROM r WHERE i < total // 8 * 8")
 def spl_sequential(spark: SparkSession, d: str) -> DataFrame:
     return tokens.sequential(_zones(spark, d), 129, batch=8)
 
@@ -313,7 +360,7 @@ def spl_draw(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "spl_windows",
     f"""WITH t AS (SELECT unnest(list_transform({_WORDS}, lambda w: length(w))) AS id, doc_id, unnest(range(len({_WORDS}))) AS k FROM documents), g AS (SELECT id, row_number() OVER (ORDER BY doc_id, k) - 1 AS p FROM t)
-SELECT p // 5000 AS i, sum(id)::BIGINT AS total, count(*) AS n FROM g WHERE p % 5000 < 33 AND p // 5000 < (SELECT (count(*) - 33) // 5000 FROM g) GROUP BY ALL""",
+SELECT p // 33 AS i, sum(id)::BIGINT AS total, count(*) AS n, md5(string_agg(id, ',' ORDER BY p)) AS digest FROM g GROUP BY ALL""",
 )
 def spl_windows(spark: SparkSession, d: str) -> DataFrame:
     packed = materialize(tokens.pack(_ids(spark, d)), "packed")
@@ -321,7 +368,8 @@ def spl_windows(spark: SparkSession, d: str) -> DataFrame:
     # Side by side over the whole stream; the last window has what is left.
     at = spark.range(-(-total // 33)).select(F.col("id").alias("i"), (F.col("id") * 33).alias("pos"))
     got = tokens.windows(packed, at, 33, block=1 << 12, partial=True)
-    return got.select("i", F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), F.size("ids").cast("bigint").alias("n"))
+    digest = F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").cast("binary"))
+    return got.select("i", F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), F.size("ids").cast("bigint").alias("n"), digest.alias("digest"))
 
 
 @query("spl_evaluation_windows", f"SELECT doc_id, unnest(range(0, n - 1, 128))::INT AS start, unnest(list_transform(range(0, n - 1, 128), lambda s: least(129, n - s)))::INT AS n FROM (SELECT doc_id, len({_WORDS}) AS n FROM documents) WHERE n >= 2")
@@ -329,15 +377,53 @@ def spl_evaluation_windows(spark: SparkSession, d: str) -> DataFrame:
     return tokens.evaluation_windows(_ids(spark, d), 128).select("doc_id", "start", F.size("ids").alias("n"))
 
 
-@query("chk_notes")
+_PARAGRAPHS = "string_split({t}, chr(10) || chr(10))"
+#: Paragraphs packed up to {n} words; of those of more than {cut} words, runs of {n} words each.
+_PACKED = r"""list_transform([list_reduce(list_transform({p}, lambda x: {{'done': []::VARCHAR[], 'open': [x], 'n': len(regexp_extract_all(x, '\S+'))}}),
+  lambda a, x: CASE WHEN x.n > {cut} THEN {{'done': (CASE WHEN len(a.open) > 0 THEN list_append(a.done, array_to_string(a.open, chr(10) || chr(10))) ELSE a.done END)
+      || list_transform(range(0, x.n, {n}), lambda k: array_to_string(regexp_extract_all(x.open[1], '\S+')[k+1:k+{n}], ' ')), 'open': []::VARCHAR[], 'n': 0::BIGINT}}
+    WHEN a.n + x.n > {n} AND len(a.open) > 0 THEN {{'done': list_append(a.done, array_to_string(a.open, chr(10) || chr(10))), 'open': x.open, 'n': x.n}}
+    ELSE {{'done': a.done, 'open': a.open || x.open, 'n': a.n + x.n}} END, {{'done': []::VARCHAR[], 'open': []::VARCHAR[], 'n': 0::BIGINT}})],
+  lambda z: CASE WHEN len(z.open) > 0 THEN list_append(z.done, array_to_string(z.open, chr(10) || chr(10))) ELSE z.done END)[1]"""
+_BREAKS = "replace(text, chr(10), chr(10) || chr(10))"
+_NOTE = f"'avant ' || {_BREAKS} || chr(10) || '# Partie ' || doc_id || chr(10) || {_BREAKS} || chr(10) || '####### rien' || chr(10) || '## Suite' || chr(10) || replace(text, chr(10), ' ') || chr(10) || '# Vide' || chr(10)"
+
+
+@query(
+    "chk_notes",
+    rf"""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace({_NOTE}, '(?m)^(#{{1,6}}[ \t]+\S)', chr(1) || '\1', 'g'), chr(1))) AS part, unnest(range(1, 5)) AS k FROM documents),
+h AS (SELECT doc_id, k, CASE WHEN k = 1 THEN '' ELSE trim(regexp_extract(part, '^#{{1,6}}[ \t]+(.*)', 1)) END AS head,
+  regexp_replace(CASE WHEN k = 1 THEN part ELSE regexp_replace(part, '^#{{1,6}}[ \t]+.*', '') END, '^\s+|\s+$', '', 'g') AS body FROM s),
+c AS (SELECT doc_id, k, head, {_PACKED.format(p=_PARAGRAPHS.format(t="body"), n=150, cut=300)} AS chunks FROM h WHERE body <> ''),
+u AS (SELECT doc_id, k, head, unnest(chunks) AS text, unnest(range(len(chunks))) AS j FROM c)
+SELECT 'note-' || doc_id || '#' || (row_number() OVER (PARTITION BY doc_id ORDER BY k, j) - 1) AS id, md5(text) AS digest, 'note-' || doc_id AS source, 'n' || doc_id || CASE WHEN head <> '' THEN ' — ' || head ELSE '' END AS title
+FROM u WHERE len(regexp_extract_all(text, '\S+')) >= 20""",
+)
 def chk_notes(spark: SparkSession, d: str) -> DataFrame:
-    notes = docs(spark, d).select(F.concat(F.lit("note-"), "doc_id").alias("source"), F.concat(F.lit("n"), "doc_id").alias("title"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
-    return retrieval.passages(notes)
+    """Each document three times in a note of three sections: by lines, after a heading, and as one paragraph."""
+    spaced = F.replace("text", F.lit("\n"), F.lit("\n\n"))
+    text = F.concat(F.lit("avant "), spaced, F.lit("\n# Partie "), "doc_id", F.lit("\n"), spaced, F.lit("\n####### rien\n## Suite\n"), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\n# Vide\n"))
+    notes = docs(spark, d).select(F.concat(F.lit("note-"), "doc_id").alias("source"), F.concat(F.lit("n"), "doc_id").alias("title"), text.alias("text"))
+    return retrieval.passages(notes).select("id", F.md5(F.col("text").cast("binary")).alias("digest"), "source", "title")
 
 
-@query("chk_books")
+_BOOK = f"CASE WHEN doc_id % 2 = 0 THEN 'avant' || chr(10) || 'CHAPITRE I. Un' || chr(10) || {_BREAKS} || chr(10) || '  Chapter 12 ' || doc_id || chr(10) || {_BREAKS} ELSE {_BREAKS} END"
+
+
+@query(
+    "chk_books",
+    rf"""WITH s AS (SELECT doc_id, {_BOOK} AS book FROM documents),
+p AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN string_split(regexp_replace(book, '(?m)^(\s*(?:CHAPITRE|Chapter)\s+[IVXLCDM\d]+[.\s]*.*)$', chr(1) || '\1', 'g'), chr(1))[2:] ELSE [book] END AS parts FROM s),
+q AS (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS k FROM p),
+c AS (SELECT doc_id, k, CASE WHEN len(regexp_extract_all(part, '\S+')) <= 300 THEN [part] ELSE {_PACKED.format(p=_PARAGRAPHS.format(t="part"), n=200, cut=10**9)} END AS chunks FROM q),
+u AS (SELECT doc_id, k, unnest(chunks) AS chunk, unnest(range(len(chunks))) AS j FROM c)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k, j) - 1)::INT AS i, md5(chunk) AS digest FROM u WHERE regexp_matches(chunk, '\S')""",
+)
 def chk_books(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("doc_id", F.posexplode(retrieval.book_chunks(F.replace("text", F.lit("\n"), F.lit("\n\n")), 200)).alias("i", "chunk"))
+    """Every other document twice, as two chapters of a book."""
+    spaced = F.replace("text", F.lit("\n"), F.lit("\n\n"))
+    book = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("avant\nCHAPITRE I. Un\n"), spaced, F.lit("\n  Chapter 12 "), "doc_id", F.lit("\n"), spaced)).otherwise(spaced)
+    return docs(spark, d).select("doc_id", F.posexplode(retrieval.book_chunks(book, 200)).alias("i", "chunk")).select("doc_id", "i", F.md5(F.col("chunk").cast("binary")).alias("digest"))
 
 
 _STOP = _list(stopwords.FRENCH | stopwords.ENGLISH)
@@ -386,7 +472,12 @@ def rag_benchmark(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.benchmark(found, asked.select("qid", F.col("qid").alias("source")))
 
 
-@query("rag_prompt")
+@query(
+    "rag_prompt",
+    _RANKED
+    + """SELECT qid, array_to_string(list_reduce([{'ids': []::VARCHAR[], 'n': 300::BIGINT}] || list({'ids': [r.id::VARCHAR], 'n': len(t)::BIGINT} ORDER BY rank), lambda a, x: CASE WHEN x.n <= a.n THEN {'ids': a.ids || x.ids, 'n': a.n - x.n} ELSE a END).ids, ',') AS ids
+FROM r JOIN l USING (id) WHERE rank <= 8 GROUP BY qid""",
+)
 def rag_prompt(spark: SparkSession, d: str) -> DataFrame:
     postings, lengths, asked = _searchable(spark, d)
     ranked = retrieval.search(postings, lengths, asked, k=8).join(lengths, "id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import retrieval
+from millrace.plans import storage
 from millrace.plans.registry import Registry
 
 SOURCES: Registry[DataFrame] = Registry("source")
@@ -100,10 +101,18 @@ def files(spark: SparkSession, *, label: str, root: str, pattern: str = "*.txt",
 
 
 @SOURCES.register("shards")
-def shards(spark: SparkSession, *, path: str, label: str | None = None, format: str = "parquet", limit: int | None = None) -> DataFrame:
-    """Documents written before; JSON lines that can't be read, or lack id, text or source, are left out."""
+def shards(spark: SparkSession, *, path: str | None = None, artifact: str | None = None, source: str = "corpus", root: str | None = None, label: str | None = None, format: str = "parquet", limit: int | None = None) -> DataFrame:
+    """Documents written before; JSON lines that can't be read, or lack id, text or source, are left out.
+
+    Either at ``path``, or in the newest complete corpus under ``root`` that is labelled ``artifact``: its ``source``
+    ("corpus" is the assembled mixture, "documents" what went into it).
+    """
+    if (path is None) == (artifact is None):
+        raise ValueError("shards are found by a path or by an artifact's label")
+    if path is None:
+        path = f"{storage.newest(spark, root or '.', 'corpora', artifact)}/{source}"
     if format == "json":
-        rows = spark.read.schema(SCHEMA).option("mode", "DROPMALFORMED").json(path).where("id is not null and text is not null and source is not null")
+        rows = from_json(spark.read.text(path))
     else:
         rows = spark.read.parquet(path)
     rows = rows if label is None else rows.withColumn("source", F.lit(label))
@@ -124,3 +133,45 @@ def instructions(conversations: DataFrame, min_words: int = 3) -> DataFrame:
     pairs = conversations.withColumns({"next_role": F.lead("role").over(along), "output": F.lead("text").over(along)})
     kept = pairs.where((F.col("role") == "user") & (F.col("next_role") == "assistant") & (T.strip(F.col("text")) != "") & (T.n_words(F.col("output")) >= min_words))
     return kept.select("conv_id", "turn", F.col("text").alias("instruction"), "output")
+
+
+def to_json(docs: DataFrame) -> DataFrame:
+    """(value): a JSON object per document, its ``meta`` only where it has entries."""
+    fields = [F.col(c) for c in ("id", "text", "source", "lang")]
+    return docs.select(F.to_json(F.struct(*fields, F.when(F.size("meta") > 0, F.col("meta")).alias("meta"))).alias("value"))
+
+
+def from_json(lines: DataFrame) -> DataFrame:
+    """Documents of lines (value); a missing lang is ``unknown``, missing meta empty; lines without id, text or source are left out."""
+    parsed = lines.select(F.from_json("value", SCHEMA).alias("d")).select("d.*").where("id is not null and text is not null and source is not null")
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return parsed.select("id", "text", "source", F.coalesce("lang", F.lit("unknown")).alias("lang"), F.coalesce("meta", none).alias("meta"))
+
+
+def peek(docs: DataFrame, n: int = 3, *order: str) -> DataFrame:
+    """The first documents in order, for a look."""
+    return docs.orderBy(*(order or ("ord",))).limit(n)
+
+
+def shard_paths(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
+    """(path, bytes) of the files of a folder, without reading them; sort by path."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return files.select("path", F.col("length").alias("bytes"))
+
+
+def synthetic_tokens(spark: SparkSession, n: int, length: int, *, vocab: int = 64, signal: float = 0.8, seed: int = 1337) -> DataFrame:
+    """(i, ids): ``n`` sequences of a Markov chain of order one, a fixture to learn from.
+
+    With probability ``signal`` a token's successor is the one that the seed gives to it, else any token. Every draw is a hash
+    of seed, sequence and place, so rows don't depend on the partitions.
+    """
+    unit = lambda *key: F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 30)) / float(1 << 30)
+    token = lambda *key: F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(vocab)).cast("int")
+    places = F.sequence(F.lit(1), F.lit(length - 1)) if length > 1 else F.array().cast("array<int>")
+
+    def step(ids: Column, k: Column) -> Column:
+        last = F.element_at(ids, -1)
+        return F.array_append(ids, F.when(unit(F.lit("u"), F.col("i"), k) < signal, token(F.lit("next"), last)).otherwise(token(F.lit("any"), F.col("i"), k)))
+
+    rows = spark.range(n).withColumnRenamed("id", "i")
+    return rows.select("i", F.aggregate(places, F.array(token(F.lit("first"), F.col("i"))), step).alias("ids"))

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators import retrieval
 
 
-def write_shards(docs: DataFrame, path: str, *, max_documents: int = 100_000, format: str = "parquet", mode: str = "overwrite") -> DataFrame:
-    """Write documents in files of at most so many rows (zstd Parquet, or gzip JSON lines); totals per source."""
+def write_shards(docs: DataFrame, path: str, *, max_documents: int = 100_000, max_bytes: int | None = None, format: str = "parquet", mode: str = "overwrite") -> DataFrame:
+    """Write documents in files of at most so many rows (zstd Parquet, or gzip JSON lines); totals per source.
+
+    ``max_bytes`` bounds a file's texts as well, before compression, on average over the documents: rows a file are as many as
+    texts of the mean length fit.
+    """
+    if max_bytes is not None:
+        mean = docs.agg(F.avg(F.octet_length("text"))).first()[0] or 0.0
+        max_documents = max(1, min(max_documents, int(max_bytes / mean) if mean else max_documents))
     out = docs.write.mode(mode).option("maxRecordsPerFile", max_documents)
     if format == "json":
         out.option("ignoreNullFields", "true").option("compression", "gzip").json(path)
@@ -18,10 +26,15 @@ def write_shards(docs: DataFrame, path: str, *, max_documents: int = 100_000, fo
     return docs.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(T.n_words(F.col("text")).cast("bigint")).alias("words"))
 
 
-def append_metrics(points: DataFrame, path: str) -> None:
-    """Append points, each with a UTC timestamp ``t``."""
+def append_metrics(points: DataFrame, path: str, **context: str | int | float) -> None:
+    """Append points, each with a UTC timestamp ``t`` and the constant ``context``."""
     stamped = points if "t" in points.columns else points.withColumn("t", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"))
-    stamped.write.mode("append").json(path)
+    stamped.withColumns({k: F.lit(v) for k, v in context.items()}).write.mode("append").json(path)
+
+
+def token_type(vocab_size: int) -> str:
+    """The narrowest type whose values all ids of a vocabulary are: Spark's are signed."""
+    return "smallint" if vocab_size <= 1 << 15 else "int"
 
 
 def write_tokens(packed: DataFrame, path: str) -> None:
@@ -33,3 +46,10 @@ def write_index(passages: DataFrame, path: str, *, title_weight: int = 2, k1: fl
     """Passages and parameters; postings are built again when they are read."""
     passages.write.mode("overwrite").parquet(f"{path}/passages")
     passages.sparkSession.createDataFrame([(title_weight, k1, b)], "title_weight int, k1 double, b double").coalesce(1).write.mode("overwrite").json(f"{path}/parameters")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
+    """(postings, lengths, k1 and b) of an index that :func:`write_index` wrote, titles weighted as it was told."""
+    kept = spark.read.json(f"{path}/parameters").first()
+    postings, lengths = retrieval.index(spark.read.parquet(f"{path}/passages"), title_weight=kept["title_weight"])
+    return postings, lengths, {"k1": kept["k1"], "b": kept["b"]}

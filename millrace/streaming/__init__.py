@@ -73,3 +73,17 @@ def daily(points: DataFrame, *, at: str = "ts", key: str = "event_type", value:
     """Counts and sums per day and key; rows later than ``late`` are no longer waited for (streams only)."""
     rows = points.withWatermark(at, late) if points.isStreaming else points
     return rows.groupBy(F.window(at, "1 day").alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("day"), key, "n", "total")
+
+
+def stop_after(query: StreamingQuery, seconds: float) -> bool:
+    """Let a stream run for so long, then stop it between two batches; whether it had ended by itself.
+
+    A batch that is under way is finished first, so the checkpoint is that of whole batches.
+    """
+    if query.awaitTermination(seconds):
+        return True
+    while query.isActive and query.status["isTriggerActive"]:
+        if query.awaitTermination(0.05):
+            return True
+    query.stop()
+    return False
