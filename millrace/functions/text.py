@@ -62,15 +62,13 @@ def _fold(t: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", t.lower()) if unicodedata.category(c) != "Mn")
 
 
-def _latin() -> tuple[str, str]:
-    """Letters of the Latin blocks beyond ASCII that fold to one character each, and what they fold to."""
-    own = [c for c in map(chr, (*range(0x80, 0x250), *range(0x1E00, 0x1F00))) if len(_fold(c)) == 1]
-    return "".join(own), "".join(map(_fold, own))
-
-
-#: What translate() folds on the JVM, and general punctuation, which folds to itself.
-LATIN, FOLDED = _latin()
-BEYOND = rf"[^\x00-\x7F\x{{2010}}-\x{{2027}}\x{{2030}}-\x{{205E}}{LATIN}]"
+#: The Latin blocks beyond ASCII.
+_LATIN_BLOCKS = [chr(c) for c in (*range(0x80, 0x250), *range(0x1E00, 0x1F00))]
+#: What translate() folds on the JVM, and what it folds to.
+LATIN = "".join(c for c in _LATIN_BLOCKS if len(_fold(c)) == 1)
+FOLDED = "".join(map(_fold, LATIN))
+#: A character that is neither that, nor general punctuation, which folds to itself.
+BEYOND = r"[^\x00-\x{24F}\x{1E00}-\x{1EFF}\x{2010}-\x{2027}\x{2030}-\x{205E}]" + "".join(f"|{c}" for c in _LATIN_BLOCKS if c not in LATIN)
 
 
 def nfc(text: Column) -> Column:

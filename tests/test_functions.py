@@ -83,3 +83,13 @@ def test_rolling_minimum(spark, n):
 def test_longest_run(spark):
     xs = sorted([3, 1, 3, 3, 2, 2])
     assert spark.createDataFrame([(xs,)], "v array<bigint>").select(longest_run(F.col("v")).alias("x")).first()["x"] == max(Counter(xs).values())
+
+
+def test_fold_by_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    blocks = [*range(0x20, 0x250), *range(0x1E00, 0x1F00), *range(0x2010, 0x2060), 0x300, 0x301, 0x3A3, 0x3C3, 0x130, 0xFB01, 0x1F600]
+    texts = ["".join(chr(rng.choice(blocks)) for _ in range(rng.randrange(40))) for _ in range(300)] + [chr(c) for c in blocks] + ["ΣΑΣ", "Élan vital’s", "été"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.fold(F.col("t")).alias("f")).collect()
+    assert [(r["t"], r["f"]) for r in rows] == [(t, T._fold(t)) for t in texts]
