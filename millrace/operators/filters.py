@@ -196,7 +196,7 @@ def summary(applied: DataFrame) -> DataFrame:
     """By source and overall (null source): seen, kept, keep_rate and ``rejected``, a map of the counts by step."""
     by_step = applied.groupBy("source", "reject_step").agg(F.count(F.lit(1)).alias("n"))
     # A source that is null itself is told from the overall row by ``overall``.
-    leveled = by_step.select(F.explode(F.array(F.struct(F.lit(False).alias("overall"), "source"), F.struct(F.lit(True), F.lit(None).cast("string").alias("source")))).alias("g"), "reject_step", "n")
+    leveled = by_step.select(F.explode(F.array(F.struct(F.lit(False).alias("overall"), "source"), F.struct(F.lit(True).alias("overall"), F.lit(None).cast("string").alias("source")))).alias("g"), "reject_step", "n")
     counted = leveled.groupBy("g.overall", "g.source", "reject_step").agg(F.sum("n").alias("n"))
     entries = F.collect_list(F.when(F.col("reject_step").isNotNull(), F.struct("reject_step", "n")))
     out = counted.groupBy("overall", "source").agg(F.sum("n").alias("seen"), F.coalesce(F.sum(F.when(F.col("reject_step").isNull(), F.col("n"))), F.lit(0)).alias("kept"), F.map_from_entries(F.sort_array(entries)).alias("rejected"))

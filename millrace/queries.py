@@ -13,7 +13,7 @@ from millrace.functions import stopwords
 from millrace.functions import text as T
 from millrace.operators import dedup, evaluation, filters, mixture, novelty, ops, retrieval, tokenizer, tokens
 from millrace.plans.storage import materialize, shared_dir
-from millrace.sources import SOURCES, hash_split, instructions
+from millrace.sources import SOURCES, from_json, hash_split, instructions, peek, to_json
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,7 +93,7 @@ def prj_tokens(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "prj_strip_markdown",
     r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)\A---\n.*?\n---\n', ''), '!\[\[[^\]]+\]\]', '', 'g'),
- '\[\[[^\]|]+\|([^\]]+)\]\]', '\1', 'g'), '\[\[([^\]|]+)\]\]', '\1', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '(?m)^#[\w/-]+(?:\s+#[\w/-]+)*\s*$', '', 'g'), ' ' || chr(9) || chr(10) || chr(13))) AS digest FROM pages""",
+ '\[\[[^\]|]+\|([^\]]+)\]\]', '\1', 'g'), '\[\[([^\]|]+)\]\]', '\1', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '(?m)^#[\p{L}\p{N}_/-]+(?:\s+#[\p{L}\p{N}_/-]+)*\s*$', '', 'g'), ' ' || chr(9) || chr(10) || chr(13))) AS digest FROM pages""",
 )
 def prj_strip_markdown(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.md5(T.strip_markdown(F.col("html")).cast("binary")).alias("digest"))
@@ -101,11 +101,13 @@ def prj_strip_markdown(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "prj_instruction",
-    r"""SELECT conv_id, turn, '### Instruction' || chr(10) || trim(text, ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || '### Réponse' || chr(10) AS prompt FROM conversations WHERE role = 'user'""",
+    r"""SELECT conv_id, turn, '### Instruction' || chr(10) || trim(text, ' ' || chr(9) || chr(10) || chr(13)) ||
+CASE WHEN conv_id % 3 = 0 THEN chr(10) || '### Entrée' || chr(10) || 'tour ' || turn ELSE '' END || chr(10) || '### Réponse' || chr(10) AS prompt FROM conversations WHERE role = 'user'""",
 )
 def prj_instruction(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").where("role = 'user'")
-    return rows.select("conv_id", "turn", evaluation.instruction_prompt(F.col("text"), F.lit(None).cast("string")).alias("prompt"))
+    given = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("  tour "), "turn", F.lit("\n"))).when(F.col("conv_id") % 3 == 1, F.lit(" \n"))
+    return rows.select("conv_id", "turn", evaluation.instruction_prompt(F.col("text"), given).alias("prompt"))
 
 
 def _filter(name: str, sql: str, *extra: str, **params: object) -> None:
@@ -522,14 +524,14 @@ def evl_kernel_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "ops_sessions",
-    """WITH dd AS (SELECT strftime(ts, '%Y-%m-%d') AS day, arg_min(event_id, (ts, event_id)) AS fs, arg_max(event_id, (ts, event_id)) AS ls, count(*) AS points FROM events GROUP BY 1),
+    """WITH dd AS (SELECT strftime(ts, '%Y-%m-%d') AS day, arg_min(event_id, (ts, event_id)) AS fs, arg_max(event_id, (ts, event_id)) AS ls, arg_max(value, (ts, event_id)) AS last_loss, count(*) AS points FROM events GROUP BY 1),
 n AS (SELECT *, row_number() OVER (ORDER BY day DESC) AS r, count(*) OVER () AS n FROM dd QUALIFY r <= 7)
-SELECT day, ls - coalesce(lag(ls) OVER (ORDER BY day), fs) AS steps, greatest(0, 10 * (ls - fs)) AS tokens, points FROM n WHERE n >= 2""",
+SELECT day, ls - coalesce(lag(ls) OVER (ORDER BY day), fs) AS steps, greatest(0, 10 * (ls - fs)) AS tokens, last_loss, points FROM n WHERE n >= 2""",
 )
 def ops_sessions(spark: SparkSession, d: str) -> DataFrame:
     log = table(spark, d, "events").select(F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "event_id").alias("t"), F.col("event_id").alias("step"), (10 * F.col("event_id")).alias("tokens_seen"), F.col("value").alias("loss"))
     log = log.withColumn("t", F.concat("t.at", F.lit("#"), F.lpad(F.col("t.event_id").cast("string"), 20, "0")))
-    return ops.sessions(log).drop("last_loss")
+    return ops.sessions(log)
 
 
 @query("ops_tokens_processed", "SELECT user_id AS run, arg_max(event_id, (ts, event_id)) AS tokens_seen FROM events GROUP BY user_id")
@@ -632,3 +634,226 @@ def ops_coverage(spark: SparkSession, d: str) -> DataFrame:
 def ops_recent(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("label"), (F.col("o_orderstatus") == "F").alias("complete"), F.col("o_orderdate").alias("created_at"), (F.col("o_totalprice") / 500_000).alias("overlap"))
     return ops.recent(rows, 50).select("label", "alert")
+
+
+_MARKDOWN = (
+    "---\ntitre: x\n---\nCorps ![[image.png]] et [[Note|alias]], [[Autre]] et [lien](http://a.b)\n#été #noël\n#tag/sous #two-b  \nfin #reste",
+    "  #Titre n'est pas une étiquette seule\n# Titre\n#seul",
+    "[[a|b]] [[c]] [d](e) ![[f]]\n---\nx\n---\n",
+)
+
+
+@query(
+    "prj_markdown_rows",
+    """SELECT * FROM (VALUES (0, 'Corps  et alias, Autre et lien' || chr(10) || chr(10) || 'fin #reste'), (1, '#Titre n''est pas une étiquette seule' || chr(10) || '# Titre'),
+  (2, 'b c d ' || chr(10) || '---' || chr(10) || 'x' || chr(10) || '---')) t(id, text)""",
+)
+def prj_markdown_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Inline notes, as the tables hold no Markdown; the SQL has what is left of them, written out."""
+    rows = spark.createDataFrame(list(enumerate(_MARKDOWN)), "id int, text string")
+    return rows.select("id", T.strip_markdown(F.col("text")).alias("text"))
+
+
+@query("prj_title_query", r"SELECT doc_id, trim(regexp_replace('essai ' || source || '_' || lang || ' — no' || doc_id, '[—\-_·:]+', ' ', 'g')) AS terms FROM documents")
+def prj_title_query(spark: SparkSession, d: str) -> DataFrame:
+    path = F.concat(F.lit("notes/2024/essai "), "source", F.lit("_"), "lang", F.lit(" — no"), "doc_id", F.lit(".md"))
+    return docs(spark, d).select("doc_id", retrieval.query_from_title(path).alias("terms"))
+
+
+@query("src_json", "SELECT 'd:' || doc_id AS id, md5(text) AS digest, source, lang, CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR END AS n FROM documents")
+def src_json(spark: SparkSession, d: str) -> DataFrame:
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    meta = F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("n"), F.col("doc_id").cast("string"))).otherwise(none)
+    back = from_json(to_json(docs(spark, d).withColumns({"id": F.concat(F.lit("d:"), "doc_id"), "meta": meta})))
+    return back.select("id", F.md5(F.col("text").cast("binary")).alias("digest"), "source", "lang", F.col("meta")["n"].alias("n"))
+
+
+@query("src_peek", "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 3")
+def src_peek(spark: SparkSession, d: str) -> DataFrame:
+    return peek(docs(spark, d, "doc_id"), 3, "doc_id")
+
+
+@query("ded_repeats", _EXACT.replace("SELECT doc_id, source, text,", "SELECT doc_id,").replace("FROM documents", "FROM (SELECT * FROM documents UNION ALL SELECT * FROM documents UNION ALL SELECT * FROM documents WHERE doc_id % 2 = 0)"))
+def ded_repeats(spark: SparkSession, d: str) -> DataFrame:
+    """Every document twice or three times: of repeated rows one stays, if any."""
+    rows = docs(spark, d, "doc_id", "text")
+    return dedup.exact(rows.unionByName(rows).unionByName(rows.where("doc_id % 2 = 0"))).select("doc_id", "exact_copy")
+
+
+_STEPS = ("normalize", "word_count", "mean_word_length", "alpha_ratio", "symbol_ratio", "duplicate_lines", "repeated_ngrams", "boilerplate", "drop_short_lines", "detect_lang")
+
+
+@query(
+    "flt_chain",
+    rf"""WITH n AS (SELECT doc_id, source, {_NORMAL.format(t="text")} AS text FROM documents), w AS (SELECT doc_id, source, text, {_WORDS} AS w,
+  regexp_extract_all(lower(text), '\S+') AS lw, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: length(x) >= 10) AS l, {_NORMAL.format(t=_LONG_LINES)} AS cut FROM n),
+g AS (SELECT doc_id, unnest(list_transform(range(1, len(lw) - 8), lambda i: array_to_string(lw[i:i+9], ' '))) AS g FROM w WHERE len(lw) >= 20),
+c AS (SELECT doc_id, max(k) AS top FROM (SELECT doc_id, g, count(*) AS k FROM g GROUP BY ALL) GROUP BY doc_id),
+v AS (SELECT w.doc_id, source, text, cut, CASE WHEN text = '' THEN 'normalize' WHEN NOT len(w) BETWEEN 50 AND 100000 THEN 'word_count'
+  WHEN NOT length(regexp_replace(text, '\s+', '', 'g'))::DOUBLE / len(w) BETWEEN 3.0 AND 10.0 THEN 'mean_word_length'
+  WHEN NOT len(list_filter(w, lambda x: regexp_matches(x, '[\p{{L}}\p{{Nl}}\p{{No}}]')))::DOUBLE / len(w) >= 0.75 THEN 'alpha_ratio'
+  WHEN NOT (length(text) - length(replace(text, '#', '')) + length(text) - length(replace(text, '…', '')) + (length(text) - length(replace(text, '...', ''))) / 3.0)::DOUBLE / len(w) <= 0.1::DOUBLE THEN 'symbol_ratio'
+  WHEN NOT (len(l) < 4 OR 1 - len(list_distinct(l))::DOUBLE / len(l) <= 0.3::DOUBLE) THEN 'duplicate_lines'
+  WHEN NOT coalesce(top * 10::DOUBLE / len(lw) <= 0.2::DOUBLE, true) THEN 'repeated_ngrams'
+  WHEN {" + ".join(f"contains(lower(text), '{t}')::INT" for t in filters.BOILERPLATE)} > 1 THEN 'boilerplate'
+  WHEN NOT (cut <> '' AND length(cut) >= 0.5 * length(text)) THEN 'drop_short_lines' END AS reject_step FROM w LEFT JOIN c ON c.doc_id = w.doc_id),
+a AS (SELECT *, reject_step IS NULL AS ok, regexp_extract_all(lower(cut), '[a-zà-öø-ÿœæ'']+') AS t FROM v),
+z AS (SELECT doc_id, reject_step, cut, ok, CASE WHEN len(t) < 20 THEN 0.0::DOUBLE ELSE len(list_filter(t, lambda w: list_contains({_list(stopwords.FRENCH)}, w)))::DOUBLE / len(t) END AS fr,
+  CASE WHEN len(t) < 20 THEN 0.0::DOUBLE ELSE len(list_filter(t, lambda w: list_contains({_list(stopwords.ENGLISH)}, w)))::DOUBLE / len(t) END AS en FROM a)
+SELECT doc_id, reject_step, CASE WHEN ok THEN md5(cut) END AS digest, CASE WHEN NOT ok THEN NULL WHEN greatest(fr, en) <= 0 THEN 'unknown' WHEN fr = greatest(fr, en) THEN 'fr' ELSE 'en' END AS lang FROM z""",
+)
+def flt_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Ten steps, three of which rewrite; text and language of the rows that pass."""
+    done = filters.apply(docs(spark, d), filters.build([{"name": n} for n in _STEPS]))
+    ok = F.col("reject_step").isNull()
+    return done.select("doc_id", "reject_step", F.when(ok, F.md5(F.col("text").cast("binary"))).alias("digest"), F.when(ok, F.col("lang")).alias("lang"))
+
+
+@query(
+    "flt_summary",
+    rf"""WITH s AS (SELECT source, CASE WHEN NOT n BETWEEN 50 AND 100000 THEN 'word_count' WHEN NOT c::DOUBLE / n BETWEEN 3.0 AND 10.0 THEN 'mean_word_length' WHEN NOT a::DOUBLE / n >= 0.75 THEN 'alpha_ratio' END AS step
+FROM (SELECT source, len(w) AS n, length(regexp_replace(text, '\s+', '', 'g')) AS c, len(list_filter(w, lambda x: regexp_matches(x, '[\p{{L}}\p{{Nl}}\p{{No}}]'))) AS a FROM (SELECT source, text, {_WORDS} AS w FROM documents))),
+g AS (SELECT false AS overall, source, step FROM s UNION ALL SELECT true, NULL, step FROM s), c AS (SELECT overall, source, step, count(*) AS n FROM g GROUP BY ALL)
+SELECT overall, source, sum(n)::BIGINT AS seen, coalesce(sum(n) FILTER (step IS NULL), 0)::BIGINT AS kept, coalesce(string_agg(step || '=' || n, ',' ORDER BY step) FILTER (step IS NOT NULL), '') AS rejected,
+  round(coalesce(sum(n) FILTER (step IS NULL), 0)::DOUBLE / sum(n), 9) AS keep_rate FROM c GROUP BY overall, source""",
+)
+def flt_summary(spark: SparkSession, d: str) -> DataFrame:
+    steps = filters.build([{"name": "word_count"}, {"name": "mean_word_length"}, {"name": "alpha_ratio"}])
+    told = filters.summary(filters.apply(docs(spark, d), steps))
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries("rejected")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return told.withColumns({"rejected": listed, "keep_rate": F.round("keep_rate", 9)})
+
+
+@query(
+    "evl_answer_scores",
+    rf"""WITH a AS (SELECT role AS model, CASE turn % 4 WHEN 0 THEN 'liste3' WHEN 1 THEN 'court' WHEN 2 THEN 'phrase' ELSE 'francais' END AS kind, turn % 3 = 0 AS stopped, trim(text) AS text FROM conversations),
+t AS (SELECT *, {_WORDS} AS w, regexp_extract_all(lower(text), '[a-zà-öø-ÿœæ'']+') AS t FROM a),
+s AS (SELECT *, len(t) >= 20 AND len(list_filter(t, lambda w: list_contains({_list(stopwords.FRENCH)}, w)))::DOUBLE / len(t) >= 0.05::DOUBLE AS fr,
+  len(list_filter(regexp_split_to_array(text, '(?m)[,\n]|^\s*[-•*]\s*'), lambda x: trim(x) <> '')) AS items FROM t)
+SELECT model, count_if(CASE WHEN text = '' THEN false WHEN kind = 'liste3' THEN items >= 3 WHEN kind = 'court' THEN len(w) <= 8 WHEN kind = 'phrase' THEN len(w) BETWEEN 3 AND 60 ELSE fr END)::BIGINT AS format,
+  count_if(stopped)::BIGINT AS stopped, count_if(fr)::BIGINT AS french, count(*) AS total FROM s GROUP BY model""",
+)
+def evl_answer_scores(spark: SparkSession, d: str) -> DataFrame:
+    kinds = F.when(F.col("turn") % 4 == 0, "liste3").when(F.col("turn") % 4 == 1, "court").when(F.col("turn") % 4 == 2, "phrase").otherwise("francais")
+    ended = F.concat("text", F.lit("\n### Instruction\nun, deux, trois"))
+    return evaluation.answer_scores(table(spark, d, "conversations").select(F.col("role").alias("model"), kinds.alias("check"), ended.alias("answer"), (F.col("turn") % 3 == 0).alias("stopped")))
+
+
+@query(
+    "evl_campaign",
+    rf"""WITH r AS (SELECT source, len({_WORDS}) AS n_tokens, length(text) AS n_chars FROM documents), s AS (SELECT source, sum(n_chars * 0.75::DOUBLE) AS l, sum(n_tokens) AS t, sum(n_chars) AS c FROM r GROUP BY ROLLUP (source)),
+j AS (SELECT sum(length(text) * 0.5::DOUBLE) AS l, sum(len({_WORDS})) AS t, sum(length(text)) AS c FROM benchmark),
+p AS (SELECT lang, sum((quality > toxic)::INT)::DOUBLE / count(*) AS acc FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (lang))
+SELECT part, name, measure, round(value, 6) AS value FROM (
+  SELECT 'perplexity' AS part, coalesce(source, 'all') AS name, unnest(['ppl', 'bpc']) AS measure, unnest([exp(least(l / t, 20.0)), l / ln(2.0::DOUBLE) / c]) AS value FROM s
+  UNION ALL SELECT 'judge', 'all', unnest(['ppl', 'bpc']), unnest([exp(least(l / t, 20.0)), l / ln(2.0::DOUBLE) / c]) FROM j
+  UNION ALL SELECT 'probes', coalesce(lang, 'all'), 'accuracy', acc FROM p)""",
+)
+def evl_campaign(spark: SparkSession, d: str) -> DataFrame:
+    def losses(rows: DataFrame, rate: float) -> DataFrame:
+        chars = F.length("text").cast("bigint")
+        return rows.select("source", (chars * rate).alias("total_loss"), T.n_words(F.col("text")).cast("bigint").alias("n_tokens"), chars.alias("n_chars"), F.lit(1).alias("n_documents"))
+
+    pairs = table(spark, d, "labels").join(docs(spark, d, "doc_id", "lang"), "doc_id").select(F.col("lang").alias("category"), F.col("quality").alias("good"), F.col("toxic").alias("bad"))
+    judge = losses(table(spark, d, "benchmark").withColumn("source", F.lit("judge")), 0.5)
+    return evaluation.campaign(losses(docs(spark, d), 0.75), judge, pairs).withColumn("value", F.round("value", 6))
+
+
+@query(
+    "evl_costs",
+    "SELECT p_partkey, 6.0::DOUBLE * n * (p_size * 1000000) AS flops, round(p_retailprice * 1e12 * 2.0 * 3600.0 / (6.0::DOUBLE * n) / 1e9, 3) AS billion_tokens, round(p_size::DOUBLE * (n * 6) / 1e12, 12) AS mfu FROM (SELECT *, (p_partkey + 1) * 1000 AS n FROM part)",
+)
+def evl_costs(spark: SparkSession, d: str) -> DataFrame:
+    n = (F.col("p_partkey") + 1) * 1000
+    flops = evaluation.training_flops(n, F.col("p_size") * 1_000_000)
+    tokens_ = evaluation.tokens_for_budget(n, F.lit(2.0), F.col("p_retailprice"))
+    return table(spark, d, "part").select("p_partkey", flops.alias("flops"), F.round(tokens_ / 1e9, 3).alias("billion_tokens"), F.round(evaluation.utilization(F.col("p_size").cast("double"), n * 6, F.lit(1e12)), 12).alias("mfu"))
+
+
+@query(
+    "evl_kernel_report",
+    """WITH r AS (SELECT ['matmul', 'attention', 'bandwidth'][l_linenumber % 3 + 1] AS benchmark, CASE l_returnflag WHEN 'A' THEN 'bfloat16' ELSE 'float32' END AS dtype, CASE WHEN l_orderkey % 5 > 0 THEN l_quantity END AS tflops, l_tax AS gb, l_linenumber * 128 AS s FROM lineitem),
+m AS (SELECT dtype, max(tflops) AS t FROM r WHERE benchmark = 'matmul' GROUP BY 1), a AS (SELECT s, max(tflops) AS t FROM r WHERE benchmark = 'attention' GROUP BY 1)
+SELECT (SELECT string_agg(dtype || '=' || t, ',' ORDER BY dtype) FROM m) AS peak, (SELECT max(t) FILTER (dtype = 'bfloat16') / max(t) FILTER (dtype = 'float32') FROM m) AS ratio,
+  (SELECT max(gb) FROM r WHERE benchmark = 'bandwidth') AS gb_per_s, (SELECT string_agg(s || '=' || t, ',' ORDER BY s) FROM a) AS attention""",
+)
+def evl_kernel_report(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.element_at(F.array(F.lit("matmul"), F.lit("attention"), F.lit("bandwidth")), F.col("l_linenumber") % 3 + 1)
+    dtype = F.when(F.col("l_returnflag") == "A", "bfloat16").otherwise("float32")
+    rows = table(spark, d, "lineitem").select(kind.alias("benchmark"), dtype.alias("dtype"), F.when(F.col("l_orderkey") % 5 > 0, F.col("l_quantity")).alias("tflops"), F.col("l_tax").alias("gb_per_s"), (F.col("l_linenumber") * 128).alias("seq_len"))
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"].cast("string"))), ",")
+    told = evaluation.kernel_report(rows)
+    return told.select(listed("peak_tflops").alias("peak"), F.col("bf16_over_fp32").alias("ratio"), F.col("peak_gb_per_s").alias("gb_per_s"), listed("attention_tflops").alias("attention"))
+
+
+@query("evl_mean_loss", "SELECT event_type, round(avg(value), 6) AS val_loss, count(*) AS batches FROM events WHERE event_id % 7 <> 0 GROUP BY event_type")
+def evl_mean_loss(spark: SparkSession, d: str) -> DataFrame:
+    loss = F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    return evaluation.mean_loss(table(spark, d, "events").select("event_type", loss.alias("loss")), "event_type").withColumn("val_loss", F.round("val_loss", 6))
+
+
+@query("ops_last_steps", "SELECT 'run' || o_custkey % 97 AS run, coalesce(max(o_orderkey) FILTER (o_orderstatus <> 'P'), 0)::BIGINT AS step FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1")
+def ops_last_steps(spark: SparkSession, d: str) -> DataFrame:
+    run = F.concat(F.lit("/models/run"), (F.col("o_custkey") % 97).cast("string"))
+    step = F.when(F.col("o_orderstatus") == "P", "final").otherwise(F.lpad(F.col("o_orderkey").cast("string"), 8, "0"))
+    name = F.when(F.col("o_orderstatus") == "O", F.concat(run, F.lit("/logs/step-"), step, F.lit(".json"))).otherwise(F.concat(run, F.lit("/checkpoints/step-"), step, F.lit(".pt")))
+    return ops.last_steps(table(spark, d, "orders").select(name.alias("path")))
+
+
+@query(
+    "ops_largest_store",
+    """WITH l AS (SELECT 'u' || user_id % 5 AS label, user_id AS run, arg_max(event_id, (ts, event_id)) AS seen FROM events WHERE event_id % 3 <> 0 GROUP BY ALL), s AS (SELECT label, sum(seen) AS seen FROM l GROUP BY label)
+SELECT '/tokens/u3' AS path, 'u3' AS label, 5000000::BIGINT AS n_tokens, seen::BIGINT AS seen, round(1 - exp(-seen::DOUBLE / 5000000), 9) AS coverage, round(5000000 * exp(-seen::DOUBLE / 5000000), 3) AS never_read FROM s WHERE label = 'u3'""",
+)
+def ops_largest_store(spark: SparkSession, d: str) -> DataFrame:
+    stores = spark.createDataFrame([(f"/tokens/u{i}", f"u{i}", n) for i, n in enumerate((10, 0, 4_999_999, 5_000_000, 70))], "path string, label string, n_tokens bigint")
+    log = table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("ts").alias("t"), F.col("event_id").alias("step"), F.when(F.col("event_id") % 3 != 0, F.col("event_id")).alias("tokens_seen"), F.concat(F.lit("u"), (F.col("user_id") % 5).cast("string")).alias("corpus"))
+    return ops.largest_store(stores, log).withColumns({"coverage": F.round("coverage", 9), "never_read": F.round("never_read", 3)})
+
+
+@query("ops_assemblies", "SELECT o_orderkey, o_orderkey % 4 = 1 OR o_orderkey % 4 = 2 AS assembly FROM orders")
+def ops_assemblies(spark: SparkSession, d: str) -> DataFrame:
+    named = lambda *names: F.array(*[F.struct(F.lit(n).alias("name")) for n in names])
+    kinds = F.when(F.col("o_orderkey") % 4 == 1, named("shards")).when(F.col("o_orderkey") % 4 == 2, named("shards", "shards")).when(F.col("o_orderkey") % 4 == 3, named("shards", "hf"))
+    return table(spark, d, "orders").select("o_orderkey", ops.is_assembly(kinds).alias("assembly"))
+
+
+@query(
+    "rag_body_queries",
+    f"""WITH t AS (SELECT DISTINCT doc_id, unnest({_TERMS}) AS term FROM documents), df AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+x AS (SELECT doc_id, {_TERMS} AS title FROM (SELECT doc_id, array_to_string({_WORDS}[1:9], ' ') AS text FROM documents)),
+r AS (SELECT t.doc_id, t.term, row_number() OVER (PARTITION BY t.doc_id ORDER BY df, t.term) AS k FROM t JOIN df USING (term) JOIN x ON x.doc_id = t.doc_id AND NOT list_contains(title, t.term))
+SELECT doc_id::VARCHAR AS qid, array_to_string(list_sort(list(term)), ' ') AS terms FROM r WHERE k <= 5 GROUP BY doc_id""",
+)
+def rag_body_queries(spark: SparkSession, d: str) -> DataFrame:
+    rows = docs(spark, d, "doc_id", "text").select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("source"), F.array_join(F.slice(T.words(F.col("text")), 1, 9), " ").alias("title"), "text")
+    postings, _ = retrieval.index(rows.drop("title"))
+    return retrieval.body_queries(rows, materialize(postings, "postings")).select("qid", F.array_join("terms", " ").alias("terms"))
+
+
+@query(
+    "rag_prompts",
+    _RANKED
+    + r"""SELECT qid, md5('Extraits de mes notes :' || chr(10) || chr(10) || array_to_string(list_reduce([{'b': []::VARCHAR[], 'n': (900 - len(regexp_extract_all('Extraits de mes notes : Question : ' || any_value(asked) || ' Réponse :', '\S+')))::BIGINT}]
+  || list({'b': [block], 'n': len(regexp_extract_all(block, '\S+'))::BIGINT} ORDER BY rank), lambda a, x: CASE WHEN x.n <= a.n THEN {'b': a.b || x.b, 'n': a.n - x.n} ELSE a END).b, chr(10))
+  || chr(10) || 'Question : ' || any_value(asked) || chr(10) || 'Réponse :') AS digest, array_to_string(list(id ORDER BY rank), ',') AS sources
+FROM (SELECT r.*, '[doc ' || id || ']' || chr(10) || d.text || chr(10) AS block, b.text AS asked FROM r JOIN documents d ON d.doc_id = r.id JOIN benchmark b ON b.item_id = r.qid WHERE rank <= 5) GROUP BY qid""",
+)
+def rag_prompts(spark: SparkSession, d: str) -> DataFrame:
+    ranked = retrieval.search(*_searchable(spark, d), k=5)
+    rows = docs(spark, d, "doc_id", "text").withColumnRenamed("doc_id", "id")
+    found = ranked.join(rows, "id").select("qid", "rank", F.concat(F.lit("doc "), "id").alias("title"), "text", F.col("id").cast("string").alias("source"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    made = retrieval.prompts(found, asked, 900)
+    return made.select("qid", F.md5(F.col("prompt").cast("binary")).alias("digest"), F.array_join("sources", ",").alias("sources"))
+
+
+@query(
+    "tok_comparison",
+    rf"""WITH c AS (SELECT sum(length(text))::BIGINT AS chars, sum(len({_WORDS}))::BIGINT AS words FROM documents)
+SELECT 'words' AS tokenizer, words AS tokens, 1.0::DOUBLE AS fertility, round_even(chars::DOUBLE / words, 3) AS chars_per_token, round_even(1 - words::DOUBLE / chars, 4) AS tokens_saved FROM c
+UNION ALL SELECT 'chars', chars, round_even(chars::DOUBLE / words, 4), 1.0::DOUBLE, 0.0::DOUBLE FROM c""",
+)
+def tok_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Without the pieces of gpt2, whose pattern looks ahead, which the SQL can't."""
+    return tokenizer.comparison(tokenizer.baselines(docs(spark, d)), "chars").where("tokenizer <> 'gpt2 pieces'")
