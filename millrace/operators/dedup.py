@@ -32,22 +32,25 @@ def exact(docs: DataFrame, *order: str) -> DataFrame:
     the copies are few. Of rows that are equal in fingerprint and order one stays, whichever; null texts are copies of each other.
     """
     keys = list(order) or ["doc_id"]
-    fp, at, hit = (unused(docs, f"__{x}") for x in ("fp", "at", "hit"))
-    marked = docs.withColumns({fp: F.coalesce(T.fingerprint(F.col("text")), F.lit("")), at: F.struct(*keys)})
-    counted = materialize(marked.groupBy(fp, at).agg(F.count(F.lit(1)).alias("n")), "exact")
-    first = counted.groupBy(fp).agg(F.min(at).alias("first"))
-    judged = counted.join(first, fp).select(fp, at, "n", (F.col(at) == F.col("first")).alias("is_first"))
-    copies = materialize(judged.where("not is_first").select(fp, at, F.lit(True).alias(hit)), "copies")
-    out = marked.join(small(copies, copies.count()), [fp, at], "left").withColumn("exact_copy", F.coalesce(F.col(hit), F.lit(False)))
+    fp, at, digest, hit = (unused(docs, f"__{x}") for x in ("fp", "at", "digest", "hit"))
+    # Fingerprints are costly, so rows meet their verdict by a hash of the text as it is.
+    marked = docs.withColumns({at: F.struct(*keys), digest: F.xxhash64("text")})
+    counted = marked.groupBy(F.coalesce(T.fingerprint(F.col("text")), F.lit("")).alias(fp), at, digest).agg(F.count(F.lit(1)).alias("n"))
+    first = counted.groupBy(fp).agg(F.min(F.struct(at, digest)).alias("first"))
+    judged = counted.join(first, fp).select(at, digest, "n", (F.struct(at, digest) == F.col("first")).alias("is_first"))
+    judged = materialize(judged.where("not is_first or n > 1"), "copies")
+    n_copies, n_tied = judged.agg(F.count_if(~F.col("is_first")), F.count_if("is_first")).first()
+    copies = judged.where("not is_first").select(at, digest, F.lit(True).alias(hit))
+    out = marked.join(small(copies, n_copies), [at, digest], "left").withColumn("exact_copy", F.coalesce(F.col(hit), F.lit(False)))
     shown = [*columns(docs), F.col("exact_copy")]
+    if not n_tied:
+        return out.select(*shown)
     # Rows that repeat in full: all of them but one are copies.
-    again = materialize(judged.where("is_first and n > 1").select(fp, at), "ties")
-    if n := again.count():
-        tied = materialize(out.join(small(again, n), [fp, at], "left_semi").withColumn(hit, F.monotonically_increasing_id()), "tied")
-        one = tied.groupBy(fp, at).agg(F.min(hit).alias("one"))
-        chosen = tied.join(one, [fp, at]).withColumn("exact_copy", F.col(hit) != F.col("one"))
-        return out.join(small(again, n), [fp, at], "left_anti").select(*shown).unionByName(chosen.select(*shown))
-    return out.select(*shown)
+    again = small(judged.where("is_first").select(at, digest), n_tied)
+    tied = materialize(out.join(again, [at, digest], "left_semi").withColumn(hit, F.monotonically_increasing_id()), "tied")
+    one = tied.groupBy(at, digest).agg(F.min(hit).alias("one"))
+    chosen = tied.join(one, [at, digest]).withColumn("exact_copy", F.col(hit) != F.col("one"))
+    return out.join(again, [at, digest], "left_anti").select(*shown).unionByName(chosen.select(*shown))
 
 
 def lsh_threshold(bands: int, rows: int) -> float:
@@ -83,6 +86,13 @@ def coefficients(permutations: int, seed: int) -> np.ndarray:
     return np.stack([rng.integers(1, 1 << 32, permutations, dtype=np.uint64) | 1, rng.integers(0, 1 << 32, permutations, dtype=np.uint64)])
 
 
+def _residues(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo 2^61 - 1, by folding the high bits onto the low ones instead of dividing."""
+    p = np.uint64(MERSENNE_61)
+    x = (x & p) + (x >> np.uint64(61))
+    return np.where(x >= p, x - p, x)
+
+
 def band_keys(docs: DataFrame, *, bands: int = 16, rows: int = 8, shingle_size: int = 5, max_words: int | None = None, seed: int = 1337) -> DataFrame:
     """doc_id and ``keys``: a hash per band of the MinHash signature; no keys for texts shorter than a shingle."""
     c = coefficients(bands * rows, seed)
@@ -98,7 +108,7 @@ def band_keys(docs: DataFrame, *, bands: int = 16, rows: int = 8, shingle_size:
                     continue
                 least = np.full(bands * rows, MERSENNE_61, np.uint64)
                 for a in range(0, len(h), 512):
-                    least = np.minimum(least, ((c[0][:, None] * h[None, a : a + 512] + c[1][:, None]) % np.uint64(MERSENNE_61)).min(axis=1))
+                    least = np.minimum(least, _residues(c[0][:, None] * h[None, a : a + 512] + c[1][:, None]).min(axis=1))
                 keys.append(least.view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "signature"])
 
@@ -138,7 +148,7 @@ def deduplicate(docs: DataFrame, *, near: bool = True, **params: int) -> DataFra
     if not near:
         return marked.withColumn("verdict", F.when(F.col("exact_copy"), "exact").otherwise("kept")).drop("exact_copy")
     marked = materialize(marked, "exact")
-    keys = band_keys(marked.where("not exact_copy"), **params).withColumn("ord", F.col("doc_id"))
+    keys = materialize(band_keys(marked.where("not exact_copy"), **params), "band-keys").withColumn("ord", F.col("doc_id"))
     dropped = greedy(keys).withColumn("__near", F.lit(True))
     verdict = F.when(F.col("exact_copy"), F.lit("exact")).when(F.col("__near"), F.lit("near")).otherwise(F.lit("kept"))
     return marked.join(dropped, "doc_id", "left").withColumn("verdict", verdict).drop("exact_copy", "__near")

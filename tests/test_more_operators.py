@@ -218,3 +218,11 @@ def test_secrets():
 def test_frames(spark):
     df = spark.createDataFrame([(1, 2)], "__K int, `a b` int")
     assert frames.unused(df, "__k") == "__k_" and frames.unused(df, "x") == "x" and df.select(*frames.columns(df)).columns == df.columns
+
+
+def test_residues():
+    import numpy as np
+
+    p = (1 << 61) - 1
+    x = [0, 1, p - 1, p, p + 1, 2 * p, 3 * p, 7 * p, 8 * p, 8 * p + 7, (1 << 64) - 1, *(k * 0x9E3779B97F4A7C15 % (1 << 64) for k in range(1000))]
+    assert [int(r) for r in dedup._residues(np.array(x, dtype=np.uint64))] == [v % p for v in x]
