@@ -58,10 +58,14 @@ def table(spark: SparkSession, *, label: str, dataset: str, format: str = "parqu
     return out
 
 
-def _files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """(path relative to the root, value) of whole files."""
+def _files(spark: SparkSession, root: str, pattern: str, encoding: str = "UTF-8") -> DataFrame:
+    """(path relative to the root, value) of whole files; ``encoding`` is one that Spark decodes."""
     name = F.col("_metadata.file_path")
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
+    found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    if encoding.upper() == "UTF-8":
+        rows = found.text(root, wholetext=True)
+    else:
+        rows = found.format("binaryFile").load(root).withColumn("value", F.decode("content", encoding))
     base = root.rstrip("/").split("://")[-1].replace("file:", "")
     return rows.select("value", F.regexp_replace(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), rf"^.*?\Q{base}\E/", "").alias("path"))
 
@@ -84,9 +88,9 @@ def notes(spark: SparkSession, *, label: str, vault: str, lang: str = "fr", excl
 
 
 @SOURCES.register("books", "gutenberg")
-def books(spark: SparkSession, *, label: str, root: str, pattern: str = "*.txt", lang: str = "fr", target_words: int = 1200, min_words: int = 100, limit: int | None = None) -> DataFrame:
+def books(spark: SparkSession, *, label: str, root: str, pattern: str = "*.txt", lang: str = "fr", target_words: int = 1200, min_words: int = 100, encoding: str = "UTF-8", limit: int | None = None) -> DataFrame:
     """Chunks of books; short chunks are left out but keep their numbers."""
-    rows = _files(spark, root, pattern).withColumn("stem", F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1))
+    rows = _files(spark, root, pattern, encoding).withColumn("stem", F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1))
     cut = rows.select("stem", F.posexplode(retrieval.book_chunks(T.strip_book_frame(F.col("value")), target_words)).alias("i", "chunk"))
     key = F.concat("stem", F.lit("#"), F.col("i").cast("string"))
     out = shaped(cut, label, key, F.col("chunk"), lang, F.create_map(F.lit("book"), F.col("stem")), F.format_string("%s#%09d", "stem", "i"))
@@ -94,9 +98,9 @@ def books(spark: SparkSession, *, label: str, root: str, pattern: str = "*.txt",
 
 
 @SOURCES.register("files", "local_files")
-def files(spark: SparkSession, *, label: str, root: str, pattern: str = "*.txt", lang: str = "unknown", limit: int | None = None) -> DataFrame:
+def files(spark: SparkSession, *, label: str, root: str, pattern: str = "*.txt", lang: str = "unknown", encoding: str = "UTF-8", limit: int | None = None) -> DataFrame:
     """One document per file that is not blank."""
-    rows = _files(spark, root, pattern)
+    rows = _files(spark, root, pattern, encoding)
     return limited(shaped(rows, label, F.col("path"), F.col("value"), lang).where(T.strip(F.col("text")) != ""), limit)
 
 

@@ -226,3 +226,20 @@ def test_residues():
     p = (1 << 61) - 1
     x = [0, 1, p - 1, p, p + 1, 2 * p, 3 * p, 7 * p, 8 * p, 8 * p + 7, (1 << 64) - 1, *(k * 0x9E3779B97F4A7C15 % (1 << 64) for k in range(1000))]
     assert [int(r) for r in dedup._residues(np.array(x, dtype=np.uint64))] == [v % p for v in x]
+
+
+def test_files_in_another_encoding(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_bytes("été à Noël".encode("latin-1"))
+    rows = SOURCES.get("files")(spark, label="f", root=str(tmp_path / "in"), encoding="ISO-8859-1").collect()
+    assert [(r["id"], r["text"]) for r in rows] == [("f:a.txt", "été à Noël")]
+
+
+def test_env_file_is_read_once(tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / ".env").write_text("MILLRACE_TEST_PLACE=here\n")
+    (tmp_path / "c.toml").write_text('a = "${MILLRACE_TEST_PLACE}"\n')
+    monkeypatch.setenv("MILLRACE_TEST_PLACE", "")
+    monkeypatch.delenv("MILLRACE_TEST_PLACE")
+    config._own_env.cache_clear()
+    assert config.load(tmp_path / "c.toml") == {"a": "here"}
