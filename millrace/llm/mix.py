@@ -101,8 +101,9 @@ def _goals(docs: DataFrame) -> DataFrame:
     return _met(placed(rows), targets(rows), ["source"])
 
 
-def _copies(rank: Column) -> Column:
-    step = lambda k: F.floor(F.col("ratio") * k.cast("double") + F.col("offset"))
+def _copies(rank: Column, ratio: str = "ratio", offset: str = "offset") -> Column:
+    """Integer boundaries that the step of the document at ``rank`` crosses."""
+    step = lambda k: F.floor(F.col(ratio) * k.cast("double") + F.col(offset))
     return F.least(F.lit(CAP), step(rank + 1) - step(rank)).cast("long")
 
 
@@ -134,12 +135,8 @@ def mixed(docs: DataFrame) -> DataFrame:
         right = right if counted is None else common.small(right, counted)
         return rows.join(right, F.col("doc_id").eqNullSafe(F.col(ids[0])) & F.col(at[1]).eqNullSafe(F.col(ids[1])) & (F.col(at[2]) == F.col(ids[2])))
 
-    def copied(rank: Column) -> Column:
-        step = lambda k: F.floor(F.col(name["ratio"]) * k.cast("double") + F.col(name["offset"]))
-        return F.least(F.lit(CAP), step(rank + 1) - step(rank)).cast("long")
-
     def emitted(rows: DataFrame, rank: Column) -> DataFrame:
-        n = copied(rank)
+        n = _copies(rank, name["ratio"], name["offset"])
         out = rows.where(n > 0).select("*", F.explode(F.sequence(F.lit(1).cast("long"), n)).alias(name["copy"]))
         added = {"copy_no": F.col(name["copy"]), "target_words": F.col(name["target"])}
         return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[added[c].alias(c) for c in added if c not in docs.columns])
