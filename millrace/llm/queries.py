@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, licenses, mix, pii, quality_knn, quality_rules, simhash_cover, toxicity, winnow
+from . import chat, hard_negatives, langid, licenses, mix, pii, quality_knn, quality_rules, simhash_cover, toxicity, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_neighbours": quality_knn.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_bytes": langid.query,
     "op9_toxicity_conv": toxicity.query,
     "op10_simhash_anchor_cover": simhash_cover.query,
+    "op12_hard_negatives": hard_negatives.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -26,4 +27,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_winnowing_decontamination": winnow.SQL,
     "op5_systematic_mixing": mix.SQL,
     "op7_quality_cascade": quality_rules.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
 }
