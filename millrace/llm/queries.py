@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, hard_negatives, langid, licenses, mix, pii, quality_knn, quality_rules, simhash_cover, toxicity, winnow
+from . import chat, hard_negatives, langid, licenses, mix, pii, point_in_time, quality_knn, quality_rules, simhash_cover, suffix_dedup, toxicity, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_neighbours": quality_knn.query,
@@ -19,7 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_bytes": langid.query,
     "op9_toxicity_conv": toxicity.query,
     "op10_simhash_anchor_cover": simhash_cover.query,
+    "op11_point_in_time": point_in_time.query,
     "op12_hard_negatives": hard_negatives.query,
+    "op13_suffix_ranks": suffix_dedup.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -27,5 +29,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_winnowing_decontamination": winnow.SQL,
     "op5_systematic_mixing": mix.SQL,
     "op7_quality_cascade": quality_rules.SQL,
+    "op11_point_in_time": point_in_time.SQL,
     "op12_hard_negatives": hard_negatives.SQL,
+    "op13_suffix_ranks": suffix_dedup.SQL,
 }
