@@ -9,6 +9,7 @@ from millrace.functions import text as T
 from millrace.operators import retrieval
 from millrace.plans import storage
 from millrace.plans.registry import Registry
+from millrace.sources import zstd_lines
 
 SOURCES: Registry[DataFrame] = Registry("source")
 #: Fields that may hold a row's text or its id, the first non-empty string wins.
@@ -115,7 +116,10 @@ def shards(spark: SparkSession, *, path: str | None = None, artifact: str | None
         raise ValueError("shards are found by a path or by an artifact's label")
     if path is None:
         path = f"{storage.newest(spark, root or '.', 'corpora', artifact)}/{source}"
-    if format == "json":
+    if format == "zstd":
+        zstd_lines.register(spark)
+        rows = from_json(spark.read.format("zstd_lines").load(path))
+    elif format == "json":
         rows = from_json(spark.read.text(path))
     else:
         rows = spark.read.parquet(path)

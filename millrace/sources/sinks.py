@@ -7,14 +7,20 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import retrieval
+from millrace.sources import to_json, zstd_lines
 
 
 def write_shards(docs: DataFrame, path: str, *, max_documents: int = 100_000, max_bytes: int | None = None, format: str = "parquet", mode: str = "overwrite") -> DataFrame:
-    """Write documents in files of at most so many rows (zstd Parquet, or gzip JSON lines); totals per source.
+    """Write documents in shards of at most so many documents (zstd or gzip JSON lines, or zstd Parquet); totals per source.
 
-    ``max_bytes`` bounds a file's texts as well, before compression, on average over the documents: rows a file are as many as
-    texts of the mean length fit.
+    ``max_bytes`` bounds a shard too. As ``zstd`` a shard is closed once it has so many compressed bytes, 256 MB by default; of the
+    other formats Spark writes the files, and as many rows go into each as texts of the mean length fit, before compression.
     """
+    if format == "zstd":
+        zstd_lines.register(docs.sparkSession)
+        out = to_json(docs).write.format("zstd_lines").mode(mode).option("max_documents", max_documents)
+        (out if max_bytes is None else out.option("max_bytes", max_bytes)).save(path)
+        return _totals(docs)
     if max_bytes is not None:
         mean = docs.agg(F.avg(F.octet_length("text"))).first()[0] or 0.0
         max_documents = max(1, min(max_documents, int(max_bytes / mean) if mean else max_documents))
@@ -23,6 +29,10 @@ def write_shards(docs: DataFrame, path: str, *, max_documents: int = 100_000, ma
         out.option("ignoreNullFields", "true").option("compression", "gzip").json(path)
     else:
         out.option("compression", "zstd").parquet(path)
+    return _totals(docs)
+
+
+def _totals(docs: DataFrame) -> DataFrame:
     return docs.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(T.n_words(F.col("text")).cast("bigint")).alias("words"))
 
 
