@@ -3,7 +3,8 @@
 ``docs`` has ``doc_id`` and ``text``; the order is ``order`` (columns, default doc_id). Exact: the first document of a
 fingerprint stays. Near: documents are taken in order, and one is dropped if it shares a band key with a document kept
 before; only kept documents register their keys. That is the first maximal independent set in document order of the
-graph of shared keys, and it is found in rounds, each two aggregations over (document, key) rows.
+graph of shared keys. Its connected components are found first; most are small and solved in order inside a task, and only giant ones
+are decided in rounds over (document, key) rows.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions.frames import columns, small, unused
+from millrace.operators.components import components
 from millrace.plans.storage import materialize
 
 #: The base of the shingle hash and the modulus of the permutations.
@@ -118,40 +121,105 @@ def band_keys(docs: DataFrame, *, bands: int = 16, rows: int = 8, shingle_size:
     return signed.select("doc_id", F.when(F.size("signature") > 0, parts).otherwise(F.array().cast("array<bigint>")).alias("keys"))
 
 
-def greedy(keys: DataFrame) -> DataFrame:
-    """doc_id of the documents to drop; ``keys`` has doc_id, ``ord`` (unique) and ``keys``.
+#: Rows (document, key) of a component up to which one task takes its documents in order, and rows of such a task.
+COMPONENT_ROWS, TASK_ROWS = 1_000_000, 200_000
+
+
+def greedy(keys: DataFrame, *, component_rows: int = COMPONENT_ROWS) -> DataFrame:
+    """doc_id of the documents to drop; ``keys`` has doc_id, ``ord`` (unique, orderable) and ``keys``.
+
+    Documents that share keys, directly or through others, are a component; verdicts of one don't depend on another. Those of
+    up to ``component_rows`` rows are dealt to tasks whole, and a task takes its documents in order, with the keys
+    met so far. Larger ones stay distributed, and are decided in rounds (:func:`in_rounds`).
+    """
+    pairs = materialize(keys.select("doc_id", "ord", F.explode(F.array_distinct("keys")).alias("key")), "greedy-pairs")
+    shared = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("least")).where("n > 1")
+    # Documents without a shared key are kept at once and decide nothing.
+    pairs = materialize(pairs.join(shared.select("key", "least"), "key"), "greedy-shared")
+    found = components(pairs.select(F.col("ord").alias("a"), F.col("least").alias("b")))
+    placed = pairs.join(found.withColumnRenamed("node", "ord"), "ord")
+    sizes = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    placed = materialize(placed.join(sizes.select("root", (F.col("n") > component_rows).alias("giant")), "root"), "greedy-placed")
+    n_rows, n_giant = placed.agg(F.count(F.lit(1)), F.count_if("giant")).first()
+    kind = keys.schema["doc_id"].dataType.simpleString()
+    tasks = max(1, -(-n_rows // TASK_ROWS))
+    small_ones = placed.where("not giant").withColumn("task", F.pmod(F.xxhash64("root"), F.lit(tasks)))
+    rank = F.struct("ord", "key")
+    dropped = small_ones.groupBy("task").agg(F.sort_array(F.collect_list(rank)).alias("rows")).select("rows").mapInArrow(_in_order, f"doc_id {keys.schema['ord'].dataType.simpleString()}")
+    ids = keys.select("doc_id", "ord")
+    dropped = dropped.withColumnRenamed("doc_id", "ord")
+    if n_giant:
+        giant = in_rounds(placed.where("giant").select(F.col("ord").alias("doc_id"), "ord", "key", "least"))
+        dropped = dropped.unionByName(giant.withColumnRenamed("doc_id", "ord"))
+    return ids.join(dropped, "ord", "left_semi").select(F.col("doc_id").cast(kind).alias("doc_id"))
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents to drop among rows (ord, key) sorted by ord: those that share a key with one kept before."""
+    for batch in batches:
+        rows = batch.column(0)
+        for i in range(len(rows)):
+            of = rows[i].values
+            place, key = of.field("ord"), of.field("key").to_numpy()
+            # Rows of a document lie together; where does each begin?
+            same = [np.asarray(pc.equal(f[1:], f[:-1]).fill_null(False)) | np.asarray(pc.and_(pc.is_null(f[1:]), pc.is_null(f[:-1]))) for f in _flat(place)]
+            begins = np.append(0, np.flatnonzero(~np.logical_and.reduce(same)) + 1) if len(place) > 1 else np.zeros(min(1, len(place)), np.int64)
+            met: set[int] = set()
+            dropped = []
+            for a, z in zip(begins, np.append(begins[1:], len(key)), strict=True):
+                own = key[a:z].tolist()
+                if met.isdisjoint(own):
+                    met.update(own)
+                else:
+                    dropped.append(a)
+            yield pa.RecordBatch.from_arrays([place.take(pa.array(dropped, pa.int64()))], ["doc_id"])
+
+
+def _flat(values: pa.Array) -> list[pa.Array]:
+    """The fields of a struct, or the values themselves."""
+    return values.flatten() if pa.types.is_struct(values.type) else [values]
+
+
+def in_rounds(open_: DataFrame) -> DataFrame:
+    """doc_id to drop among rows (doc_id, ord, key, least) of shared keys, however many documents hang together.
 
     Each round a document that is the first open one of all its keys is kept, and the open ones that share a key with
     it are dropped; the smallest open one always is kept, so the rounds end. Decided documents leave the table, and so
     do keys that only one open document is left with: rounds shrink, and a long chain of shared keys costs many rounds of few rows.
     """
-    pairs = keys.select("doc_id", "ord", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("least")).where("n > 1")
-    # Documents without a shared key are kept at once and decide nothing.
-    open_ = materialize(pairs.join(shared.select("key", "least"), "key"), "greedy")
-    dropped = None
+    dropped = open_.select("doc_id").where("false")
+    open_ = materialize(open_, "greedy")
     while not open_.isEmpty():
         first = open_.groupBy("doc_id").agg(F.bool_and(F.col("least") == F.col("ord")).alias("first")).where("first").select("doc_id")
         kept = open_.join(first, "doc_id", "left_semi").select("key").distinct()
         gone = materialize(open_.join(kept, "key", "left_semi").select("doc_id").distinct().join(first, "doc_id", "left_anti"), "dropped")
-        dropped = gone if dropped is None else dropped.unionByName(gone)
+        dropped = dropped.unionByName(gone)
         left = open_.join(gone.unionByName(first), "doc_id", "left_anti").select("doc_id", "ord", "key")
         # A key of one open document decides nothing more; a document that has no other key left is kept.
         still = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("least")).where("n > 1")
         open_ = materialize(left.join(still.select("key", "least"), "key"), "greedy", instead_of=open_)
-    return dropped if dropped is not None else keys.select("doc_id").where("false")
+    return dropped
+
+
+def row_place(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """What tells rows apart and puts them in order where ids are null or repeated: the id, then 128 bits of the text."""
+    return F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
 
 
 def deduplicate(docs: DataFrame, *, near: bool = True, **params: int) -> DataFrame:
-    """``docs`` with ``verdict``: kept, exact or near. Exact copies are found first and take no part in the second step."""
+    """``docs`` with ``verdict``: kept, exact or near. Exact copies are found first and take no part in the second step.
+
+    Documents come in the order of doc_id, null first; rows of one id in that of a hash of their texts.
+    """
     marked = exact(docs)
     if not near:
         return marked.withColumn("verdict", F.when(F.col("exact_copy"), "exact").otherwise("kept")).drop("exact_copy")
+    at, hit = unused(marked, "__at"), unused(marked, "__hit")
     marked = materialize(marked, "exact")
-    keys = materialize(band_keys(marked.where("not exact_copy"), **params), "band-keys").withColumn("ord", F.col("doc_id"))
-    dropped = greedy(keys).withColumn("__near", F.lit(True))
-    verdict = F.when(F.col("exact_copy"), F.lit("exact")).when(F.col("__near"), F.lit("near")).otherwise(F.lit("kept"))
-    return marked.join(dropped, "doc_id", "left").withColumn("verdict", verdict).drop("exact_copy", "__near")
+    keys = band_keys(marked.where("not exact_copy").select(row_place().alias("doc_id"), "text"), **params)
+    dropped = greedy(keys.withColumn("ord", F.col("doc_id"))).select(F.col("doc_id").alias(at), F.lit(True).alias(hit))
+    verdict = F.when(F.col("exact_copy"), F.lit("exact")).when(F.col(hit), F.lit("near")).otherwise(F.lit("kept"))
+    return marked.withColumn(at, row_place()).join(dropped, at, "left").withColumn("verdict", verdict).select(*columns(docs), "verdict")
 
 
 def stats(verdicts: DataFrame) -> DataFrame:

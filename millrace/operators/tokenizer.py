@@ -5,7 +5,9 @@ from __future__ import annotations
 import heapq
 import json
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,15 +49,87 @@ def frequencies(docs: DataFrame, name: str = "french") -> DataFrame:
     return docs.select(F.explode(pieces(F.col("text"), name)).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
 
 
-def train(counts: DataFrame, *, vocab_size: int, min_frequency: int = 2, max_pieces: int = 2_000_000) -> list[tuple[int, int]]:
+#: Rows of different token runs that the driver takes at a time in training.
+RUNS = 1_000_000
+
+
+def train(counts: DataFrame, *, vocab_size: int, min_frequency: int = 2, max_runs: int = RUNS, passes: list[int] | None = None) -> list[tuple[int, int]]:
     """Merges of a byte-level BPE, the most frequent pair first, the smaller pair of equal ones.
 
-    The table of different pieces goes to the driver while it has up to ``max_pieces`` rows; beyond that it stays where it
-    is and every merge is a pass over it. Both give the same merges. Ids: specials, then 256 bytes, then one per merge.
+    Pieces stay distributed. A pass counts pairs where the pieces are and takes those that occur at least some number of
+    times; it cuts every piece into its runs of such pairs and sums up equal runs, of which the driver gets at most
+    ``max_runs``. A pair that a merge makes is no more frequent than the pairs it came from, so all pairs of at least that
+    number, made now or later, lie within runs, and the merges among them are exact: the driver makes them all, and then the
+    pieces are rewritten, once for the pass. The number is chosen so that the runs fit; at worst a pass is one merge.
+    ``passes``, if given, gets the merges after each pass. Ids: specials, then 256 bytes, then one per merge.
     """
-    if counts.count() > max_pieces:
-        return _train_in_place(counts, vocab_size, min_frequency)
-    rows = [([SPECIALS + b for b in r["piece"].encode()], r["n"]) for r in counts.collect()]
+    raw = F.encode("piece", "UTF-8")
+    # Bytes as numbers: two hex digits each.
+    ids = F.transform(F.sequence(F.lit(0), F.octet_length("piece") - 1), lambda i: F.conv(F.substr(F.hex(raw), i * 2 + 1, F.lit(2)), 16, 10).cast("int") + SPECIALS)
+    rows = materialize(counts.where(F.octet_length("piece") > 1).select(ids.alias("ids"), F.col("n").cast("bigint").alias("n")), "bpe")
+    wanted = vocab_size - SPECIALS - 256
+    merges: list[tuple[int, int]] = []
+    n_pairs = 1 << 16
+    while len(merges) < wanted:
+        pairs = F.zip_with(F.slice("ids", F.lit(1), F.size("ids") - 1), F.slice("ids", F.lit(2), F.size("ids") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        weights = rows.select(F.explode(pairs).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("w")).where(F.col("w") >= min_frequency)
+        best = [(r["w"], r["p"]["a"], r["p"]["b"]) for r in weights.orderBy(F.desc("w"), "p.a", "p.b").limit((1 << 16) + 1).collect()]
+        if not best:
+            break
+        while True:
+            found, least = _frequent(best, n_pairs, min_frequency)
+            if len(found) == 1:
+                more, n_pairs = [best[0][1:]], 4 * n_pairs
+                break
+            runs = materialize(_runs(rows, found), "bpe-runs")
+            if runs.count() <= max_runs:
+                more = _merge_runs([(r["ids"], r["n"]) for r in runs.toLocalIterator()], least, len(merges), wanted)
+                n_pairs = min(1 << 16, 4 * n_pairs)
+                break
+            n_pairs = max(1, min(n_pairs, len(found)) // 4)
+        ranks = {pair: len(merges) + i for i, pair in enumerate(more)}
+        merges += more
+        rows = materialize(_rewritten(rows, ranks), "bpe", instead_of=rows)
+        if passes is not None:
+            passes.append(len(merges))
+    return merges
+
+
+def _frequent(best: list[tuple[int, int, int]], n: int, min_frequency: int) -> tuple[list[tuple[int, int]], int]:
+    """Of pairs by falling weight the first n or so, and the weight from which they are all that there are."""
+    if n >= len(best) and len(best) <= 1 << 16:
+        return [p[1:] for p in best], min_frequency
+    least = best[min(n, len(best) - 1)][0] + 1  # equal ones stay together
+    kept = [p[1:] for p in best if p[0] >= least]
+    return (kept or [best[0][1:]]), least
+
+
+def _runs(rows: DataFrame, found: list[tuple[int, int]]) -> DataFrame:
+    """(ids, n): the longest runs of ``found`` pairs in the pieces, equal ones summed up."""
+    wanted = np.sort(np.array([a << 32 | b for a, b in found], np.int64))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, n = batch.column(0), batch.column(1).to_numpy()
+            ids, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            lengths = np.diff(ends)
+            ids = ids[ends[0] : ends[-1]]
+            piece = np.repeat(np.arange(len(n)), lengths)
+            pair = ids[:-1].astype(np.int64) << 32 | ids[1:]
+            at = np.searchsorted(wanted, pair)
+            joined = (wanted[np.minimum(at, len(wanted) - 1)] == pair) & (piece[:-1] == piece[1:])
+            starts = np.flatnonzero(np.append(True, ~joined))  # runs, of one token too
+            sizes = np.diff(np.append(starts, len(ids)))
+            long = sizes > 1
+            keep = np.repeat(long, sizes)
+            offsets = np.append(0, np.cumsum(sizes[long])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[keep], pa.int32())), pa.array(n[piece[starts[long]]], pa.int64())], ["ids", "n"])
+
+    return rows.mapInArrow(cut, "ids array<int>, n bigint").groupBy("ids").agg(F.sum("n").alias("n"))
+
+
+def _merge_runs(rows: list[tuple[list[int], int]], least: int, done: int, wanted: int) -> list[tuple[int, int]]:
+    """The next merges while the best pair has at least the weight ``least``; ``done`` were made before."""
     where: dict[tuple[int, int], set[int]] = defaultdict(set)
     weight: Counter = Counter()
     for k, (ids, m) in enumerate(rows):
@@ -65,13 +139,13 @@ def train(counts: DataFrame, *, vocab_size: int, min_frequency: int = 2, max_pie
     heap = [(-w, p) for p, w in weight.items()]
     heapq.heapify(heap)
     merges: list[tuple[int, int]] = []
-    while heap and len(merges) < vocab_size - SPECIALS - 256:
+    while heap and done + len(merges) < wanted:
         w, pair = heapq.heappop(heap)
         if -w != weight.get(pair, 0):
             continue  # an old entry
-        if -w < min_frequency:
+        if -w < least:
             break
-        new = SPECIALS + 256 + len(merges)
+        new = SPECIALS + 256 + done + len(merges)
         merges.append(pair)
         touched = set()
         for k in where.pop(pair):
@@ -92,33 +166,43 @@ def train(counts: DataFrame, *, vocab_size: int, min_frequency: int = 2, max_pie
     return merges
 
 
-def _train_in_place(counts: DataFrame, vocab_size: int, min_frequency: int) -> list[tuple[int, int]]:
-    """As :func:`train`, without collecting the pieces: pairs are counted where they are, one aggregation a merge."""
-    raw = F.encode("piece", "UTF-8")
-    # Bytes as numbers: two hex digits each.
-    ids = F.transform(F.sequence(F.lit(0), F.octet_length("piece") - 1), lambda i: F.conv(F.substr(F.hex(raw), i * 2 + 1, F.lit(2)), 16, 10).cast("int") + SPECIALS)
-    rows = materialize(counts.where(F.octet_length("piece") > 0).select(ids.alias("ids"), "n"), "bpe")
-    merges: list[tuple[int, int]] = []
-    while len(merges) < vocab_size - SPECIALS - 256:
-        pairs = F.zip_with(F.slice("ids", F.lit(1), F.size("ids") - 1), F.slice("ids", F.lit(2), F.size("ids") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        weights = rows.where(F.size("ids") > 1).select(F.explode(pairs).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("w"))
-        best = weights.orderBy(F.desc("w"), "p.a", "p.b").limit(1).collect()
-        if not best or best[0]["w"] < min_frequency:
-            break
-        pair, new = (best[0]["p"]["a"], best[0]["p"]["b"]), SPECIALS + 256 + len(merges)
-        merges.append(pair)
-        rows = materialize(rows.select(F.when(F.array_contains("ids", pair[0]), _merged(F.col("ids"), pair, new)).otherwise(F.col("ids")).alias("ids"), "n"), "bpe", instead_of=rows)
-    return merges
+def _rewritten(rows: DataFrame, ranks: dict[tuple[int, int], int]) -> DataFrame:
+    """The pieces after the merges of ``ranks``; those that are one token now have no pair any more and go."""
+
+    def rewrite(x: pa.Array) -> pa.Array:
+        return pa.array([joined(ids, ranks) for ids in x.to_pylist()], pa.list_(pa.int32()))
 
+    return rows.select(F.arrow_udf(rewrite, "array<int>")("ids").alias("ids"), "n").where(F.size("ids") > 1)
 
-def _merged(ids: Column, pair: tuple[int, int], new: int) -> Column:
-    """:func:`merged` as a fold: an id that makes the pair with the one before it takes its place."""
 
-    def step(out: Column, x: Column) -> Column:
-        meets = (x == pair[1]) & (F.element_at(out, -1) == pair[0])
-        return F.when(F.size(out) == 0, F.array(x)).when(meets, F.array_append(F.slice(out, F.lit(1), F.size(out) - 1), F.lit(new))).otherwise(F.array_append(out, x))
+def joined(ids: list[int], ranks: dict[tuple[int, int], int]) -> list[int]:
+    """``ids`` after all merges, the one of the lowest rank first, from left to right: ranks start at the first merge of all.
 
-    return F.aggregate(ids, F.array().cast("array<int>"), step)
+    Neighbours are linked and candidates wait in a heap, so a long piece costs n log n whatever the number of merges.
+    """
+    heap = [r << 32 | i for i, pair in enumerate(zip(ids, ids[1:], strict=False)) if (r := ranks.get(pair)) is not None]
+    if not heap:
+        return ids
+    heapq.heapify(heap)
+    at: list[int | None] = list(ids)
+    after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+    end = len(ids)
+    while heap:
+        got = heapq.heappop(heap)
+        r, i = got >> 32, got & 0xFFFFFFFF
+        j = after[i]
+        if at[i] is None or j == end or ranks.get((at[i], at[j])) != r:
+            continue  # one of the two has been merged meanwhile
+        at[i], at[j] = SPECIALS + 256 + r, None
+        k = after[i] = after[j]
+        if k != end:
+            before[k] = i
+            if (x := ranks.get((at[i], at[k]))) is not None:
+                heapq.heappush(heap, x << 32 | i)
+        h = before[i]
+        if h >= 0 and (x := ranks.get((at[h], at[i]))) is not None:
+            heapq.heappush(heap, x << 32 | h)
+    return [x for x in at if x is not None]
 
 
 def merged(ids: list[int], pair: tuple[int, int], new: int) -> list[int]:
@@ -144,13 +228,8 @@ class Codec:
     def piece(self, piece: str) -> list[int]:
         got = self._known.get(piece)
         if got is None:
-            got = [SPECIALS + b for b in piece.encode()]
-            while len(got) > 1:
-                best = min(zip(got, got[1:], strict=False), key=lambda p: self.rank.get(p, len(self.rank)))
-                if best not in self.rank:
-                    break
-                got = merged(got, best, SPECIALS + 256 + self.rank[best])
-            if len(self._known) < 200_000:
+            got = joined([SPECIALS + b for b in piece.encode()], self.rank)
+            if len(self._known) < 200_000 and len(piece) < 200:
                 self._known[piece] = got
         return got
 

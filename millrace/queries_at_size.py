@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.plans.storage import shared_dir
-from millrace.queries import docs, query
+from millrace.operators import dedup
+from millrace.plans.storage import materialize, shared_dir
+from millrace.queries import ORACLE_SQL, docs, query
 from millrace.sources import SOURCES, sinks
 
 
@@ -24,3 +25,55 @@ def snk_zstd_shards(spark: SparkSession, d: str) -> DataFrame:
     sinks.write_shards(shaped, path, format="zstd", max_bytes=16 << 20)
     back = SOURCES.get("shards")(spark, path=path, format="zstd")
     return back.select("id", F.md5(F.col("text").cast("binary")).alias("digest"), "source", "lang", F.col("meta")["n"].alias("n"))
+
+
+def _bands_sql(bands: int, rows: int, size: int, seed: int) -> str:
+    """SQL of each document's bands (doc_id, band, key) of MinHash over runs of ``size`` words: two documents share a key if all minima of a band agree."""
+    a, b = dedup.coefficients(bands * rows, seed).tolist()
+    return f"""
+words AS (SELECT doc_id, regexp_extract_all(lower(text), '\\S+') AS w FROM documents),
+crc AS (
+  SELECT w, xor(4294967295, list_reduce(list_transform(range(0, octet_length(encode(w))), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT),
+    lambda c, x: list_reduce(range(8), lambda c2, i: CASE WHEN c2 & 1 = 1 THEN xor(c2 >> 1, 3988292384) ELSE c2 >> 1 END, xor(c, x)), 4294967295::BIGINT)) AS h
+  FROM (SELECT DISTINCT unnest(w) AS w FROM words)
+),
+hashed AS (SELECT doc_id, i, h FROM (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM words) JOIN crc USING (w)),
+shingles AS (
+  SELECT DISTINCT doc_id, {"(" * (size - 1)}h{"".join(f" * {dedup.SHINGLE_BASE} + lead(h, {k}) OVER d) & 4294967295" for k in range(1, size))} AS h
+  FROM hashed WINDOW d AS (PARTITION BY doc_id ORDER BY i) QUALIFY lead(h, {size - 1}) OVER d IS NOT NULL
+),
+least AS (
+  SELECT doc_id, j, min((a::UBIGINT * h::UBIGINT + b::UBIGINT) % {dedup.MERSENNE_61}::UBIGINT) AS m
+  FROM shingles, (SELECT unnest({a}) AS a, unnest({b}) AS b, unnest(range({bands * rows})) AS j) GROUP BY doc_id, j
+),
+bands AS (SELECT doc_id, (j // {rows})::INT AS band, string_agg(m::VARCHAR, ',' ORDER BY j) AS key FROM least GROUP BY ALL)"""
+
+
+_VERDICTS = f"""
+WITH RECURSIVE {_bands_sql(16, 8, 5, 1337)},
+exact AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) ORDER BY doc_id) > 1 AS copy FROM documents
+),
+own AS (SELECT bands.* FROM bands JOIN exact USING (doc_id) WHERE NOT copy),
+shared AS (SELECT * FROM own QUALIFY count(*) OVER (PARTITION BY band, key) > 1),
+asked AS (SELECT doc_id, list(hash(band, key)) AS keys, row_number() OVER (ORDER BY doc_id) AS i FROM shared GROUP BY doc_id),
+fold(i, doc_id, met, near) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, []::UBIGINT[], false
+  UNION ALL
+  SELECT asked.i, asked.doc_id, CASE WHEN list_has_any(met, keys) THEN met ELSE list_concat(met, keys) END, list_has_any(met, keys) FROM fold JOIN asked ON asked.i = fold.i + 1
+),
+verdicts AS (SELECT doc_id, CASE WHEN copy THEN 'exact' WHEN coalesce(near, false) THEN 'near' ELSE 'kept' END AS verdict FROM exact LEFT JOIN fold USING (doc_id))
+"""
+ORACLE_SQL["ded_near"] = _VERDICTS + "SELECT doc_id, verdict FROM verdicts"
+ORACLE_SQL["ded_stats"] = _VERDICTS + (
+    "SELECT count(*) AS seen, count(*) FILTER (verdict = 'exact') AS exact, count(*) FILTER (verdict = 'near') AS near, count(*) FILTER (verdict = 'kept') AS kept, "
+    "1 - count(*) FILTER (verdict = 'kept')::DOUBLE / count(*) AS removal_rate FROM verdicts"
+)
+
+
+@query("ded_band_classes", f"WITH {_bands_sql(16, 8, 5, 1337)} SELECT doc_id, band, min(doc_id) OVER (PARTITION BY band, key) AS first_id FROM bands")
+def ded_band_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The bands of every document, each named by the first document that has it too."""
+    keys = dedup.band_keys(docs(spark, d, "doc_id", "text")).select("doc_id", F.posexplode("keys").alias("band", "key"))
+    keys = materialize(keys, "bands")
+    return keys.join(keys.groupBy("key").agg(F.min("doc_id").alias("first_id")), "key").select("doc_id", "band", "first_id")

@@ -167,7 +167,7 @@ def test_pieces_and_bpe(spark):
     assert all(r["ids"][-1] == tokenizer.EOT for r in encoded.collect())
     assert len(codec.merges) == 320 - tokenizer.SPECIALS - 256
     few = {"vocab_size": tokenizer.SPECIALS + 256 + 12}
-    assert tokenizer.train(tokenizer.frequencies(rows), **few, max_pieces=2) == tokenizer.train(tokenizer.frequencies(rows), **few)
+    assert tokenizer.train(tokenizer.frequencies(rows), **few, max_runs=2) == tokenizer.train(tokenizer.frequencies(rows), **few)
 
 
 def test_bpe_merges_by_brute_force(spark):
