@@ -60,7 +60,9 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     schema = "name bigint, hull bigint, k1 bigint, k2 bigint, at bigint"
     anchors = common.materialize(texts.select("k1", "k2", "bytes").mapInArrow(lambda b: _anchors(b, length), schema), "suffix-anchors")
     counted = anchors.groupBy("name").agg(F.count("*").alias("n"), (F.min("hull") < F.max("hull")).alias("several")).where("n > 1")
-    again = anchors.join(counted.select("name", "several").hint("shuffle_hash"), "name")
+    # Written first, so that both sides of the join are shuffled for it alone and a hot name can be split.
+    counted = common.materialize(counted.select("name", "several"), "suffix-names")
+    again = anchors.join(counted.hint("shuffle_hash"), "name")
     again = common.materialize(again, "suffix-again", instead_of=anchors)
     where = F.struct("k1", "k2", "at")
     leaders = again.groupBy("name", "hull").agg(F.min(where).alias("first"), F.count("*").alias("n"), F.first("several").alias("several"))
@@ -80,7 +82,8 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         width = -(-width // 3)
         cells = common.materialize(_cut(cells, width, length), "suffix-cells")
         core = cells.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min("h").alias("h1"), F.max("h").alias("h2"), F.min(F.struct("k1", "k2", "m")).alias("first")).where("n > 1")
-        met = cells.join(core.select("c1", "c2", "first", (F.col("h1") < F.col("h2")).alias("several")), ["c1", "c2"])
+        core = common.materialize(core.select("c1", "c2", "first", (F.col("h1") < F.col("h2")).alias("several")), "suffix-cores")
+        met = cells.join(core, ["c1", "c2"])
         met = common.materialize(met.where(F.col("several") | (F.struct("k1", "k2", "m") > F.col("first"))).drop("c1", "c2", "h", "first"), "suffix-met", instead_of=cells)
         removed.append(met.where(~F.col("several")).select("k1", "k2", "m", "near", "far"))
         cells = met.where("several").drop("several")
