@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from datetime import UTC, datetime
 from functools import lru_cache
 from typing import Any
@@ -43,7 +44,7 @@ def materialize(df: DataFrame, tag: str, instead_of: DataFrame | None = None) ->
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/millrace-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    for kept in _scopes:
+    for kept in _scopes.get():
         kept.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
@@ -52,23 +53,32 @@ def materialize(df: DataFrame, tag: str, instead_of: DataFrame | None = None) ->
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at a path, wherever Spark finds it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder wherever Spark finds it; nothing happens if it is gone."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-_scopes: list[list[str]] = []
+#: The scopes that are open here; another thread's tables are no business of theirs.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Removes, at the end, the tables that were materialised inside; for work whose results are written elsewhere."""
-    _scopes.append([])
+    own: list[str] = []
+    before = _scopes.set((*_scopes.get(), own))
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scopes.reset(before)
+        for path in own:
             remove(spark, path)
 
 
@@ -88,13 +98,8 @@ class Artifact:
         self.path = f"{root.rstrip('/')}/{stage}/{label}-{self.hash}"
         self._config = config
 
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
     def complete(self) -> bool:
-        return self._exists(f"{self.path}/meta/_SUCCESS")
+        return exists(self.spark, f"{self.path}/meta/_SUCCESS")
 
     def write(self, name: str, df: DataFrame, **options: Any) -> DataFrame:
         df.write.mode("overwrite").options(**options).parquet(f"{self.path}/{name}")

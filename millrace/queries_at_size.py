@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import dedup
+from millrace.operators import dedup, retrieval, search_index
 from millrace.plans.storage import materialize, shared_dir
-from millrace.queries import ORACLE_SQL, docs, query
+from millrace.queries import _RANKED, _TERMS, ORACLE_SQL, docs, query, table
 from millrace.sources import SOURCES, sinks
 
 
@@ -39,7 +39,7 @@ crc AS (
 ),
 hashed AS (SELECT doc_id, i, h FROM (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM words) JOIN crc USING (w)),
 shingles AS (
-  SELECT DISTINCT doc_id, {"(" * (size - 1)}h{"".join(f" * {dedup.SHINGLE_BASE} + lead(h, {k}) OVER d) & 4294967295" for k in range(1, size))} AS h
+  SELECT DISTINCT doc_id, {"((" * (size - 1)}h{"".join(f" * {dedup.SHINGLE_BASE} + lead(h, {k}) OVER d) & 4294967295)" for k in range(1, size))} AS h
   FROM hashed WINDOW d AS (PARTITION BY doc_id ORDER BY i) QUALIFY lead(h, {size - 1}) OVER d IS NOT NULL
 ),
 least AS (
@@ -56,7 +56,7 @@ exact AS (
 ),
 own AS (SELECT bands.* FROM bands JOIN exact USING (doc_id) WHERE NOT copy),
 shared AS (SELECT * FROM own QUALIFY count(*) OVER (PARTITION BY band, key) > 1),
-asked AS (SELECT doc_id, list(hash(band, key)) AS keys, row_number() OVER (ORDER BY doc_id) AS i FROM shared GROUP BY doc_id),
+asked AS MATERIALIZED (SELECT doc_id, list(hash(band, key)) AS keys, row_number() OVER (ORDER BY doc_id) AS i FROM shared GROUP BY doc_id),
 fold(i, doc_id, met, near) AS (
   SELECT 0::BIGINT, NULL::BIGINT, []::UBIGINT[], false
   UNION ALL
@@ -77,3 +77,28 @@ def ded_band_classes(spark: SparkSession, d: str) -> DataFrame:
     keys = dedup.band_keys(docs(spark, d, "doc_id", "text")).select("doc_id", F.posexplode("keys").alias("band", "key"))
     keys = materialize(keys, "bands")
     return keys.join(keys.groupBy("key").agg(F.min("doc_id").alias("first_id")), "key").select("doc_id", "band", "first_id")
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), retrieval.terms(F.col("text")).alias("terms"))
+
+
+@query("rag_stored_search", _RANKED + "SELECT qid, id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 3")
+def rag_stored_search(spark: SparkSession, d: str) -> DataFrame:
+    """The index is stored, and grows by a language at a time; blocks are skipped by their bounds."""
+    passages, path = docs(spark, d).withColumnRenamed("doc_id", "id").select("id", "text", F.coalesce("lang", F.lit("")).alias("lang")), _folder(spark, "index")
+    languages = [r[0] for r in passages.select("lang").distinct().orderBy("lang").collect()]
+    for k, lang in enumerate(languages):
+        sinks.write_index(passages.where(F.col("lang") == lang).drop("lang"), path, mode="append" if k else "overwrite")
+    return search_index.search(spark, path, _asked(spark, d)).withColumn("score", F.round("score", 6))
+
+
+_TITLED = f"list_concat({_TERMS}, list_concat({_TERMS.replace('(text)', '(coalesce(source, chr(32)))')}, {_TERMS.replace('(text)', '(coalesce(source, chr(32)))')}))"
+
+
+@query("rag_titled_search", _RANKED.replace(f"doc_id AS id, {_TERMS} AS t FROM documents", f"doc_id AS id, {_TITLED} AS t FROM documents") + "SELECT qid, id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 5")
+def rag_titled_search(spark: SparkSession, d: str) -> DataFrame:
+    """As above with the source as a document's title, which counts twice."""
+    passages, path = docs(spark, d).select(F.col("doc_id").alias("id"), "text", F.col("source").alias("title")), _folder(spark, "index")
+    sinks.write_index(passages, path)
+    return search_index.search(spark, path, _asked(spark, d), k=5).withColumn("score", F.round("score", 6))

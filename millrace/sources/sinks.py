@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import retrieval
+from millrace.operators import search_index
 from millrace.sources import to_json, zstd_lines
 
 
@@ -52,14 +52,15 @@ def write_tokens(packed: DataFrame, path: str) -> None:
     packed.write.mode("overwrite").partitionBy("shard").option("compression", "zstd").parquet(path)
 
 
-def write_index(passages: DataFrame, path: str, *, title_weight: int = 2, k1: float = 1.5, b: float = 0.75) -> None:
-    """Passages and parameters; postings are built again when they are read."""
-    passages.write.mode("overwrite").parquet(f"{path}/passages")
-    passages.sparkSession.createDataFrame([(title_weight, k1, b)], "title_weight int, k1 double, b double").coalesce(1).write.mode("overwrite").json(f"{path}/parameters")
+def write_index(passages: DataFrame, path: str, *, title_weight: int = 2, k1: float = 1.5, b: float = 0.75, mode: str = "overwrite") -> None:
+    """Store the index of passages (:mod:`search_index`); with ``append`` add them to the one that is there, as it was set up."""
+    if mode == "append":
+        search_index.add(passages, path)
+    else:
+        search_index.build(passages, path, title_weight=title_weight, k1=k1, b=b)
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
-    """(postings, lengths, k1 and b) of an index that :func:`write_index` wrote, titles weighted as it was told."""
-    kept = spark.read.json(f"{path}/parameters").first()
-    postings, lengths = retrieval.index(spark.read.parquet(f"{path}/passages"), title_weight=kept["title_weight"])
-    return postings, lengths, {"k1": kept["k1"], "b": kept["b"]}
+    """(postings, lengths, k1 and b) of an index that :func:`write_index` wrote, as they are stored."""
+    kept = search_index.parameters(spark, path)
+    return search_index.postings(spark, path), search_index.lengths(spark, path), {"k1": kept["k1"], "b": kept["b"]}
