@@ -31,15 +31,29 @@ def worst(found: DataFrame) -> DataFrame:
     return found.agg(F.max("overlap").alias("overlap"), F.min_by("artifact", F.struct(-F.col("overlap"), "artifact")).alias("artifact"))
 
 
+#: The table beside an artifact's corpus that holds its distinct fingerprints.
+SIDE_TABLE = "fingerprints"
+
+
+def remember(artifact: storage.Artifact, corpus: DataFrame) -> DataFrame:
+    """Write the distinct fingerprints of an artifact's corpus beside it, so that comparing reads no texts again."""
+    return artifact.write(SIDE_TABLE, fingerprints(corpus), compression="zstd")
+
+
 def compare_to_existing(corpus: DataFrame, root: str, *, stage: str = "corpora", exclude: str | None = None, limit: int | None = None) -> DataFrame:
     """:func:`overlaps` of ``corpus`` with every complete artifact under ``root`` but the one at the path ``exclude``.
 
-    Artifacts are named by their folder; those without a text are left out.
+    Artifacts are named by their folder; those without a text are left out. What :func:`remember` has written is read in place of texts;
+    an artifact without it, or a ``limit`` of documents, has the texts read.
     """
     spark = corpus.sparkSession
     theirs = spark.createDataFrame([], "fp string, artifact string")
     for row in storage.artifacts(spark, root, stage).where("complete").orderBy("path").collect():  # a row per artifact
         if exclude is None or row["path"].rpartition("/")[2] != exclude.rstrip("/").rpartition("/")[2]:
-            part = fingerprints(spark.read.parquet(f"{row['path']}/corpus"), limit=limit)
+            side = f"{row['path']}/{SIDE_TABLE}"
+            if limit is None and storage.exists(spark, f"{side}/_SUCCESS"):
+                part = spark.read.parquet(side)
+            else:
+                part = fingerprints(spark.read.parquet(f"{row['path']}/corpus"), limit=limit)
             theirs = theirs.unionByName(part.withColumn("artifact", F.lit(f"{row['label']}-{row['hash']}")))
     return overlaps(fingerprints(corpus, limit=limit), theirs)

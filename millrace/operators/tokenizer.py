@@ -301,7 +301,7 @@ def service_ids() -> list[int]:
 def tokenize_corpus(docs: DataFrame, codec: Codec, path: str, *, order: str = "doc_id", tokens_per_shard: int = 100_000_000) -> DataFrame:
     """Encode documents, each with an end of text, pack them in order and write their shards; the statistics of what is there."""
     encoded = materialize(encode(docs, codec).select(F.col(order), "ids"), "encoded")
-    sinks.write_tokens(tokens.pack(encoded, order=order, tokens_per_shard=tokens_per_shard), path)
+    sinks.write_tokens(tokens.in_shards(tokens.pack(encoded, order=order), tokens_per_shard), path)
     return tokens.stats(docs.sparkSession.read.parquet(path))
 
 

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.functions.frames import unused
+from millrace.plans.storage import materialize
+
 from .mixture import running
 
 IGNORED = -100
@@ -25,10 +28,51 @@ def pack(docs: DataFrame, *, order: str = "doc_id", tokens_per_shard: int = 100_
     masked = docs if "mask" in docs.columns else docs.withColumn("mask", F.transform("ids", lambda _: F.lit(1)))
     checked = masked.withColumn("mask", F.when(F.size("mask") == F.size("ids"), F.col("mask")).otherwise(F.raise_error(F.lit("mask and ids differ in length"))))
     placed = running(checked.withColumn("__n", F.size("ids").cast("bigint")).withColumn("__all", F.lit(0)), ["__all"], [order], "__n", "start")
-    # A shard starts with the first document at or beyond each multiple of the bound.
+    # Here a shard starts with the first document at or beyond each multiple of the bound; in_shards has the writer's rule.
     return placed.withColumn("shard", F.floor(F.col("start") / F.lit(tokens_per_shard)).cast("int")).drop("__n", "__all")
 
 
+def in_shards(packed: DataFrame, tokens_per_shard: int) -> DataFrame:
+    """``packed`` with ``shard`` by the rule of a writer that takes documents in turn: a shard ends with the document that fills it.
+
+    So a shard begins with the first document at or beyond ``tokens_per_shard`` tokens from where the one before began. Two
+    beginnings are never in one block of that many positions, so each document's successor is found inside its block or else is the first
+    document of a later block; from the first document on, successors are then followed in doubled steps, in as many
+    rounds as the logarithm of the number of shards. Documents without tokens go with the shard that is open.
+    """
+    spark, t = packed.sparkSession, tokens_per_shard
+    block = lambda c: F.floor(c / F.lit(t)).cast("bigint")
+    starts = materialize(packed.where(F.size("ids") > 0).select("start").distinct(), "shard-starts")
+    places = starts.select(F.col("start").alias("at"), F.lit(1).alias("is_start"), "start").unionByName(starts.select((F.col("start") + t).alias("at"), F.lit(0).alias("is_start"), "start"))
+    places = places.withColumn("block", block(F.col("at")))
+    follow = W.partitionBy("block").orderBy("at", "is_start").rowsBetween(1, W.unboundedFollowing)
+    inside = places.withColumn("next", F.min(F.when(F.col("is_start") == 1, F.col("start"))).over(follow)).where("is_start = 0")
+    # A row per block of the stream: the first document of the blocks after it.
+    blocks = places.groupBy("block").agg(F.min(F.when(F.col("is_start") == 1, F.col("start"))).alias("first"))
+    blocks = blocks.select("block", F.min("first").over(W.orderBy("block").rowsBetween(1, W.unboundedFollowing)).alias("later"))
+    jump = inside.join(blocks, "block").select("start", F.coalesce("next", "later").alias("next")).where("next is not null")
+    jump = materialize(jump, "shard-jumps")
+    marked = materialize(starts.agg(F.min("start").alias("start")).where("start is not null"), "shard-marks")
+    while True:
+        reached = marked.join(jump, "start").select(F.col("next").alias("start")).join(marked, "start", "left_anti")
+        grown = materialize(marked.unionByName(reached), "shard-marks")
+        if grown.count() == marked.count():
+            break
+        marked = grown
+        twice = jump.join(jump.select(F.col("start").alias("next"), F.col("next").alias("after")), "next").select("start", F.col("after").alias("next"))
+        jump = materialize(twice, "shard-jumps", instead_of=jump)
+    # A row per shard, at most one to a block; a block without a beginning belongs to the shard before.
+    begins = marked.select("start", (F.row_number().over(W.orderBy("start")) - 1).alias("number")).withColumn("block", block(F.col("start")))
+    last = starts.agg(F.max("start")).first()[0] or 0
+    open_ = spark.range(last // t + 2).select(F.col("id").alias("block")).join(begins, "block", "left")
+    known = open_.select("block", F.col("start").alias("begin"), "number", F.last("number", ignorenulls=True).over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)).alias("earlier"))
+    at, begin, number, earlier = (unused(packed, f"__{x}") for x in ("block", "begin", "number", "earlier"))
+    known = known.select(F.col("block").alias(at), F.col("begin").alias(begin), F.col("number").alias(number), F.col("earlier").alias(earlier))
+    met = packed.withColumn(at, F.least(block(F.col("start")), F.lit(last // t + 1))).join(known, at, "left")
+    shard = F.coalesce(F.when(F.col("start") >= F.col(begin), F.col(number)), F.col(earlier), F.lit(0)).cast("int")
+    return met.withColumn("shard", shard).select(*[c for c in packed.columns if c != "shard"], "shard")
+
+
 def stats(packed: DataFrame) -> DataFrame:
     counted = F.aggregate("mask", F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
     out = packed.agg(F.count(F.lit(1)).alias("n_documents"), F.sum(F.size("ids").cast("bigint")).alias("n_tokens"), F.sum(counted).alias("n_supervised"))
@@ -57,26 +101,38 @@ def placements(found: DataFrame, window: int) -> DataFrame:
     return usable.withColumn("cum", F.coalesce(F.sum("usable").over(before), F.lit(0)))
 
 
+def _located(points: DataFrame, ranges: DataFrame, total: int, n_ranges: int) -> DataFrame:
+    """``points`` (k below ``total``) beside the range of ``ranges`` (cum, size; side by side) that holds them.
+
+    Both meet by buckets of k, one to a range on average: a range is in as many buckets as it touches, twice the ranges
+    in all at most. An equi-join, however many ranges there are.
+    """
+    width = max(1, -(-total // max(1, n_ranges)))
+    number = lambda c: F.floor(c / F.lit(width)).cast("bigint")
+    dealt = ranges.where("size > 0").withColumn("bucket", F.explode(F.sequence(number(F.col("cum")), number(F.col("cum") + F.col("size") - 1))))
+    met = points.withColumn("bucket", number(F.col("k"))).join(dealt, "bucket")
+    return met.where((F.col("k") >= F.col("cum")) & (F.col("k") < F.col("cum") + F.col("size"))).drop("bucket")
+
+
 def draw(found: DataFrame, n: int, window: int, seed: int, split: str = "train") -> DataFrame:
-    """``n`` starts, uniform over all places of a window in the split's zones: (i, pos). Depends on the seed only."""
-    placed = placements(found.where(F.col("split") == split), window).where("usable > 0")
-    total = placed.agg(F.sum("usable")).first()[0]
+    """``n`` starts, uniform over all places of a window in the split's zones: (i, pos). Depends on the seed only, by md5."""
+    placed = placements(found.where(F.col("split") == split), window).where("usable > 0").select("start", "cum", F.col("usable").alias("size"))
+    total, zones_ = placed.agg(F.sum("size"), F.count(F.lit(1))).first()
     if not total:
         raise ValueError("no zone can hold a window")
-    drawn = found.sparkSession.range(n).select(F.col("id").alias("i"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total)).alias("k"))
-    # Zones are at most twice the blocks and one: a range join with a small table.
-    return drawn.join(F.broadcast(placed), (F.col("k") >= F.col("cum")) & (F.col("k") < F.col("cum") + F.col("usable"))).select("i", (F.col("start") + F.col("k") - F.col("cum")).alias("pos"))
+    number = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary")), 1, 15), 16, 10).cast("bigint")
+    drawn = found.sparkSession.range(n).select(F.col("id").alias("i"), (number % F.lit(total)).alias("k"))
+    return _located(drawn, placed, total, zones_).select("i", (F.col("start") + F.col("k") - F.col("cum")).alias("pos"))
 
 
 def sequential(found: DataFrame, window: int, batch: int = 1, split: str = "val") -> DataFrame:
     """Windows side by side inside each zone, in order, full batches only: (i, pos)."""
-    fits = found.where((F.col("split") == split) & (F.col("len") >= window)).select("start", F.floor(F.col("len") / window).alias("fits"))
+    fits = found.where((F.col("split") == split) & (F.col("len") >= window)).select("start", F.floor(F.col("len") / window).alias("size"))
     before = W.orderBy("start").rowsBetween(W.unboundedPreceding, -1)  # a row per zone
-    placed = fits.withColumn("cum", F.coalesce(F.sum("fits").over(before), F.lit(0)))
-    total = placed.agg(F.sum("fits")).first()[0] or 0
-    numbered = found.sparkSession.range(total // batch * batch).withColumnRenamed("id", "i")
-    inside = (F.col("i") >= F.col("cum")) & (F.col("i") < F.col("cum") + F.col("fits"))
-    return numbered.join(F.broadcast(placed), inside).select("i", (F.col("start") + (F.col("i") - F.col("cum")) * window).alias("pos"))
+    placed = fits.withColumn("cum", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    total, zones_ = placed.agg(F.sum("size"), F.count(F.lit(1))).first()
+    numbered = found.sparkSession.range((total or 0) // batch * batch).select(F.col("id").alias("i"), F.col("id").alias("k"))
+    return _located(numbered, placed, total or 0, zones_).select("i", (F.col("start") + (F.col("i") - F.col("cum")) * window).alias("pos"))
 
 
 def windows(packed: DataFrame, positions: DataFrame, length: int, block: int = 1 << 16, *, partial: bool = False) -> DataFrame:

@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import dedup, retrieval, search_index
-from millrace.plans.storage import materialize, shared_dir
-from millrace.queries import _RANKED, _TERMS, ORACLE_SQL, docs, query, table
+from millrace import streaming
+from millrace.operators import dedup, novelty, retrieval, search_index, tokenizer, tokens
+from millrace.plans.storage import Artifact, materialize, shared_dir
+from millrace.queries import _RANKED, _TERMS, _WHOLE_PIECES, _WORDS, ORACLE_SQL, _ids, docs, query, table
 from millrace.sources import SOURCES, sinks
 
 
@@ -102,3 +103,89 @@ def rag_titled_search(spark: SparkSession, d: str) -> DataFrame:
     passages, path = docs(spark, d).select(F.col("doc_id").alias("id"), "text", F.col("source").alias("title")), _folder(spark, "index")
     sinks.write_index(passages, path)
     return search_index.search(spark, path, _asked(spark, d), k=5).withColumn("score", F.round("score", 6))
+
+
+_STREAMED = f"""
+WITH RECURSIVE {_bands_sql(16, 8, 5, 1337)},
+own AS (SELECT doc_id, band, key FROM bands UNION ALL SELECT doc_id, -1, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) FROM documents),
+shared AS (SELECT * FROM own QUALIFY count(*) OVER (PARTITION BY band, key) > 1),
+asked AS MATERIALIZED (SELECT doc_id, list(hash(band, key)) AS keys, row_number() OVER (ORDER BY coalesce(any_value(lang), ''), doc_id) AS i FROM shared JOIN documents USING (doc_id) GROUP BY doc_id),
+fold(i, doc_id, met, near) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, []::UBIGINT[], false
+  UNION ALL
+  SELECT asked.i, asked.doc_id, CASE WHEN list_has_any(met, keys) THEN met ELSE list_concat(met, keys) END, list_has_any(met, keys) FROM fold JOIN asked ON asked.i = fold.i + 1
+)
+SELECT doc_id, md5(text) AS digest FROM documents LEFT JOIN fold USING (doc_id) WHERE NOT coalesce(near, false)
+"""
+
+
+@query("str_near_unique", _STREAMED)
+def str_near_unique(spark: SparkSession, d: str) -> DataFrame:
+    """Documents arrive one language after another; each batch keeps what is no copy, exact or near, of what was kept before."""
+    rows, path = docs(spark, d).withColumn("lang", F.coalesce("lang", F.lit(""))), _folder(spark, "stream")
+    for k, lang in enumerate(r[0] for r in rows.select("lang").distinct().orderBy("lang").collect()):
+        rows.where(F.col("lang") == lang).select("doc_id", "text").write.parquet(f"{path}/in/part={k}")
+        arrived = spark.readStream.schema("doc_id bigint, text string").option("recursiveFileLookup", "true").parquet(f"{path}/in")
+        streaming.near_unique(arrived, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema("doc_id bigint, text string").parquet(f"{path}/out/batch=*/docs").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+def _pattern_sql(name: str) -> str:
+    """The pieces of a pattern in SQL, blank ones and leading spaces included."""
+    return _WHOLE_PIECES.format(pattern=tokenizer.PATTERNS[name].replace(r"\s+(?!\S)|", "").replace("'", "''"))
+
+
+@query("tok_pieces_whole", f"SELECT doc_id, {', '.join(f'md5(array_to_string({_pattern_sql(n)}, chr(2))) AS {n}' for n in tokenizer.PATTERNS)} FROM documents")
+def tok_pieces_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of every text, white space too, under all patterns."""
+    digest = lambda n: F.md5(F.array_join(tokenizer.pieces(F.col("text"), n), "\x02").cast("binary")).alias(n)
+    return docs(spark, d, "doc_id", "text").select("doc_id", *[digest(n) for n in tokenizer.PATTERNS])
+
+
+@query(
+    "tok_bpe_merges",
+    f"""WITH RECURSIVE counts AS (SELECT piece, count(*) AS n FROM (SELECT unnest({_pattern_sql("french")}) AS piece FROM documents) GROUP BY piece),
+start AS (
+  SELECT array_to_string(list_transform(range(0, octet_length(encode(piece))), lambda i: chr(('0x' || substr(hex(encode(piece)), 2 * i + 1, 2))::INT + 1018)), '') AS s, n
+  FROM counts WHERE octet_length(encode(piece)) > 1
+),
+r(k, s, n, p) AS (
+  SELECT 0, s, n, NULL::VARCHAR FROM start
+  UNION ALL
+  SELECT k + 1, replace(s, best.p, chr(1274 + k)), n, best.p
+  FROM r, (SELECT p FROM (SELECT unnest(list_transform(range(1, length(s)), lambda i: s[i:i + 1])) AS p, n FROM r) GROUP BY p ORDER BY sum(n) DESC, p LIMIT 1) AS best
+  WHERE k < 60
+)
+SELECT DISTINCT k - 1 AS rank, unicode(p[1]) - 1000 AS a, unicode(p[2]) - 1000 AS b FROM r WHERE k > 0""",
+)
+def tok_bpe_merges(spark: SparkSession, d: str) -> DataFrame:
+    """The first merges of a vocabulary trained on all documents, in order."""
+    merges = tokenizer.train(tokenizer.frequencies(docs(spark, d, "text")), vocab_size=tokenizer.SPECIALS + 256 + 60)
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "rank int, a int, b int")
+
+
+@query(
+    "tok_shards",
+    f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, len({_WORDS}) AS n, coalesce(sum(len({_WORDS})) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM documents),
+r(number, start) AS (SELECT 0, min(start) FROM d WHERE n > 0 UNION ALL SELECT number + 1, (SELECT min(d.start) FROM d WHERE d.n > 0 AND d.start >= r.start + 5000) FROM r WHERE r.start IS NOT NULL)
+SELECT doc_id, d.start, coalesce((SELECT max(number) FROM r WHERE r.start <= d.start), 0)::INT AS shard FROM d""",
+)
+def tok_shards(spark: SparkSession, d: str) -> DataFrame:
+    """Shards of a token store that each end with the document that fills them."""
+    return tokens.in_shards(tokens.pack(_ids(spark, d)), 5000).select("doc_id", "start", "shard")
+
+
+@query(
+    "nov_existing",
+    """WITH f AS (SELECT DISTINCT source, md5(text[1:400]) AS fp FROM documents WHERE text IS NOT NULL), mine AS (SELECT DISTINCT md5(text[1:400]) AS fp FROM documents WHERE text IS NOT NULL AND lang = 'en')
+SELECT source AS artifact, round_even(count(mine.fp)::DOUBLE / (SELECT count(*) FROM mine), 4) AS overlap FROM f LEFT JOIN mine USING (fp) WHERE source IS NOT NULL GROUP BY source""",
+)
+def nov_existing(spark: SparkSession, d: str) -> DataFrame:
+    """How much of the English documents each source's artifact has, told by the fingerprints beside it."""
+    rows, root = docs(spark, d), _folder(spark, "artifacts")
+    for source in [r[0] for r in rows.where("source is not null").select("source").distinct().collect()]:
+        artifact = Artifact(spark, root, "corpora", source, {"source": source})
+        novelty.remember(artifact, artifact.write("corpus", rows.where(F.col("source") == source)))
+        artifact.commit()
+    found = novelty.compare_to_existing(rows.where("lang = 'en'"), root)
+    return found.select(F.regexp_replace("artifact", "-[0-9a-f]{8}$", "").alias("artifact"), "overlap")
