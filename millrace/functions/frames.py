@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,21 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with its columns of these names under others, and a function that gives them their names back."""
+    wanted = {n.lower() for n in names}
+    own = {c: unused(df, f"{c}__own") for c in df.columns if c.lower() in wanted}
+    for name, other in own.items():
+        df = df.withColumnRenamed(name, other)
+
+    def back(out: DataFrame) -> DataFrame:
+        for name, other in own.items():
+            out = out.withColumnRenamed(other, name)
+        return out
+
+    return df, back
+
+
 def columns(df: DataFrame) -> list:
     """The columns of ``df`` as they are, whatever their names."""
     return [F.col(f"`{c}`") for c in df.columns]

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.functions.frames import aside
 from millrace.functions.arrays import let, longest_run, rolling
 from millrace.plans.registry import Registry
 
@@ -167,9 +168,10 @@ def build(specs: list[dict]) -> list[Step]:
 def apply(docs: DataFrame, steps: list[Step]) -> DataFrame:
     """``docs`` with ``reject_step``: the first step that rejects the row, null if it passes all.
 
-    A null text is rejected by the first step that looks at it. Rows keep their columns; ``text`` and ``lang`` are as
+    A null text is rejected by the first step that looks at it. Rows keep their columns, but for a ``reject_step`` of before; ``text`` and ``lang`` are as
     the last step that saw the row left them.
     """
+    docs, back = aside(docs, "__mark", "__before")
     out = docs.withColumn("reject_step", F.lit(None).cast("string"))
     for step in steps:
         alive = F.col("reject_step").isNull()
@@ -180,7 +182,7 @@ def apply(docs: DataFrame, steps: list[Step]) -> DataFrame:
         fails = ~F.coalesce(step.keep(), F.lit(False))
         # Evaluated for rows alive only: WHEN stops at the first branch that holds.
         out = out.withColumn("reject_step", F.when(~alive, F.col("reject_step")).when(fails, F.lit(step.name))).drop("__before", "__mark")
-    return out
+    return back(out)
 
 
 def clean(docs: DataFrame, steps: list[Step]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.functions.frames import aside
 from millrace.plans.storage import materialize
 
 
@@ -86,6 +87,7 @@ def running(rows: DataFrame, group: list[str], order: list[str], value: str, out
     all, then meet their sum by group and order. Rows equal in both follow one another in any order.
     """
     keys = [*group, *order]
+    rows, back = aside(rows, *[f"__r_{k}" for k in keys])
     sums = materialize(rows.groupBy(*keys).agg(F.sum(value).alias("__sum"), F.count(F.lit(1)).alias("__n")), "running")
     n, most = sums.agg(F.count(F.lit(1)), F.max("__n")).first()
     dealt = sums.repartitionByRange(max(1, -(-n // per_range)), *keys).withColumn("__range", F.spark_partition_id())
@@ -97,9 +99,9 @@ def running(rows: DataFrame, group: list[str], order: list[str], value: str, out
     placed = _met(within, totals, [*group, "__range"]).select(*keys, (F.col("__base") + F.col("__in")).alias(out))
     met = _met(rows, placed, keys)
     if (most or 0) <= 1:
-        return met
+        return back(met)
     beside = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    return met.withColumn(out, F.col(out) + F.coalesce(F.sum(value).over(beside), F.lit(0)))
+    return back(met.withColumn(out, F.col(out) + F.coalesce(F.sum(value).over(beside), F.lit(0))))
 
 
 def _met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -109,14 +111,21 @@ def _met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, on, "inner").drop(*[f"__r_{k}" for k in keys])
 
 
-def assemble(docs: DataFrame, plans: DataFrame, *, order: str = "doc_id", strict_repeats: bool = False, seed: int = 1337) -> DataFrame:
+def assemble(docs: DataFrame, plans: DataFrame, *, order: str = "doc_id", strict_repeats: bool = False, seed: int = 1337, drawn: bool = False) -> DataFrame:
     """The planned corpus: each source's documents in order, passing through them again while budget is left.
 
     A document is taken while the budget before it is positive, and spends its own (truncated) estimate. Estimates are
     truncated by document, so a source taken whole passes on to its first documents again; ``strict_repeats`` stops
     it at the passes of the plan. Columns added: ``pass_no`` and ``position`` (an order that interleaves the sources by the share
     of their budget spent). A source whose documents all estimate to nothing is taken once.
+
+    With ``drawn``, the order is that of drawing a source at a time, with the budgets that are left as weights, and taking its next document.
+    Each document then waits for its turn an exponential time, with the budget that is left to its source as its rate, and
+    ``position`` is the sum of these times within the source: the first of several such clocks to ring is each of them with
+    the odds of its rate, so the sources' clocks run by themselves and their merged order has the law of the draws. Times are hashes of
+    seed, source, pass and document: reruns agree. Rows of one place in the order have one time.
     """
+    docs, back = aside(docs, "__est", "__before", "__all", "__wait", "take", "repeats")
     sized = docs.withColumn("__est", T.estimate_tokens(T.n_words(F.coalesce(F.col("text"), F.lit("")))))
     placed = running(sized, ["source"], [order], "__est", "__before")
     totals = placed.groupBy("source").agg(F.sum("__est").alias("__all"))
@@ -129,7 +138,19 @@ def assemble(docs: DataFrame, plans: DataFrame, *, order: str = "doc_id", strict
     out = met.withColumn("pass_no", F.explode(F.sequence(F.lit(0).cast("bigint"), passes.cast("bigint") - 1)))
     spent = F.col("__before") + F.col("pass_no") * F.col("__all")
     jitter: Column = F.pmod(F.xxhash64(order, "pass_no", F.lit(seed)), F.lit(1 << 20)) / float(1 << 40)
-    return out.where(spent < F.col("take")).withColumn("position", spent / F.col("take") + jitter).drop("__est", "__before", "__all", "take", "repeats")
+    out = out.where(spent < F.col("take"))
+    if drawn:
+        waits = out.withColumn("__wait", -F.ln(_unit(F.lit(seed), "source", "pass_no", order)) / (F.col("take") - spent))
+        placed = running(waits, ["source"], ["pass_no", order], "__wait", "position").withColumn("position", F.col("position") + F.col("__wait"))
+    else:
+        placed = out.withColumn("position", spent / F.col("take") + jitter)
+    return back(placed.drop("__est", "__before", "__all", "__wait", "take", "repeats"))
+
+
+def _unit(*parts: Column | str) -> Column:
+    """A number between 0 and 1, both excluded, by md5."""
+    key = F.concat_ws(":", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
+    return (F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("bigint") + 0.5) / float(1 << 52)
 
 
 def total_warning(plans: list[SourcePlan], requested: int) -> bool:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions.frames import unused
+from millrace.functions.frames import aside, unused
 from millrace.plans.storage import materialize
 
 from .mixture import running
@@ -25,11 +25,12 @@ def pack(docs: DataFrame, *, order: str = "doc_id", tokens_per_shard: int = 100_
     A shard is closed before the document that would begin at or beyond its bound, so documents are never split. A
     mask of another length than its ids raises; without a mask all tokens count.
     """
+    docs, back = aside(docs, "__n", "__all")
     masked = docs if "mask" in docs.columns else docs.withColumn("mask", F.transform("ids", lambda _: F.lit(1)))
     checked = masked.withColumn("mask", F.when(F.size("mask") == F.size("ids"), F.col("mask")).otherwise(F.raise_error(F.lit("mask and ids differ in length"))))
     placed = running(checked.withColumn("__n", F.size("ids").cast("bigint")).withColumn("__all", F.lit(0)), ["__all"], [order], "__n", "start")
     # Here a shard starts with the first document at or beyond each multiple of the bound; in_shards has the writer's rule.
-    return placed.withColumn("shard", F.floor(F.col("start") / F.lit(tokens_per_shard)).cast("int")).drop("__n", "__all")
+    return back(placed.withColumn("shard", F.floor(F.col("start") / F.lit(tokens_per_shard)).cast("int")).drop("__n", "__all"))
 
 
 def in_shards(packed: DataFrame, tokens_per_shard: int) -> DataFrame:

@@ -76,7 +76,7 @@ def _build(spark: SparkSession, artifact: Artifact, config: dict[str, Any]) -> A
     weights = {s["label"]: s.get("weight", 1.0) for s in config["sources"] if s["label"] not in failed}
     plans = mixture.plan(measured, weights, mix.get("total_tokens") or sum(measured.values()), mix.get("max_repeats", 1.0), mix.get("redistribute", True))
     planned = artifact.write("plan", mixture.plan_table(spark, plans))
-    corpus = artifact.write("corpus", mixture.assemble(documents, planned, strict_repeats=mix.get("strict_repeats", False), seed=config.get("seed", 1337)), compression="zstd")
+    corpus = artifact.write("corpus", mixture.assemble(documents, planned, strict_repeats=mix.get("strict_repeats", False), seed=config.get("seed", 1337), drawn=True), compression="zstd")
     novelty.remember(artifact, corpus)
     report: dict[str, Any] = {
         "failed_sources": failed,

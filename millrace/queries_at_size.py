@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import streaming
-from millrace.operators import dedup, novelty, retrieval, search_index, tokenizer, tokens
+from millrace.operators import dedup, mixture, novelty, retrieval, search_index, tokenizer, tokens
 from millrace.plans.storage import Artifact, materialize, shared_dir
-from millrace.queries import _RANKED, _TERMS, _WHOLE_PIECES, _WORDS, ORACLE_SQL, _ids, docs, query, table
+from millrace.queries import _PLANNED, _RANKED, _TERMS, _WHOLE_PIECES, _WORDS, ORACLE_SQL, _ids, _plan, docs, query, table
 from millrace.sources import SOURCES, sinks
 
 
@@ -189,3 +189,18 @@ def nov_existing(spark: SparkSession, d: str) -> DataFrame:
         artifact.commit()
     found = novelty.compare_to_existing(rows.where("lang = 'en'"), root)
     return found.select(F.regexp_replace("artifact", "-[0-9a-f]{8}$", "").alias("artifact"), "overlap")
+
+
+@query(
+    "mix_draw",
+    rf"""{_PLANNED}, e AS (SELECT doc_id, source, floor(len({_WORDS}) * 1.45::DOUBLE)::BIGINT AS est FROM documents),
+r AS (SELECT *, coalesce(sum(est) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(est) OVER (PARTITION BY source) AS total FROM e),
+taken AS (SELECT * FROM (SELECT *, unnest(range(CASE WHEN total > 0 THEN ceil(take / total)::BIGINT ELSE 1 END)) AS k FROM r JOIN p USING (source)) WHERE before + k * total < take),
+clocks AS (SELECT *, sum(-ln((('0x' || substr(md5('7:' || source || ':' || k || ':' || doc_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / (take - before - k * total)::DOUBLE) OVER (PARTITION BY source ORDER BY k, doc_id) AS position FROM taken)
+SELECT doc_id, source, k AS pass_no, row_number() OVER (ORDER BY position) AS place FROM clocks""",
+)
+def mix_draw(spark: SparkSession, d: str) -> DataFrame:
+    """The planned corpus in the order of drawing its sources by the budgets that are left."""
+    taken = mixture.assemble(docs(spark, d, "doc_id", "text", "source"), _plan(spark, d), seed=7, drawn=True)
+    one = taken.select("doc_id", "source", "pass_no", "position").withColumn("all", F.lit(0)).withColumn("n", F.lit(1))
+    return mixture.running(one, ["all"], ["position"], "n", "before").select("doc_id", "source", "pass_no", (F.col("before") + 1).alias("place"))

@@ -155,11 +155,14 @@ def test_tables_are_removed_when_done(spark):
 
 def test_overrides_replace_levels_that_are_no_tables():
     got = {"a": 1, "b": {"c": 2, "d": 3}}
-    config.set_path(got, "a.x.y", 5)
-    config.set_path(got, "b.c", {"z": 1})
-    assert got == {"a": {"x": {"y": 5}}, "b": {"c": {"z": 1}, "d": 3}}
-    assert config.parse_override("a.b = [1, 2]") == ("a.b", [1, 2]) and config.parse_override("a=b c") == ("a", "b c")
-    assert config.parse_override('a={x="=1"}') == ("a", {"x": "=1"})
+    after = config.override(config.override(got, "a.x.y=5"), "b.c={z = 1}")
+    assert after == {"a": {"x": {"y": 5}}, "b": {"c": {"z": 1}, "d": 3}} and got == {"a": 1, "b": {"c": 2, "d": 3}}
+    assert config.override({}, "a.b = [1, 2]") == {"a": {"b": [1, 2]}} and config.override({}, "a=b c") == {"a": "b c"}
+    assert config.override({}, 'a={x="=1"}') == {"a": {"x": "=1"}} and config.override({"t": {"u": 1}}, "t={v=2}") == {"t": {"v": 2}}
+    assert config.override({}, 'a.b=it\'s "so"') == {"a": {"b": 'it\'s "so"'}}
+    for bad in ("a", "=1", " = 2"):
+        with pytest.raises(ValueError, match="key=value"):
+            config.override({}, bad)
 
 
 def test_a_source_that_fails_when_it_is_read_fails_alone(spark, tmp_path):
