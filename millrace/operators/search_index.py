@@ -82,7 +82,11 @@ def _table(spark: SparkSession, path: str, name: str, found: list) -> DataFrame:
     """A table of all segments, with their numbers."""
     out = None
     for r in found:
-        part = spark.read.parquet(f"{path}/segments/{r['segment']:06d}/{name}").withColumn("segment", F.lit(r["segment"]))
+        at, reader = f"{path}/segments/{r['segment']:06d}", spark.read
+        if name == "postings":  # without a term there is no file that would tell the columns
+            kind = spark.read.parquet(f"{at}/lengths").schema["id"].dataType.simpleString()
+            reader = reader.schema(f"term string, block bigint, impact double, n bigint, postings array<struct<id:{kind},tf:bigint,dl:bigint>>, bucket int")
+        part = reader.parquet(f"{at}/{name}").withColumn("segment", F.lit(r["segment"]))
         out = part if out is None else out.unionByName(part)
     return out
 
