@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.plans.storage import materialize
 
 #: The parts of an instruction prompt, and the marks at which an answer ends.
 INSTRUCTION, INPUT, ANSWER = "### Instruction\n", "\n### Entrée\n", "\n### Réponse\n"
@@ -37,6 +38,33 @@ def bigram_losses(tokens: DataFrame, *, alpha: float = 0.5) -> DataFrame:
     return pairs.join(logs, ["prev", "tok"]).groupBy("doc_id").agg(F.sum("loss").alias("total_loss"), F.count(F.lit(1)).alias("n_tokens"))
 
 
+def token_pairs(docs: DataFrame, tokens: Column, *by: str) -> DataFrame:
+    """(by, prev, tok, n): how often a token follows another, by group; neighbours meet inside the arrays, and counts are summed before the shuffle."""
+    listed = docs.select(*by, tokens.alias("t")).where(F.size("t") > 1)
+    pairs = F.zip_with(F.slice("t", F.lit(1), F.size("t") - 1), F.slice("t", F.lit(2), F.size("t") - 1), lambda a, b: F.struct(a.alias("prev"), b.alias("tok")))
+    return listed.select(*by, F.explode(pairs).alias("p")).groupBy(*by, "p.prev", "p.tok").agg(F.count(F.lit(1)).alias("n"))
+
+
+def kneser_ney(pairs: DataFrame, discount: float = 0.75) -> DataFrame:
+    """(prev, tok, loss) of the pairs counted in ``pairs`` (prev, tok, n), under an interpolated Kneser-Ney model of them.
+
+    What the discount takes from each pair goes to tokens by how many different ones they follow.
+    """
+    counted = pairs.groupBy("prev", "tok").agg(F.sum("n").alias("n"))
+    counted = materialize(counted, "pairs")
+    before = counted.groupBy("prev").agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("kinds"))
+    after = counted.groupBy("tok").agg(F.count(F.lit(1)).alias("follows"))
+    n_kinds = counted.count()
+    p = (F.col("n") - discount) / F.col("m") + discount * F.col("kinds") / F.col("m") * F.col("follows") / F.lit(float(n_kinds or 1))
+    return counted.join(before, "prev").join(after, "tok").select("prev", "tok", (-F.ln(p)).alias("loss"))
+
+
+def pair_losses(pairs: DataFrame, model: DataFrame, *by: str) -> DataFrame:
+    """(by, total_loss, n_tokens) of counted pairs under a model (prev, tok, loss); no token is a row of its own here."""
+    met = pairs.join(model, ["prev", "tok"])
+    return met.groupBy(*by).agg(F.sum(F.col("n") * F.col("loss")).alias("total_loss"), F.sum("n").alias("n_tokens"))
+
+
 def sequence_logprob(rows: DataFrame, key: str) -> DataFrame:
     """Total log-probability of each sequence of token log-probabilities (pos, logp); -inf below two tokens."""
     return rows.groupBy(key).agg(F.when(F.count(F.lit(1)) >= 2, F.sum("logp")).otherwise(F.lit(float("-inf"))).alias("logprob"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import streaming
-from millrace.operators import dedup, mixture, novelty, retrieval, search_index, tokenizer, tokens
+from millrace.operators import dedup, evaluation, mixture, novelty, retrieval, search_index, tokenizer, tokens
 from millrace.plans.storage import Artifact, materialize, shared_dir
 from millrace.queries import _PLANNED, _RANKED, _TERMS, _WHOLE_PIECES, _WORDS, ORACLE_SQL, _ids, _plan, docs, query, table
 from millrace.sources import SOURCES, sinks
@@ -204,3 +204,17 @@ def mix_draw(spark: SparkSession, d: str) -> DataFrame:
     taken = mixture.assemble(docs(spark, d, "doc_id", "text", "source"), _plan(spark, d), seed=7, drawn=True)
     one = taken.select("doc_id", "source", "pass_no", "position").withColumn("all", F.lit(0)).withColumn("n", F.lit(1))
     return mixture.running(one, ["all"], ["position"], "n", "before").select("doc_id", "source", "pass_no", (F.col("before") + 1).alias("place"))
+
+
+@query(
+    "evl_kneser_ney",
+    f"""WITH t AS (SELECT source, {_pattern_sql("french")} AS t FROM documents), p AS (SELECT source, unnest(t[1:len(t) - 1]) AS prev, unnest(t[2:]) AS tok FROM t WHERE len(t) > 1),
+c AS (SELECT prev, tok, count(*) AS n FROM p GROUP BY ALL), b AS (SELECT prev, sum(n) AS m, count(*) AS kinds FROM c GROUP BY prev), f AS (SELECT tok, count(*) AS follows FROM c GROUP BY tok),
+l AS (SELECT prev, tok, -ln((n - 0.75::DOUBLE) / m + 0.75::DOUBLE * kinds / m * follows / (SELECT count(*) FROM c)) AS loss FROM c JOIN b USING (prev) JOIN f USING (tok))
+SELECT source, count(*) AS n_tokens, round(sum(loss) / count(*), 6) AS loss FROM p JOIN l USING (prev, tok) GROUP BY ROLLUP (source)""",
+)
+def evl_kneser_ney(spark: SparkSession, d: str) -> DataFrame:
+    """Loss of the pieces of all texts under a Kneser-Ney model of the corpus, by source and overall."""
+    pairs = materialize(evaluation.token_pairs(docs(spark, d), tokenizer.pieces(F.coalesce("text", F.lit(""))), "source"), "source-pairs")
+    lost = evaluation.pair_losses(pairs, evaluation.kneser_ney(pairs), "source").withColumn("n_chars", F.lit(0)).withColumn("n_documents", F.lit(0))
+    return evaluation.scores(lost, "source").select("source", F.col("n_tokens").cast("bigint").alias("n_tokens"), F.round("loss", 6).alias("loss"))

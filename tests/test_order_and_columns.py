@@ -5,8 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from millrace.operators import filters, mixture, novelty, search_index, tokens
-from millrace.operators import retrieval
+from millrace.operators import evaluation, filters, mixture, novelty, retrieval, search_index, tokens
 from millrace.plans.storage import Artifact
 
 
@@ -121,3 +120,23 @@ def test_novelty_reads_the_fingerprints_beside_an_artifact(spark, tmp_path):
         artifact.commit()
     got = {r["artifact"].partition("-")[0]: r["overlap"] for r in novelty.compare_to_existing(docs(0, 10), root).collect()}
     assert got == {"un": 1.0, "deux": 0.5}
+
+
+def test_kneser_ney_is_a_distribution_and_losses_add_up(spark):
+    texts = ["a b a b c", "a c", "b", "c a b", ""]
+    docs = spark.createDataFrame([(i, t.split(), "s" if i % 2 else None) for i, t in enumerate(texts)], "doc_id bigint, t array<string>, source string")
+    pairs = evaluation.token_pairs(docs, F.col("t"), "source")
+    model = {(r["prev"], r["tok"]): r["loss"] for r in evaluation.kneser_ney(pairs).collect()}
+    n: dict[tuple[str, str], int] = {}
+    for t in texts:
+        w = t.split()
+        for pair in zip(w, w[1:], strict=False):
+            n[pair] = n.get(pair, 0) + 1
+    for prev in "abc":
+        m, kinds = sum(v for (p, _), v in n.items() if p == prev), sum(p == prev for p, _ in n)
+        share = {tok: sum(t == tok for _, t in n) / len(n) for tok in "abc"}
+        p = {tok: max(n.get((prev, tok), 0) - 0.75, 0) / m + 0.75 * kinds / m * share[tok] for tok in "abc"}
+        assert math.isclose(sum(p.values()), 1)
+        assert all(math.isclose(model[prev, tok], -math.log(p[tok])) for tok in "abc" if (prev, tok) in n)
+    total = evaluation.pair_losses(pairs, evaluation.kneser_ney(pairs)).first()
+    assert total["n_tokens"] == sum(n.values()) and math.isclose(total["total_loss"], sum(v * model[k] for k, v in n.items()))
