@@ -1,14 +1,14 @@
 """License scans by patience alignment.
 
 A text is searched for each license template in two steps. Regions: a telling word of the template (one that occurs
-once in it, and that little prose uses) tells where a copy would begin and end; that stretch of the text is aligned with
+once in it, and that little prose uses), or a run of three words of any kind that occurs once in it, tells where a copy would begin and end; that stretch of the text is aligned with
 the template, the best alignments stand, and what they leave of the text is searched with wider windows; so n copies side by
 side are n regions. Alignment: within a region, words that occur once in the region and once in the template are anchors; the longest increasing subsequence
 of their places is kept; the gaps between neighbouring anchors, and those before and after, are aligned in the same
 way, after equal words at their ends have been matched. Coverage is the share of the template's words that are matched.
 
-Every text is cut into words whole; texts without any telling word of a template are not aligned with it, as nothing
-could be anchored.
+Every text is cut into words whole; texts with neither a telling word nor such a run of a template are not aligned with it, as
+nothing tells where.
 
 Defined results: null, empty and unlicensed texts have no rows in ``scan`` and license ``none`` with coverage 0 in
 ``best``; ties go to the longer template, then to the earlier name, then to the earlier place; repeated rows get their
@@ -32,6 +32,8 @@ from . import common
 
 WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 THRESHOLD = 0.6
+#: Words of a run that tells where a copy lies.
+RUN = 3
 
 _BSD_OPENING = (
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
@@ -172,18 +174,28 @@ class Template:
     counted: Counter
     #: Places in the template of its telling words that occur once in it.
     place: dict[str, int]
+    #: Places in the template of its runs of ``RUN`` words that occur once in it.
+    runs: dict[tuple[str, ...], int]
 
     @classmethod
     def of(cls, name: str, text: str) -> Template:
         w = words(text)
         counted = Counter(w)
-        return cls(name, w, counted, {x: i for i, x in enumerate(w) if counted[x] == 1 and x not in COMMON})
+        runs = list(zip(*(w[k:] for k in range(RUN)), strict=False))
+        often = Counter(runs)
+        return cls(name, w, counted, {x: i for i, x in enumerate(w) if counted[x] == 1 and x not in COMMON}, {x: i for i, x in enumerate(runs) if often[x] == 1})
 
 
 @lru_cache(maxsize=8)
-def _prepared(templates: tuple[tuple[str, str], ...]) -> tuple[list[Template], frozenset]:
+def _prepared(templates: tuple[tuple[str, str], ...]) -> tuple[list[Template], dict[str, list[tuple[int, int]]], dict[tuple[str, ...], list[tuple[int, int]]]]:
+    """The templates; for each telling word, and for each telling run, the templates (by number) that have it, and where."""
     out = [Template.of(name, text) for name, text in sorted(templates)]
-    return out, frozenset().union(*(t.place for t in out))
+    telling, runs = {}, {}
+    for k, t in enumerate(out):
+        for of, found_in in ((t.place, telling), (t.runs, runs)):
+            for x, i in of.items():
+                found_in.setdefault(x, []).append((k, i))
+    return out, telling, runs
 
 
 def _aligned(lowered: list[str], a0: int, a1: int, template: Template) -> list[tuple[int, int]]:
@@ -203,10 +215,10 @@ def _aligned(lowered: list[str], a0: int, a1: int, template: Template) -> list[t
     return pairs if len(pairs) >= least else []
 
 
-def _copies(lowered: list[str], template: Template, places: list[int]) -> list[list[tuple[int, int]]]:
-    """The matched places of each copy; no two copies overlap.
+def _copies(lowered: list[str], template: Template, seeds: list[tuple[int, int, bool]]) -> list[list[tuple[int, int]]]:
+    """The matched places of each copy; no two copies overlap. ``seeds`` are places in the text and in the template that agree, and whether a word tells so.
 
-    A telling word tells where its copy begins if nothing is missing or added before it. Each such beginning is tried,
+    A seed tells where its copy begins if nothing is missing or added before it. Each such beginning is tried,
     and the best alignments stand first; what they leave of the text is then searched with wider windows.
     """
     length = len(template.words)
@@ -228,28 +240,36 @@ def _copies(lowered: list[str], template: Template, places: list[int]) -> list[l
             out.append(pairs)
 
     tried = []
-    for begin, i in {i - template.place[lowered[i]]: i for i in reversed(places)}.items():
+    begins = {i - j: i for i, j, _ in reversed(seeds)}
+    for begin, i in begins.items():
         # Words before the beginning take part only where that matches more.
         sizes = [(-len(_aligned(lowered, a0, begin + length + slack, template)), -a0) for a0 in (max(0, begin), max(0, begin - slack))]
         if min(sizes)[0]:
             tried.append((*min(sizes), begin + length + slack, i))
     for _, a0, a1, i in sorted(tried):
         accept(i, (-a0, a1))
-    for i in places:
+    # Runs of one copy begin it at the same place, if nothing is missing between them; the first of them stands for the rest.
+    for i in sorted({i for i, _, word in seeds if word} | set(begins.values())):
         accept(i, (i - length, i + 2 * length))
     return out
 
 
 def found(text: str | None, templates: tuple[tuple[str, str], ...] = tuple(TEMPLATES.items())) -> list[tuple[str, float, int, int]]:
     """(license, coverage, start, end) of every copy that covers at least ``THRESHOLD`` of a template."""
-    known, telling = _prepared(templates)
+    known, telling, runs = _prepared(templates)
     matches = list(WORD.finditer(text or ""))
     lowered = [m[0].lower() for m in matches]
-    telling_places = [i for i, w in enumerate(lowered) if w in telling]
+    seeds: dict[int, list[tuple[int, int, bool]]] = {}
+    for i, w in enumerate(lowered):
+        for k, j in telling.get(w, ()):
+            seeds.setdefault(k, []).append((i, j, True))
+    for i, run in enumerate(zip(*(lowered[k:] for k in range(RUN)), strict=False)):
+        for k, j in runs.get(run, ()):
+            seeds.setdefault(k, []).append((i, j, False))
     out = []
-    for template in known if telling_places else ():
-        places = [i for i in telling_places if lowered[i] in template.place]
-        for pairs in _copies(lowered, template, places):
+    for k, own in sorted(seeds.items()):
+        template = known[k]
+        for pairs in _copies(lowered, template, sorted(own)):
             s, e = pairs[0][0], pairs[-1][0]
             out.append((len(pairs) / len(template.words), len(template.words), template.name, matches[s].start(), matches[e].end()))
     return [(name, share, s, e) for share, _, name, s, e in sorted(out, key=lambda x: (-x[0], -x[1], x[2], x[3]))]

@@ -83,3 +83,16 @@ def test_a_doubled_word_is_not_a_second_copy():
     at = words.index("MERCHANTABILITY,")
     got = [r for r in licenses.found(" ".join([*words[: at + 1], *words[at:]])) if r[0] == "MIT-text"]
     assert len(got) == 1 and got[0][1] == 1.0
+
+
+def test_copies_without_any_telling_word_are_found():
+    """What tells is left out of the copy, which still covers more than the threshold."""
+    for name in ("MIT-text", "BSD-3-Clause", "Zlib-text"):
+        template = licenses.Template.of(name, licenses.TEMPLATES[name])
+        left = " ".join(w for w in template.words if w not in template.place)
+        share = len(left.split()) / len(template.words)
+        got = {r[0]: r[1] for r in licenses.found("some prose before it " + left + " and some behind")}
+        assert share > licenses.THRESHOLD and got[name] >= licenses.THRESHOLD
+    # A template whose words all repeat, so that no single word can tell.
+    own = (("twice", "red green blue green red blue blue red green red blue green"),)
+    assert [r[0] for r in licenses.found("x " + own[0][1] + " y", own)] == ["twice"]
