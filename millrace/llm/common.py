@@ -49,6 +49,8 @@ def labelled_sample(docs: DataFrame, known: DataFrame, per_label: int, documents
     """
     spark = docs.sparkSession
     ids = known.select("doc_id", F.col("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
+    # Labels of documents that are not there (or have no text) would take places in the draw; keys alone are joined.
+    ids = materialize(ids.join(docs.where(F.col("text").isNotNull()).select("doc_id"), "doc_id", "left_semi"), "sample-known")
     # Counted without a shuffle of ids; twice the share is drawn at first, so an estimate is enough.
     counts = materialize(ids.groupBy("label").agg(F.approx_count_distinct("doc_id").alias("n")), "sample-labels")
     n_labels = counts.count()
