@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import common, langid, quality_knn, toxicity
 
@@ -221,3 +222,26 @@ def test_terms_by_brute_force():
                     v[quality_knn.PAIRS + k * quality_knn.STEPS + j] = quality_knn.REPEAT_WEIGHT * min(1, max(0, s * quality_knn.STEPS - j))
             v /= np.linalg.norm(v)
         assert np.allclose(got, v, atol=1e-5)
+
+
+def test_labels_of_absent_documents_take_no_places_in_the_sample(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "en") for i in range(300)] + [(900, None, "en")], "doc_id bigint, text string, lang string")
+    labels = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("label"))
+    got = common.labelled_sample(docs, labels, 60)
+    assert [sum(label == k for _, label, _ in got) for k in (0, 1)] == [60, 60]
+    assert len(common.labelled_sample(docs, labels, 1000)) == 300
+
+
+def test_every_language_with_both_labels_has_a_threshold_of_its_own():
+    rng = np.random.default_rng(3)
+    rows = []
+    for lang, n in (("aa", 400), ("bb", 120), ("cc", 60), ("dd", 40)):
+        base = [f"{lang}mot{i}" for i in range(60)]
+        for i in range(n):
+            words = list(rng.choice(base, 30))
+            if i % 3 == 0:
+                words[int(rng.integers(30))] = f"{lang}vilain{i % 4}"
+            rows.append((" ".join(words), int(i % 3 == 0), lang))
+    model = toxicity.train(rows)
+    assert model.languages == ["aa", "bb", "cc", "dd"] and len(set(model.shifts.tolist())) == 5
+    assert np.isfinite(model.shifts).all()
