@@ -40,12 +40,13 @@ def estimate_tokens(count: Column) -> Column:
     return F.floor(count.cast("double") * F.lit(TOKENS_PER_WORD)).cast("bigint")
 
 
-def format_tokens(n: Column) -> Column:
-    """A count with the suffix Md, M or k; decimal ties go to the even digit."""
+def format_tokens(n: Column, *, billions: bool = True) -> Column:
+    """A count with the suffix Md, M or k, without ``billions`` M at most; decimal ties go to the even digit."""
     d = n.cast("double")
+    millions = F.format_string("%.2f M", F.bround(d / 1e6, 2))
     return (
-        F.when(n >= 10**9, F.format_string("%.2f Md", F.bround(d / 1e9, 2)))
-        .when(n >= 10**6, F.format_string("%.2f M", F.bround(d / 1e6, 2)))
+        F.when(n >= 10**9, F.format_string("%.2f Md", F.bround(d / 1e9, 2)) if billions else millions)
+        .when(n >= 10**6, millions)
         .when(n >= 10**3, F.format_string("%.1f k", F.bround(d / 1e3, 1)))
         .otherwise(n.cast("string"))
     )
