@@ -149,12 +149,17 @@ def windows(packed: DataFrame, positions: DataFrame, length: int, block: int = 1
             raise IndexError(f"windows of {length} at {low} to {high} reach beyond the {total} tokens")
     blocks = lambda a, b: F.explode(F.sequence(F.floor(a / block), F.floor(b / block)))
     left = positions.withColumn("b", blocks(F.col("pos"), F.col("pos") + length - 1))
-    right = packed.where(F.size("ids") > 0).select("start", "ids", "mask").withColumn("b", blocks(F.col("start"), F.col("start") + F.size("ids") - 1))
-    a, z = F.greatest("pos", "start"), F.least(F.col("pos") + length, F.col("start") + F.size("ids"))
-    met = left.join(right, "b").where((a < z) & (F.col("b") == F.floor(a / block)))
-    cut = lambda c: F.slice(c, (a - F.col("start") + 1).cast("int"), (z - a).cast("int"))
-    parts = met.groupBy("i").agg(F.sort_array(F.collect_list(F.struct(a.alias("a"), cut("ids").alias("ids"), cut("mask").alias("mask")))).alias("p"))
-    return parts.select("i", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"), F.flatten(F.transform("p", lambda x: x["mask"])).alias("mask"))
+    end = F.col("start") + F.size("ids")
+    right = packed.where(F.size("ids") > 0).select("start", "ids", "mask").withColumn("b", blocks(F.col("start"), end - 1))
+    # A document comes to a block with its tokens of that block only.
+    first, last = F.greatest(F.col("start"), F.col("b") * block), F.least(end, (F.col("b") + 1) * block)
+    cut = lambda c, a, z: F.slice(c, (a - F.col("start") + 1).cast("int"), (z - a).cast("int")).alias(c)
+    right = right.select("b", first.alias("start"), cut("ids", first, last), cut("mask", first, last), (last - first).alias("n"))
+    a, z = F.greatest("pos", "start"), F.least(F.col("pos") + length, F.col("start") + F.col("n"))
+    # Windows are dealt once they are cut: an aggregation would carry, and spill, what they are cut from.
+    met = left.join(right, "b").where(a < z).select("i", a.alias("a"), cut("ids", a, z), cut("mask", a, z)).repartition("i")
+    parts = met.groupBy("i").agg(*[F.sort_array(F.collect_list(F.struct("a", c))).alias(c) for c in ("ids", "mask")])
+    return parts.select("i", *[F.flatten(F.col(c)[c]).alias(c) for c in ("ids", "mask")])
 
 
 def shifted(windows_: DataFrame) -> DataFrame:
