@@ -5,6 +5,7 @@ White space is Unicode white space throughout; null texts give null unless said
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -59,15 +60,25 @@ def _mapped(change: Callable[[str], str]) -> Callable[[Column], Column]:
     return F.arrow_udf(run, "string")
 
 
-def _fold(t: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", t.lower()) if unicodedata.category(c) != "Mn")
+#: Marks beside Latin letters; and runs beyond, where others may be (general punctuation has none).
+_MARKS, _OTHERS = re.compile("[\u0300-\u036f]+"), re.compile("[^\x00-\u036f\u2010-\u2027\u2030-\u205e]+")
 
 
+def folded(t: str) -> str:
+    """Lower case without accents."""
+    if t.isascii():
+        return t.lower()
+    bare = _MARKS.sub("", unicodedata.normalize("NFD", t.lower()))
+    return _OTHERS.sub(lambda m: "".join(c for c in m[0] if unicodedata.category(c) != "Mn"), bare)
+
+
+_fold = folded
+
 #: The Latin blocks beyond ASCII.
 _LATIN_BLOCKS = [chr(c) for c in (*range(0x80, 0x250), *range(0x1E00, 0x1F00))]
 #: What translate() folds on the JVM, and what it folds to.
-LATIN = "".join(c for c in _LATIN_BLOCKS if len(_fold(c)) == 1)
-FOLDED = "".join(map(_fold, LATIN))
+LATIN = "".join(c for c in _LATIN_BLOCKS if len(folded(c)) == 1)
+FOLDED = "".join(map(folded, LATIN))
 #: A character that is neither that, nor general punctuation, which folds to itself.
 BEYOND = r"[^\x00-\x{24F}\x{1E00}-\x{1EFF}\x{2010}-\x{2027}\x{2030}-\x{205E}]" + "".join(f"|{c}" for c in _LATIN_BLOCKS if c not in LATIN)
 
@@ -83,7 +94,7 @@ def nfc(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Lower case without accents; texts of composed Latin letters stay on the JVM, the others take an Arrow UDF."""
-    return F.coalesce(_mapped(_fold)(F.when(text.rlike(BEYOND), text)), F.lower(F.translate(text, LATIN, FOLDED)))
+    return F.coalesce(_mapped(folded)(F.when(text.rlike(BEYOND), text)), F.lower(F.translate(text, LATIN, FOLDED)))
 
 
 def normalize(text: Column, *, unify_apostrophes: bool = True, compose: bool = True) -> Column:
