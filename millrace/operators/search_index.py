@@ -47,19 +47,24 @@ def add(passages: DataFrame, path: str) -> None:
     at = f"{path}/segments/{number:06d}"
     remove(spark, at)  # what a run that failed has left
     k1, b, buckets = kept["k1"], kept["b"], kept["buckets"]
-    cut = materialize(passages.select("id", retrieval.weighted_terms(passages, kept["title_weight"]).alias("terms")), "terms")
-    n, length = cut.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("terms").cast("bigint")), F.lit(0))).first()
+    cut = materialize(passages.select("id", retrieval.counted_terms(passages, kept["title_weight"]).alias("terms")), "terms")
+    dl = retrieval.counted_length(F.col("terms"))
+    n, length, n_postings = cut.agg(F.count(F.lit(1)), F.coalesce(F.sum(dl), F.lit(0)), F.coalesce(F.sum(F.size("terms").cast("bigint")), F.lit(0))).first()
     average, blocks = (length / n if length else 1.0), max(1, -(-n // BLOCK))
-    placed = cut.select("id", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.size("terms").cast("bigint").alias("dl"), "terms")
+    placed = cut.select("id", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), dl.alias("dl"), "terms")
     placed.drop("terms").write.parquet(f"{at}/lengths")
-    postings = placed.select("id", "block", "dl", F.explode("terms").alias("term")).groupBy("term", "block", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    rows = postings.groupBy("term", "block").agg(
+    postings = placed.select("id", "block", "dl", F.inline("terms"))
+    if retrieval.repeated(cut):
+        postings = postings.groupBy("term", "block", "id", "dl").agg(F.sum("tf").alias("tf"))
+    # Dealt once, to the folder where they will lie; a folder of many rows to several tasks by blocks.
+    bucket, share = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"), F.pmod("block", F.lit(max(1, -(-n_postings // (FILE_ROWS * buckets)))))
+    dealt = postings.withColumns({"bucket": bucket, "share": share}).repartition("bucket", "share")
+    rows = dealt.groupBy("term", "block", "bucket", "share").agg(
         F.max(_impact(F.col("tf"), F.col("dl"), k1, b, average)).alias("impact"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("postings")
     )
-    rows = materialize(rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")), "postings")
-    files = max(1, -(-rows.count() // FILE_ROWS))
-    rows.repartitionByRange(files, "bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{at}/postings")
-    rows.groupBy("term").agg(F.sum("n").alias("df")).write.parquet(f"{at}/lexicon")
+    rows.select("term", "block", "impact", "n", "postings", "bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{at}/postings")
+    written = _postings(spark, at)
+    written.groupBy("term").agg(F.sum("n").alias("df")).write.parquet(f"{at}/lexicon")
     spark.createDataFrame([(n, length, number)], STATS).coalesce(1).write.json(f"{at}/stats")
 
 
@@ -78,15 +83,18 @@ def stats(spark: SparkSession, path: str) -> list:
     return spark.read.schema(STATS).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(f"{path}/segments").orderBy("segment").collect()
 
 
+def _postings(spark: SparkSession, at: str) -> DataFrame:
+    # Without a term there is no file that would tell the columns.
+    kind = spark.read.parquet(f"{at}/lengths").schema["id"].dataType.simpleString()
+    return spark.read.schema(f"term string, block bigint, impact double, n bigint, postings array<struct<id:{kind},tf:bigint,dl:bigint>>, bucket int").parquet(f"{at}/postings")
+
+
 def _table(spark: SparkSession, path: str, name: str, found: list) -> DataFrame:
     """A table of all segments, with their numbers."""
     out = None
     for r in found:
-        at, reader = f"{path}/segments/{r['segment']:06d}", spark.read
-        if name == "postings":  # without a term there is no file that would tell the columns
-            kind = spark.read.parquet(f"{at}/lengths").schema["id"].dataType.simpleString()
-            reader = reader.schema(f"term string, block bigint, impact double, n bigint, postings array<struct<id:{kind},tf:bigint,dl:bigint>>, bucket int")
-        part = reader.parquet(f"{at}/{name}").withColumn("segment", F.lit(r["segment"]))
+        at = f"{path}/segments/{r['segment']:06d}"
+        part = (_postings(spark, at) if name == "postings" else spark.read.parquet(f"{at}/{name}")).withColumn("segment", F.lit(r["segment"]))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -114,7 +122,8 @@ def search(spark: SparkSession, path: str, queries: DataFrame, *, k: int = 3, re
     asked = queries.select("qid", F.explode("terms").alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("m"))
     idf = F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = materialize(asked.join(df, "term").select("qid", "term", (F.col("m") * idf).alias("weight")), "weighed")
-    weights = small(weighed, weighed.count())
+    n_weights = weighed.count()
+    weights, terms = small(weighed, n_weights), small(weighed.select("term").distinct(), n_weights)
     wanted = [r[0] for r in weighed.select(F.pmod(F.xxhash64("term"), F.lit(kept["buckets"])).cast("int")).distinct().collect()]
     rows = _table(spark, path, "postings", found).where(F.col("bucket").isin(wanted))
     # A longer average since a segment was written raises impacts, by its share at most.
@@ -127,10 +136,13 @@ def search(spark: SparkSession, path: str, queries: DataFrame, *, k: int = 3, re
     bounds = materialize(bounds, "bounds")
 
     def scored(blocks: DataFrame) -> DataFrame:
-        met = rows.drop("impact", "n").join(weights, "term").join(blocks.select("qid", "segment", "block"), ["qid", "segment", "block"])
-        each = met.select("qid", "weight", F.inline("postings"))
+        # Blocks are dealt before they meet the questions, with those that ask for them: postings are shuffled once, not once a question.
+        wanted = materialize(blocks.groupBy("segment", "block").agg(F.collect_list("qid").alias("qids")), "wanted")
+        met = rows.drop("impact", "n").join(terms, "term", "left_semi").join(small(wanted.select("segment", "block"), wanted.count()), ["segment", "block"], "left_semi")
+        met = met.repartition("segment", "block").join(wanted, ["segment", "block"]).join(weights, "term").where(F.array_contains("qids", F.col("qid")))
+        each = met.select("segment", "block", "qid", "weight", F.inline("postings"))
         part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(average)))
-        return each.groupBy("qid", "id").agg(F.sum(part).alias("score"))
+        return each.groupBy("segment", "block", "qid", "id").agg(F.sum(part).alias("score")).select("qid", "id", "score")
 
     first = bounds.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("bound"), "segment", "block"))).where(F.col("r") <= FIRST_BLOCKS)
     best = scored(first).withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score")))).where(F.col("r") == k)

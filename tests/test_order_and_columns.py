@@ -140,3 +140,24 @@ def test_kneser_ney_is_a_distribution_and_losses_add_up(spark):
         assert all(math.isclose(model[prev, tok], -math.log(p[tok])) for tok in "abc" if (prev, tok) in n)
     total = evaluation.pair_losses(pairs, evaluation.kneser_ney(pairs)).first()
     assert total["n_tokens"] == sum(n.values()) and math.isclose(total["total_loss"], sum(v * model[k] for k, v in n.items()))
+
+
+def test_searches_deal_passages_not_pairs_of_questions_and_passages(spark, tmp_path):
+    word = lambda k: "mot" + "bcdefghijk"[k // 10] + "bcdefghijk"[k % 10]
+    texts = [" ".join(word((i * k) % 37) for k in range(1, 9)) for i in range(300)]
+    passages = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    asked = spark.createDataFrame([(q, [word(q), word(q + 1), word(q)]) for q in range(20)], "qid bigint, terms array<string>")
+    postings, lengths = retrieval.index(passages)
+    search_index.build(passages, str(tmp_path / "index"))
+    found = [retrieval.search(postings, lengths, asked, k=4), search_index.search(spark, str(tmp_path / "index"), asked, k=4)]
+    shown = [sorted((r["qid"], r["rank"], r["id"], round(r["score"], 9)) for r in f.collect()) for f in found]
+    assert shown[0] == shown[1] and len(shown[0]) == 80
+    # Nothing but the best of each task is dealt by question.
+    exchanges = lambda df: [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in x]
+    assert all("hashpartitioning(qid" not in x or "id#" not in x.split("hashpartitioning(qid")[1].split(",")[1] for f in found for x in exchanges(f))
+    # A text's terms are counted where it is.
+    assert not exchanges(postings)
+    twice, _ = retrieval.index(passages.unionByName(passages.where("id < 3")))
+    assert {(r["term"], r["id"]): r["tf"] for r in twice.collect()} == {(r["term"], r["id"]): r["tf"] * (1 + (r["id"] < 3)) for r in postings.collect()}
+    odd = spark.createDataFrame([("Ⅻ½x İstanbul 12ab ΌΣΟΣ été1 éà a b1 ٣٤ ß œuvre x²y",), (None,)], "t string")
+    assert [r[0] for r in odd.select(retrieval.terms(F.col("t"))).collect()] == [["ⅻ½x", "istanbul", "12", "ab", "οσος", "ete", "ea", "٣٤", "œuvre", "x²y"], []]
