@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -256,19 +257,30 @@ class Codec:
         return cls(got["merges"], got["pattern"])
 
 
+def encoded(texts: pa.Array, codec: Codec, tail: list[int]) -> pa.Array:
+    """Ids of texts that are lists of pieces, each with ``tail``: only one text's pieces are Python's at a time, and ids take four bytes."""
+    flat, ends = array("i"), [0]
+    for found in texts:
+        for p in found.as_py() or []:
+            flat.extend(codec.piece(p))
+        flat.extend(tail)
+        ends.append(len(flat))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
+
+
 def encode(docs: DataFrame, codec: Codec, *, add_eot: bool = True) -> DataFrame:
     """``docs`` with ``ids`` (array<int>): the pieces are cut on the JVM and looked up in Arrow batches."""
     tail = [EOT] if add_eot else []
 
     def ids(x: pa.Array) -> pa.Array:
-        return pa.array([codec.encode(p or []) + tail for p in x.to_pylist()], pa.list_(pa.int32()))
+        return encoded(x, codec, tail)
 
     return docs.withColumn("ids", F.arrow_udf(ids, "array<int>")(pieces(F.coalesce(F.col("text"), F.lit("")), codec.name)))
 
 
 def decode(rows: DataFrame, codec: Codec) -> DataFrame:
     def back(x: pa.Array) -> pa.Array:
-        return pa.array([codec.decode(i or []) for i in x.to_pylist()], pa.string())
+        return pa.array([codec.decode(i.as_py() or []) for i in x], pa.string())
 
     return rows.withColumn("text", F.arrow_udf(back, "string")("ids"))
 

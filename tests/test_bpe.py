@@ -78,3 +78,20 @@ def test_a_very_long_piece_is_encoded_in_about_a_second(spark):
     ids = codec.piece(piece)
     assert time.process_time() - began < 3 and len(ids) < 200_000  # about 0.7 s on one idle core
     assert codec.decode(ids) == piece
+
+
+def test_a_batch_is_encoded_one_text_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    codec = tokenizer.Codec([(tokenizer.SPECIALS + ord("a"), tokenizer.SPECIALS + ord("b"))])
+    texts = pa.array([[f"ab{i}" for i in range(400)], None, []] * 300, pa.list_(pa.string()))
+    tracemalloc.start()
+    got = tokenizer.encoded(texts, codec, [tokenizer.EOT])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = [codec.encode(p or []) + [tokenizer.EOT] for p in texts.to_pylist()]
+    assert got.to_pylist() == want and got.type == pa.list_(pa.int32())
+    # Four bytes an id, twice while they are copied; lists of numbers, and all pieces as strings, would take five times that.
+    assert peak < 12 * sum(map(len, want)) + (1 << 20)
