@@ -54,10 +54,9 @@ def near_unique(docs: DataFrame, table: str, checkpoint: str, *, read: list[int]
         rows = batch.withColumnRenamed("id", "doc_id") if "doc_id" not in batch.columns else batch
         place = unused(rows, "__place")
         rows = rows.withColumn(place, dedup.row_place()).dropDuplicates([place])
-        texts = rows.select(F.col(place).alias("doc_id"), "text")
         # A text's fingerprint is one more key: exact copies, short texts too, share it.
-        exact = texts.select("doc_id", F.xxhash64(F.lit("exact"), T.fingerprint(F.coalesce("text", F.lit("")))).alias("own"))
-        found = dedup.band_keys(texts, **params).join(exact, "doc_id").select("doc_id", F.array_append("keys", F.col("own")).alias("keys"))
+        texts = rows.select(F.col(place).alias("doc_id"), "text", F.xxhash64(F.lit("exact"), T.fingerprint(F.coalesce("text", F.lit("")))).alias("own"))
+        found = dedup.band_keys(texts, **params, carry=("own",)).select("doc_id", F.array_append("keys", F.col("own")).alias("keys"))
         found.write.mode("overwrite").parquet(f"{table}/batch={n}/candidates")
         keys = spark.read.parquet(f"{table}/batch={n}/candidates")
         asked = keys.select("doc_id", F.explode("keys").alias("key"))
