@@ -45,6 +45,13 @@ def token_pairs(docs: DataFrame, tokens: Column, *by: str) -> DataFrame:
     return listed.select(*by, F.explode(pairs).alias("p")).groupBy(*by, "p.prev", "p.tok").agg(F.count(F.lit(1)).alias("n"))
 
 
+def add_alpha(pairs: DataFrame, vocab: int, alpha: float = 0.5) -> DataFrame:
+    """(prev, tok, loss) of the pairs counted in ``pairs`` (prev, tok, n), under an add-alpha model of them over ``vocab`` tokens."""
+    both = pairs.groupBy("prev", "tok").agg(F.sum("n").alias("n"))
+    first = both.groupBy("prev").agg(F.sum("n").alias("m"))
+    return both.join(first, "prev").select("prev", "tok", (-F.ln((F.col("n") + alpha) / (F.col("m") + alpha * vocab))).alias("loss"))
+
+
 def kneser_ney(pairs: DataFrame, discount: float = 0.75) -> DataFrame:
     """(prev, tok, loss) of the pairs counted in ``pairs`` (prev, tok, n), under an interpolated Kneser-Ney model of them.
 
