@@ -3,19 +3,24 @@
 A word's embedding is the sum of rows of a hashed table: one for the word, and one for each of its beginnings of
 ``PREFIXES`` letters that is shorter than the word, so that inflected forms share what they have in common. Filters one, two and three words wide slide over the embeddings,
 each filter's largest response in the whole text is kept, and a logistic unit on these maxima gives the score.
-Everything is trained in numpy, with Adam; in training a part (``DROPOUT``) of the rows is left out at random, so that
-no score hangs on a single row. Every bucket that the sample uses has an embedding, however rare it is.
+In training a part (``DROPOUT``) of the rows is left out at random, so that
+no score hangs on a single row. Every bucket that the rows learned from use has an embedding, however rare it is.
 
-Thresholds are calibrated by language on rows that the training has not seen, weighted as the labels are in the corpus;
+:func:`fit` learns from every labelled row. Spark deals the rows to blocks of about ``BLOCK_ROWS`` by a hash of their ids; in each of ``ROUNDS`` rounds
+every block takes its share of the steps from the common model, in numpy with Adam, and Spark averages what the blocks
+have changed (a row of the table over the blocks that moved it). Over the rounds a block goes over all of its rows at least once.
+Changes are summed as whole numbers, so reruns agree. The driver gets the averages, at most ``BUCKETS`` rows however many documents there are.
+
+Thresholds are calibrated by language on rows that the training has not seen (every fifth, by a hash of the id), by counts of all their logits in steps of 1 / ``GRID``;
 the logit is shifted by its language's threshold, so that 0.5 is the threshold everywhere. The language of a text is
-guessed from its words (a naive Bayes table over the same buckets, learned with the languages of the sample's rows);
+guessed from its words (a naive Bayes table over the same buckets, counted over all rows that are trained on);
 the ``lang`` column is no input of a score. A language's threshold is drawn towards the common one by how few calibration
 rows it has: m rows of the rarer label weigh against ``SHRINK`` rows of all languages, so every language with rows of both labels has its own.
 
 Filters are applied to the different words of a batch; scoring a place is looking up and adding.
 
-``SAMPLE_PER_LABEL`` bounds the sample: up to that many documents of either label, whole, chosen by a hash of the id
-over all labelled rows (see :func:`common.labelled_sample`). So the table has no more rows than the sample has words and beginnings.
+:func:`train` does the same with rows in memory, as one block; :func:`sample` draws up to ``SAMPLE_PER_LABEL`` documents of either label for it.
+The query uses neither.
 
 Defined results: null and empty texts, and all texts where nothing is labelled or only one label occurs, get the score
 0 words give (0.0 if nothing was learned); repeated rows get a row each, and an id is learned from once for each of its labels.
@@ -26,6 +31,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -50,8 +56,14 @@ BATCH = 48
 PACE = 0.3  # of the embeddings, in units of the largest step's root mean square
 DECAY = 1e-4
 SAMPLE_PER_LABEL = 1500
-CALIBRATION = 5  # every fifth row of the sample calibrates instead of training
+CALIBRATION = 5  # every fifth row calibrates instead of training
 SHRINK = 12
+BLOCK_ROWS = 16_000  # about so many rows, or bytes of text, are learned from by one task between two averages
+BLOCK_BYTES = 64 << 20
+ROUNDS = 4
+FIXED = 1 << 20  # changes are summed in units of 1 / FIXED
+GRID = 1024
+DIFFERENT_WORDS = 50_000  # that a task counts before it hands its counts on
 
 
 def buckets(word: str) -> list[int]:
@@ -157,15 +169,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(rows: list[tuple[str, int, str | None]], counts: dict[int, int] | None = None, seed: int = 11) -> Model:
-    """From (text, label, language) rows; ``counts`` are the labels' counts in the corpus."""
-    rows = sorted(rows, key=lambda r: (r[1], r[2] or "", r[0]))
+def untrained(kept: np.ndarray, seed: int) -> Model:
+    """A model with an embedding for each of the buckets ``kept``, before its first step."""
     rng = np.random.default_rng(seed)
-    rows = [rows[i] for i in rng.permutation(len(rows))]
-    counts = counts or {k: sum(r[1] == k for r in rows) for k in (0, 1)}
-    fit = [r for i, r in enumerate(rows) if i % CALIBRATION]
-    vocabulary = {w for text, _, _ in fit for w in WORD.findall(text.lower())}
-    kept = np.array(sorted({k for w in vocabulary for k in buckets(w)} - {-1}), dtype=np.int64)
     number = np.zeros(BUCKETS, np.int32)
     number[kept] = np.arange(1, len(kept) + 1)
     # Next to nothing at first: a word that training has hardly moved has hardly a response.
@@ -173,52 +179,85 @@ def train(rows: list[tuple[str, int, str | None]], counts: dict[int, int] | None
     embeddings[0] = 0
     filters = [rng.normal(0, 0.3, (w, DIMENSIONS, FILTERS)) for w in WIDTHS]
     # Half of the filters speak for toxicity from the start, half against.
-    model = Model(number, embeddings, filters, rng.choice([-0.5, 1.0], FILTERS * len(WIDTHS)), 0.0)
-    if len({r[1] for r in fit}) < 2:
+    return Model(number, embeddings, filters, rng.choice([-0.5, 1.0], FILTERS * len(WIDTHS)), 0.0)
+
+
+def train(rows: list[tuple[str, int, str | None]], counts: dict[int, int] | None = None, seed: int = 11) -> Model:
+    """From (text, label, language) rows in memory; ``counts`` are the labels' counts in the corpus."""
+    rows = sorted(rows, key=lambda r: (r[1], r[2] or "", r[0]))
+    rows = [rows[i] for i in np.random.default_rng(seed).permutation(len(rows))]
+    counts = counts or {k: sum(r[1] == k for r in rows) for k in (0, 1)}
+    held, used = rows[::CALIBRATION], [r for i, r in enumerate(rows) if i % CALIBRATION]
+    languages = sorted({r[2] for r in used if r[2]})
+    kept, seen = _gathered(list(_word_counts(((r[0], r[2]) for r in used), languages)), len(languages))
+    model = untrained(kept, seed)
+    if len({r[1] for r in used}) < 2:
         return model
     model.learned = True
-    bias = np.zeros(1)
+    known = Words(model.number)
+    by_label: list[list[np.ndarray]] = [[], []]
+    for text, label, _ in used:
+        by_label[label].append(np.array(known.ids(text), dtype=np.int32))
+    learn(model, known.rows(), by_label, 0, 1, [seed, 1])
+    _languages(model, languages, seen)
+    if held:
+        b = batch([r[0] for r in held], model.number)
+        y = np.array([r[1] for r in held])
+        drawn = {k: max(1, sum(r[1] == k for r in rows)) for k in (0, 1)}
+        weight = np.where(y == 1, counts.get(1, 1) / drawn[1], counts.get(0, 1) / drawn[0])
+        _calibrate(model, model.logits(b), model.guessed(b), y, np.ones(len(y)), weight)
+    return model
+
+
+def learn(model: Model, table: np.ndarray, by_label: list[list[np.ndarray]], part: int, parts: int, seed: list[int]) -> None:
+    """Steps of one of ``parts`` parts of the training, in place.
+
+    ``table`` has the compact numbers of each word's buckets, ``by_label`` each row's words. A batch has as many rows of
+    either label, each label's in an order of its own that goes on from part to part; all parts together go over every row.
+    """
+    rng = np.random.default_rng(seed[:-1])
+    orders = [rng.permutation(len(x)) for x in by_label]
+    rng = np.random.default_rng([*seed, part])
+    half = BATCH // 2
+    steps = max(STEPS, -(-max(map(len, by_label)) // half))
+    bias = np.array([model.bias])
     params = [*model.filters, model.weights, bias]
     first, second = [np.zeros(p.shape) for p in params], [np.zeros(p.shape) for p in params]
     moved = np.zeros(1)
-    known = Words(number)
-    by_label: list[list[np.ndarray]] = [[], []]
-    for text, label, _ in fit:
-        by_label[label].append(np.array(known.ids(text), dtype=np.int32))
-    table = known.rows()
-    for step in range(1, STEPS + 1):
-        y = rng.integers(0, 2, BATCH)
-        places, starts, ends = joined([by_label[k][rng.integers(0, len(by_label[k]))] for k in y])
+    y = np.repeat([k for k in (0, 1) if by_label[k]], half)
+    begin = steps * part // parts
+    for step in range(begin + 1, steps * (part + 1) // parts + 1):
+        turn = (step - 1) * half + np.arange(half)
+        texts = [by_label[k][i] for k in (0, 1) if by_label[k] for i in orders[k][turn % len(orders[k])]]
+        places, starts, ends = joined(texts)
         used, places = np.unique(places, return_inverse=True)
         b = Batch(table[used], places, starts, ends)
         b.unique[rng.random(b.unique.shape) < DROPOUT] = 0
         top, at = model.maxima(b, places=True)
         f = np.maximum(top, 0)
         p = 1 / (1 + np.exp(-np.clip(f @ model.weights + model.bias, -30, 30)))
-        g = (p - y) / BATCH
+        g = (p - y) / len(y)
         back = np.outer(g, model.weights) * (top > 0)
         at_rows, pulls, d_filters = [], [], []
         for j, group in enumerate(model.filters):
-            part, d = back[:, j * FILTERS : (j + 1) * FILTERS], np.zeros(group.shape)
+            pulled, d = back[:, j * FILTERS : (j + 1) * FILTERS], np.zeros(group.shape)
             for k in range(len(group)):
                 ids = b.unique[b.places[at[j] + k]]  # texts x filters x ROWS
                 e = model.embeddings[ids].sum(axis=2)
-                d[k] = np.einsum("bf,bfd->df", part, e)
-                pull = part[:, :, None] * group[k].T[None]
+                d[k] = np.einsum("bf,bfd->df", pulled, e)
+                pull = pulled[:, :, None] * group[k].T[None]
                 at_rows.append(ids.reshape(-1, ROWS))
                 pulls.append(pull.reshape(-1, DIMENSIONS))
             d_filters.append(d)
-        rate = min(1.0, 2 * (1 - step / (STEPS + 1)))
+        rate = min(1.0, 2 * (1 - step / (steps + 1)))
         _step(model.embeddings, moved, np.concatenate(at_rows), np.concatenate(pulls), rate * PACE)
         grads = [*d_filters, f.T @ g + DECAY * model.weights, np.array([g.sum()])]
+        t = step - begin
         for i, (param, grad) in enumerate(zip(params, grads, strict=True)):
             first[i] += 0.1 * (grad - first[i])
             second[i] += 0.01 * (grad * grad - second[i])
-            param -= rate * 0.02 * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-5)
+            param -= rate * 0.02 * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.99**t)) + 1e-5)
         model.bias = float(bias[0])
-    _languages(model, fit)
-    _calibrate(model, [r for i, r in enumerate(rows) if i % CALIBRATION == 0], counts, rows)
-    return model
 
 
 def _step(embeddings: np.ndarray, moved: np.ndarray, at: np.ndarray, pulls: np.ndarray, pace: float) -> None:
@@ -233,16 +272,41 @@ def _step(embeddings: np.ndarray, moved: np.ndarray, at: np.ndarray, pulls: np.n
     embeddings[rows] -= d.astype(np.float32)
 
 
-def _languages(model: Model, fit: list[tuple[str, int, str | None]]) -> None:
-    model.languages = sorted({r[2] for r in fit if r[2]})
-    seen = np.zeros((len(model.embeddings), max(1, len(model.languages))))
-    for k, lang in enumerate(model.languages):
-        texts = [r[0] for r in fit if r[2] == lang]
-        b = batch(texts, model.number)
-        words = b.unique[b.places]
-        seen[:, k] = np.bincount(words.ravel(), minlength=len(seen))
-    seen[0] = 0
-    p = (seen + 0.5) / (seen + 0.5).sum(axis=0)
+def _word_counts(rows: Iterator[tuple[str, str | None]], languages: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, how often each occurs in each language and, last, where there is none) of (text, language) rows, whenever ``DIFFERENT_WORDS`` are met."""
+    place = {lang: k for k, lang in enumerate(languages)}
+    words: defaultdict[str, Counter] = defaultdict(Counter)
+
+    def found() -> tuple[np.ndarray, np.ndarray]:
+        at = [(k, n, place.get(lang, len(languages))) for lang, own in words.items() for w, n in own.items() for k in buckets(w) if k >= 0]
+        every = np.array(at, np.int64).reshape(-1, 3)
+        kept, row = np.unique(every[:, 0], return_inverse=True)
+        seen = np.zeros((len(kept), len(languages) + 1), np.int64)
+        np.add.at(seen, (row, every[:, 2]), every[:, 1])
+        return kept, seen
+
+    for text, lang in rows:
+        words[lang or ""].update(WORD.findall(text.lower()))
+        if sum(map(len, words.values())) > DIFFERENT_WORDS:
+            yield found()
+            words.clear()
+    yield found()
+
+
+def _gathered(parts: list[tuple[np.ndarray, np.ndarray]], n_languages: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all parts, and their counts by language summed up."""
+    kept, row = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    seen = np.zeros((len(kept), n_languages + 1), np.int64)
+    np.add.at(seen, row, np.concatenate([n for _, n in parts]))
+    return kept, seen
+
+
+def _languages(model: Model, languages: list[str], seen: np.ndarray) -> None:
+    """``seen``: of each embedding how often it occurs in each language, and (not used) where there is none."""
+    model.languages = languages
+    counted = np.zeros((len(model.embeddings), max(1, len(languages))))
+    counted[1:, : len(languages)] = seen[:, : len(languages)]
+    p = (counted + 0.5) / (counted + 0.5).sum(axis=0)
     table = np.log(p / p.mean(axis=1, keepdims=True)).astype(np.float32)
     table[0] = 0
     model.language_table = table
@@ -250,10 +314,9 @@ def _languages(model: Model, fit: list[tuple[str, int, str | None]]) -> None:
 
 def _threshold(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     """The cut of least weighted error; of equal ones the middle of the widest gap."""
-    order = np.argsort(z)
-    z, y, weight = z[order], y[order], weight[order]
-    missed = np.concatenate([[0], np.cumsum(weight * (y == 1))])
-    alarms = (weight * (y == 0)).sum() - np.concatenate([[0], np.cumsum(weight * (y == 0))])
+    z, row = np.unique(z, return_inverse=True)
+    missed = np.concatenate([[0], np.cumsum(np.bincount(row, weight * (y == 1), len(z)))])
+    alarms = (weight * (y == 0)).sum() - np.concatenate([[0], np.cumsum(np.bincount(row, weight * (y == 0), len(z)))])
     error = missed + alarms
     edges = np.concatenate([[z[0] - 2], z, [z[-1] + 2]])
     gaps = np.diff(edges)
@@ -261,26 +324,143 @@ def _threshold(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return float((edges[best] + edges[best + 1]) / 2)
 
 
-def _calibrate(model: Model, held: list, counts: dict[int, int], rows: list) -> None:
+def _calibrate(model: Model, z: np.ndarray, lang: np.ndarray, y: np.ndarray, n: np.ndarray, weight: np.ndarray) -> None:
+    """Thresholds from logits, guessed languages and labels, each of ``n`` rows that together weigh ``weight``."""
     model.shifts = np.zeros(len(model.languages) + 1)
-    if len({r[1] for r in held}) < 2:
+    if len(set(y.tolist())) < 2:
         return
-    b = batch([r[0] for r in held], model.number)
-    z, lang = model.logits(b), model.guessed(b)
-    y = np.array([r[1] for r in held])
-    drawn = {k: max(1, sum(r[1] == k for r in rows)) for k in (0, 1)}
-    weight = np.where(y == 1, counts.get(1, 1) / drawn[1], counts.get(0, 1) / drawn[0])
     model.shifts[:] = _threshold(z, y, weight)
     for k in range(len(model.languages)):
         own = lang == k
-        rarer = min((y[own] == 0).sum(), (y[own] == 1).sum())
+        rarer = min(n[own & (y == 0)].sum(), n[own & (y == 1)].sum())
         if rarer:
             share = rarer / (rarer + SHRINK)
             model.shifts[k] += share * (_threshold(z[own], y[own], weight[own]) - model.shifts[k])
 
 
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, text, lang, calibrates, draw) of every labelled document that may be learned from, once for each of its labels; ``draw`` is a hash of the id.
+
+    Only rows whose crc32 of the id is not divisible by 5 are learned from. Of an id's rows the smallest text counts.
+    """
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (common.id_crc() % 5 != 0)).distinct()
+    known = common.materialize(known, "toxic-labels")
+    met = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null")
+    met = met.join(common.small(known, known.count()), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("text", "lang")).alias("d"))
+    hashed = lambda use: F.xxhash64(F.col("doc_id").cast("string"), F.lit(use))
+    return met.select("label", "d.text", "d.lang", (F.pmod(hashed("calibrates"), F.lit(CALIBRATION)) == 0).alias("calibrates"), hashed("block").alias("draw"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, block_rows: int = BLOCK_ROWS, rounds: int = ROUNDS, seed: int = 11) -> Model:
+    """A model of every labelled row: its words, its steps and its thresholds come from all of them (see above)."""
+    spark = docs.sparkSession
+    rows = common.materialize(labelled(docs, labels), "toxic-rows")
+    training = rows.where("not calibrates")
+    sizes = {r["label"]: (r["n"], r["b"]) for r in training.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()}  # two rows
+    if len(sizes) < 2:
+        return untrained(np.zeros(0, np.int64), seed)
+    n_blocks = max(-(-sum(n for n, _ in sizes.values()) // block_rows), -(-sum(b for _, b in sizes.values()) // BLOCK_BYTES), 1)
+    blocks = training.select(F.pmod("draw", F.lit(n_blocks)).alias("block"), "draw", "label", "text", "lang").repartition(4 * n_blocks, "block").sortWithinPartitions("block", "draw", "label", "text")
+    blocks = common.materialize(blocks.select("block", "label", "text", "lang"), "toxic-blocks")
+    languages = sorted(r[0] for r in blocks.where("lang <> ''").select("lang").distinct().collect())
+    kept, seen = _counted(blocks, languages)
+    model = untrained(kept, seed)
+    model.learned = True
+    for k in range(rounds if n_blocks > 1 else 1):
+        _averaged(spark, blocks, model, k, rounds if n_blocks > 1 else 1, seed)
+    _languages(model, languages, seen)
+    _calibrate(model, *_logit_counts(rows.where("calibrates"), model))
+    return model
+
+
+def _counted(blocks: DataFrame, languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all texts, and how often each occurs in each language and where there is none."""
+    names = [f"n{k}" for k in range(len(languages) + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kept, seen in _word_counts((r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), languages):
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), *map(pa.array, seen.T.copy())], ["bucket", *names])
+
+    counts = blocks.select("text", "lang").mapInArrow(run, "bucket int, " + ", ".join(f"{n} bigint" for n in names))
+    found = counts.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # at most BUCKETS rows
+    order = np.argsort(found["bucket"].to_numpy())
+    return found["bucket"].to_numpy()[order].astype(np.int64), np.stack([found[n].to_numpy() for n in names], axis=1)[order]
+
+
+def _dense(model: Model) -> np.ndarray:
+    """Filters, weights and bias as rows of ``DIMENSIONS`` numbers."""
+    flat = np.concatenate([*(x.ravel() for x in model.filters), model.weights, [model.bias]])
+    return np.append(flat, np.zeros(-len(flat) % DIMENSIONS)).reshape(-1, DIMENSIONS)
+
+
+def _set_dense(model: Model, rows: np.ndarray) -> None:
+    flat, at = rows.ravel(), 0
+    for x in [*model.filters, model.weights]:
+        x[...] = flat[at : at + x.size].reshape(x.shape)
+        at += x.size
+    model.bias = float(flat[at])
+
+
+def _averaged(spark: SparkSession, blocks: DataFrame, model: Model, part: int, parts: int, seed: int) -> None:
+    """One round, in place: every block's steps from the model, and the means of what the blocks have changed."""
+    shared = spark.sparkContext.broadcast(model)  # BUCKETS bounds it
+    names = [f"d{k}" for k in range(DIMENSIONS)]
+
+    def changes(block: int, known: Words, by_label: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        start = shared.value
+        own = Model(start.number, start.embeddings.copy(), [x.copy() for x in start.filters], start.weights.copy(), start.bias)
+        learn(own, known.rows(), by_label, part, parts, [seed, int(block)])
+        # Rows before 0 are the filters, weights and bias.
+        dense = _dense(own) - _dense(start)
+        at = np.flatnonzero((own.embeddings != start.embeddings).any(axis=1))
+        for k in range(0, len(at) + 1, 1 << 14):
+            some = at[k : k + (1 << 14)]
+            row, d = some, own.embeddings[some].astype(np.float64) - start.embeddings[some]
+            if not k:
+                row, d = np.concatenate([np.arange(-len(dense), 0), row]), np.concatenate([dense, d])
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), *map(pa.array, np.rint(d * FIXED).astype(np.int64).T.copy())], ["row", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, known, by_label = None, Words(shared.value.number), [[], []]
+        for b in batches:
+            for own, label, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if own != block:
+                    if block is not None:
+                        yield from changes(block, known, by_label)
+                    block, known, by_label = own, Words(shared.value.number), [[], []]
+                by_label[label].append(np.array(known.ids(text), dtype=np.int32))
+        if block is not None:
+            yield from changes(block, known, by_label)
+
+    moved = blocks.select("block", "label", "text").mapInArrow(run, "row int, " + ", ".join(f"{n} bigint" for n in names))
+    # Sums of whole numbers: the same in any order.
+    means = moved.groupBy("row").agg(*[(F.sum(n) / F.count(F.lit(1)) / F.lit(float(FIXED))).cast("float").alias(n) for n in names]).toArrow()  # at most BUCKETS rows and the filters
+    row, d = means["row"].to_numpy(), np.stack([means[n].to_numpy() for n in names], axis=1)
+    dense = _dense(model)
+    dense[row[row < 0] + len(dense)] += d[row < 0]
+    _set_dense(model, dense)
+    model.embeddings[row[row >= 0]] += d[row >= 0]
+    shared.unpersist()
+
+
+def _logit_counts(rows: DataFrame, model: Model) -> tuple[np.ndarray, ...]:
+    """Different (logit in steps of 1 / GRID, guessed language, label) of all rows, and how many rows have them, twice."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in batches:
+            for a in range(0, r.num_rows, 256):
+                b = batch(r.column(0).slice(a, 256).to_pylist(), shared.value.number)
+                cell = np.rint(np.clip(shared.value.logits(b), -30, 30) * GRID)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(shared.value.guessed(b).astype(np.int32)), r.column(1).slice(a, 256)], ["z", "lang", "y"])
+
+    found = rows.select("text", "label").mapInArrow(run, "z int, lang int, y int").groupBy("z", "lang", "y").agg(F.count(F.lit(1)).alias("n")).toArrow()  # GRID and the languages bound it
+    n = found["n"].to_numpy().astype(np.float64)
+    return found["z"].to_numpy() / GRID, found["lang"].to_numpy(), found["y"].to_numpy(), n, n
+
+
 def sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> tuple[list[tuple[str, int, str | None]], dict[int, int]]:
-    """((text, label, lang) of up to ``per_label`` documents of either label, the labels' counts in the corpus).
+    """((text, label, lang) of up to ``per_label`` documents of either label, the labels' counts in the corpus), for :func:`train`.
 
     Only rows whose crc32 of the id is not divisible by 5 are learned from.
     """
@@ -292,7 +472,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS and the sample bound it
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS bounds it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -307,5 +487,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
-    model = train(*sample(docs, labels))
-    return score(docs.select("doc_id", "text"), model)
+    return score(docs.select("doc_id", "text"), fit(docs, labels))

@@ -245,3 +245,51 @@ def test_every_language_with_both_labels_has_a_threshold_of_its_own():
     model = toxicity.train(rows)
     assert model.languages == ["aa", "bb", "cc", "dd"] and len(set(model.shifts.tolist())) == 5
     assert np.isfinite(model.shifts).all()
+
+
+def test_toxicity_is_learned_from_every_labelled_row(spark, documents):
+    rng = random.Random(6)
+    label = {i: int(rng.random() < 0.15) for i in range(3600)}
+    rows = []
+    for i, y in label.items():
+        lang = rng.choice(list(SYLLABLES))
+        rows.append((i, f"{prose(rng, lang, 8)} eigen{i} " + (insult(rng, lang) if y else prose(rng, lang, 1)), lang))
+    docs = documents(rows)
+    labels = spark.createDataFrame(list(label.items()), "doc_id bigint, toxic int")
+    learned = [(r["text"], r["lang"]) for r in toxicity.labelled(docs, labels).where("not calibrates").collect()]
+    assert len(learned) > toxicity.SAMPLE_PER_LABEL + sum(label.values())
+    model = toxicity.fit(docs, labels, block_rows=1500)
+    # Each text's own word has an embedding and speaks for its language, whichever block it is in.
+    own = [(next(w for w in text.split() if w.startswith("eigen")), lang) for text, lang in learned]
+    assert all(model.number[toxicity.buckets(w)[0]] for w, _ in own)
+    told = [model.language_table[model.number[toxicity.buckets(w)[0]]].argmax() == model.languages.index(lang) for w, lang in own]
+    assert np.mean(told) > 0.99  # but for buckets that words share
+    # Blocks and sums do not hang on how the rows lie.
+    again = toxicity.fit(docs.repartition(7), labels.repartition(3), block_rows=1500)
+    assert np.array_equal(model.embeddings, again.embeddings) and np.array_equal(model.shifts, again.shifts) and np.array_equal(model.weights, again.weights)
+    got = [r for r in toxicity.score(docs, model).collect() if r["held_out"]]
+    seen = Counter((label[r["doc_id"]], r["predicted"]) for r in got)
+    assert seen[1, 1] / (seen[1, 0] + seen[1, 1]) > 0.9 and seen[0, 1] / (seen[0, 0] + seen[0, 1]) < 0.05
+
+
+def test_toxicity_steps_go_over_every_row(monkeypatch):
+    monkeypatch.setattr(toxicity, "STEPS", 4)
+    met, texts = Counter(), [f"wort{i}" for i in range(300)]
+    model = toxicity.untrained(np.array(sorted({k for t in texts for k in toxicity.buckets(t)} - {-1})), 1)
+    known = toxicity.Words(model.number)
+    by_label = [[np.array(known.ids(t), np.int32) for t in texts[:290]], [np.array(known.ids(t), np.int32) for t in texts[290:]]]
+    joined = toxicity.joined
+    monkeypatch.setattr(toxicity, "joined", lambda texts: met.update(int(t[0]) for t in texts) or joined(texts))
+    for part in range(3):
+        toxicity.learn(model, known.rows(), by_label, part, 3, [1, 2])
+    assert len(met) == 300
+
+
+def test_toxicity_without_both_labels_learns_nothing(spark, documents, odd):
+    docs = documents(odd)
+    labels = spark.createDataFrame([(i, 0) for i in range(10)], "doc_id bigint, toxic int")
+    for some in (labels, labels.where("false")):
+        assert {r["score"] for r in toxicity.score(docs, toxicity.fit(docs, some)).collect()} == {0.0}
+    both = labels.unionByName(labels.withColumn("toxic", F.lit(1)))
+    got = toxicity.score(docs, toxicity.fit(docs, both)).collect()
+    assert len(got) == len(odd) and all(0 <= r["score"] <= 1 for r in got)
