@@ -31,7 +31,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -63,7 +62,8 @@ BLOCK_BYTES = 64 << 20
 ROUNDS = 4
 FIXED = 1 << 20  # changes are summed in units of 1 / FIXED
 GRID = 1024
-DIFFERENT_WORDS = 50_000  # that a task counts before it hands its counts on
+DIFFERENT_WORDS = 100_000  # that a task counts before it hands its counts on
+PLACES = 1 << 22  # the same for words in all
 
 
 def buckets(word: str) -> list[int]:
@@ -72,6 +72,54 @@ def buckets(word: str) -> list[int]:
     return [zlib.crc32(x.encode("utf-8", "replace")) % BUCKETS if x else -1 for x in parts]
 
 
+def _crc_table() -> np.ndarray:
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & 1, np.uint32(0xEDB88320) ^ (c >> 1), c >> 1)
+    return c
+
+
+CRC = _crc_table()
+SHORT = 32  # bytes; longer words are few, and take buckets()
+
+
+def buckets_of(words: list[str]) -> np.ndarray:
+    """:func:`buckets` of many words, a row each, byte by byte for all of them at once."""
+    raws = [w.encode("utf-8", "replace") for w in words]
+    lengths = np.fromiter(map(len, raws), np.int64, len(raws))
+    out = np.full((len(raws), ROWS), -1, np.int64)
+    for i in np.flatnonzero(lengths > SHORT):
+        out[i] = buckets(words[i])
+    at = np.flatnonzero(lengths <= SHORT)
+    at = at[np.argsort(-lengths[at], kind="stable")]  # the longest first, so those that have a byte more are a slice
+    if not len(at):
+        return out
+    lengths = lengths[at]
+    n = int(lengths[0])
+    flat = np.frombuffer(b"".join([raws[i].ljust(n + 1, b"\0") for i in at.tolist()]), np.uint8).reshape(len(at), n + 1)
+    begins = (flat & 0xC0) != 0x80  # bytes at which a letter begins
+    total = begins.sum(axis=1) - (n + 1 - lengths)
+    letters = np.zeros(len(at), np.int64)
+    whole = np.full(len(at), 0xFFFFFFFF, np.uint32)
+    start = np.full(len(at), CRC[255] ^ np.uint32(0x00FFFFFF), np.uint32)  # after the \0 before a beginning
+    short = np.full((len(at), ROWS), -1, np.int64)
+    for j in range(n):
+        live = int(np.searchsorted(-lengths, -j))
+        byte = flat[:live, j]
+        whole[:live] = CRC[whole[:live].astype(np.uint8) ^ byte] ^ (whole[:live] >> 8)
+        if j >= 4 * PREFIXES[-1]:
+            continue
+        start[:live] = CRC[start[:live].astype(np.uint8) ^ byte] ^ (start[:live] >> 8)
+        letters[:live] += begins[:live, j]
+        for k, m in enumerate(PREFIXES, 1):
+            if m <= j + 1 <= 4 * m:
+                here = np.flatnonzero(begins[:live, j + 1] & (letters[:live] == m) & (total[:live] > m))
+                short[here, k] = (start[here] ^ np.uint32(0xFFFFFFFF)) % BUCKETS
+    short[:, 0] = (whole ^ np.uint32(0xFFFFFFFF)) % BUCKETS
+    out[at] = short
+    return out
+
+
 @dataclass
 class Batch:
     """Texts as places: ``ROWS`` buckets per place (compact numbers, 0 for none), and where each text starts."""
@@ -82,25 +130,27 @@ class Batch:
     ends: np.ndarray  # at least one place each, an empty one if need be
 
 
+class Numbers(dict):
+    """Numbers from 1, in the order in which keys are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        k = self[key] = len(self) + 1
+        return k
+
+
 class Words:
     """Numbers different words as it meets them; 0 is the empty place."""
 
     def __init__(self, number: np.ndarray) -> None:
-        self._number, self._seen, self._rows = number, {}, [[-1] * ROWS]
+        self._number, self._seen = number, Numbers()
 
     def ids(self, text: str | None) -> list[int]:
-        seen, out = self._seen, []
-        for w in WORD.findall((text or "").lower()):
-            k = seen.get(w)
-            if k is None:
-                k = seen[w] = len(self._rows)
-                self._rows.append(buckets(w))
-            out.append(k)
-        return out
+        seen = self._seen
+        return [seen[w] for w in WORD.findall((text or "").lower())]
 
     def rows(self) -> np.ndarray:
         """Compact numbers of the buckets of each word."""
-        at = np.array(self._rows, dtype=np.int64)
+        at = np.concatenate([np.full((1, ROWS), -1), buckets_of(list(self._seen))])
         return np.where(at < 0, 0, self._number[at])
 
 
@@ -273,23 +323,27 @@ def _step(embeddings: np.ndarray, moved: np.ndarray, at: np.ndarray, pulls: np.n
 
 
 def _word_counts(rows: Iterator[tuple[str, str | None]], languages: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, how often each occurs in each language and, last, where there is none) of (text, language) rows, whenever ``DIFFERENT_WORDS`` are met."""
+    """(buckets, how often each occurs in each language and, last, where there is none) of (text, language) rows, whenever ``DIFFERENT_WORDS`` or ``PLACES`` are met."""
     place = {lang: k for k, lang in enumerate(languages)}
-    words: defaultdict[str, Counter] = defaultdict(Counter)
+    seen, ids, n_ids = Numbers(), [[] for _ in range(len(languages) + 1)], 0
 
     def found() -> tuple[np.ndarray, np.ndarray]:
-        at = [(k, n, place.get(lang, len(languages))) for lang, own in words.items() for w, n in own.items() for k in buckets(w) if k >= 0]
-        every = np.array(at, np.int64).reshape(-1, 3)
-        kept, row = np.unique(every[:, 0], return_inverse=True)
-        seen = np.zeros((len(kept), len(languages) + 1), np.int64)
-        np.add.at(seen, (row, every[:, 2]), every[:, 1])
-        return kept, seen
+        at = buckets_of(list(seen))
+        kept, row = np.unique(at[at >= 0], return_inverse=True)
+        counts = np.zeros((len(kept), len(ids)), np.int64)
+        for k, own in enumerate(ids):
+            if own:
+                n = np.bincount(np.concatenate(own), minlength=len(seen) + 1)[1:]
+                counts[:, k] = np.bincount(row, np.repeat(n, ROWS)[at.ravel() >= 0], len(kept))
+        return kept, counts
 
     for text, lang in rows:
-        words[lang or ""].update(WORD.findall(text.lower()))
-        if sum(map(len, words.values())) > DIFFERENT_WORDS:
+        own = np.array([seen[w] for w in WORD.findall(text.lower())], np.int32)
+        ids[place.get(lang, len(languages))].append(own)
+        n_ids += len(own)
+        if len(seen) > DIFFERENT_WORDS or n_ids > PLACES:
             yield found()
-            words.clear()
+            seen, ids, n_ids = Numbers(), [[] for _ in ids], 0
     yield found()
 
 

@@ -293,3 +293,12 @@ def test_toxicity_without_both_labels_learns_nothing(spark, documents, odd):
     both = labels.unionByName(labels.withColumn("toxic", F.lit(1)))
     got = toxicity.score(docs, toxicity.fit(docs, both)).collect()
     assert len(got) == len(odd) and all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_buckets_of_many_words_are_those_of_each():
+    rng = random.Random(8)
+    words = ["a", "abc", "abcd", "é", "éàü", "éàüß", "漢字漢字", "🙂🙂🙂🙂", "\ud800abc", "x" * 31, "x" * 32, "x" * 33, "é" * 16, "é" * 17, "x" * 70_000]
+    words += ["".join(rng.choice("abé漢🙂0_") for _ in range(rng.randrange(1, 14))) for _ in range(500)]
+    got = toxicity.buckets_of(words)
+    assert got.tolist() == [toxicity.buckets(w) for w in words]
+    assert toxicity.buckets_of([]).shape == (0, toxicity.ROWS)
