@@ -66,6 +66,22 @@ def kneser_ney(pairs: DataFrame, discount: float = 0.75) -> DataFrame:
     return counted.join(before, "prev").join(after, "tok").select("prev", "tok", (-F.ln(p)).alias("loss"))
 
 
+def kneser_ney_losses(pairs: DataFrame, *by: str, discount: float = 0.75) -> DataFrame:
+    """(by, total_loss, n_tokens) of counted pairs (by, prev, tok, n) under the model that :func:`kneser_ney` makes of them.
+
+    Pairs are dealt twice, by the token before and by the token; what the model needs is summed where they lie, so it is never joined with them.
+    """
+    pair, before = W.partitionBy("prev", "tok"), W.partitionBy("prev")
+    dealt = pairs.repartition("prev").withColumn("first", (F.row_number().over(pair.orderBy(*by or ("n",))) == 1).cast("bigint"))
+    dealt = dealt.select(*by, "tok", "first", F.col("n").alias("own"), F.sum("n").over(pair).alias("n"), F.sum("n").over(before).alias("m"), F.sum("first").over(before).alias("kinds"))
+    dealt = materialize(dealt, "pairs")
+    n_kinds = dealt.agg(F.sum("first")).first()[0]
+    follows = F.sum("first").over(W.partitionBy("tok"))
+    p = (F.col("n") - discount) / F.col("m") + discount * F.col("kinds") / F.col("m") * follows / F.lit(float(n_kinds or 1))
+    lost = dealt.select(*by, "own", (-F.ln(p)).alias("loss"))
+    return lost.groupBy(*by).agg(F.sum(F.col("own") * F.col("loss")).alias("total_loss"), F.sum("own").alias("n_tokens"))
+
+
 def pair_losses(pairs: DataFrame, model: DataFrame, *by: str) -> DataFrame:
     """(by, total_loss, n_tokens) of counted pairs under a model (prev, tok, loss); no token is a row of its own here."""
     met = pairs.join(model, ["prev", "tok"])

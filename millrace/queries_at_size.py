@@ -215,6 +215,6 @@ SELECT source, count(*) AS n_tokens, round(sum(loss) / count(*), 6) AS loss FROM
 )
 def evl_kneser_ney(spark: SparkSession, d: str) -> DataFrame:
     """Loss of the pieces of all texts under a Kneser-Ney model of the corpus, by source and overall."""
-    pairs = materialize(evaluation.token_pairs(docs(spark, d), tokenizer.pieces(F.coalesce("text", F.lit(""))), "source"), "source-pairs")
-    lost = evaluation.pair_losses(pairs, evaluation.kneser_ney(pairs), "source").withColumn("n_chars", F.lit(0)).withColumn("n_documents", F.lit(0))
+    pairs = evaluation.token_pairs(docs(spark, d, "text", "source"), tokenizer.pieces(F.coalesce("text", F.lit(""))), "source")
+    lost = evaluation.kneser_ney_losses(pairs, "source").withColumn("n_chars", F.lit(0)).withColumn("n_documents", F.lit(0))
     return evaluation.scores(lost, "source").select("source", F.col("n_tokens").cast("bigint").alias("n_tokens"), F.round("loss", 6).alias("loss"))
