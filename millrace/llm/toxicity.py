@@ -36,9 +36,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.plans.storage import remove
+
 from . import common
 
 WORD = re.compile(r"\w+")
@@ -60,6 +63,7 @@ SHRINK = 12
 BLOCK_ROWS = 16_000  # about so many rows, or bytes of text, are learned from by one task between two averages
 BLOCK_BYTES = 64 << 20
 ROUNDS = 4
+LABELS_ABROAD = 500_000  # most labels that go to every executor to be joined; more are shuffled with the texts
 FIXED = 1 << 20  # changes are summed in units of 1 / FIXED
 GRID = 1024
 DIFFERENT_WORDS = 100_000  # that a task counts before it hands its counts on
@@ -392,30 +396,67 @@ def _calibrate(model: Model, z: np.ndarray, lang: np.ndarray, y: np.ndarray, n:
             model.shifts[k] += share * (_threshold(z[own], y[own], weight[own]) - model.shifts[k])
 
 
+def _known(labels: DataFrame) -> DataFrame:
+    """(doc_id, marks) of the ids that may be learned from, those whose crc32 is not divisible by 5; marks are 1 for label 0, 2 for label 1, 3 for both."""
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (common.id_crc() % 5 != 0))
+    return common.materialize(known.groupBy("doc_id").agg(F.bit_or(F.col("label") + 1).alias("marks")), "toxic-labels")
+
+
+def _each_label() -> Column:
+    """A row for each label of ``marks``."""
+    return F.explode(F.expr("filter(array(0, 1), label -> (marks & (label + 1)) > 0)")).alias("label")
+
+
+def _drawn(df: DataFrame) -> DataFrame:
+    """With ``draw``, a hash of the id, and ``calibrates``."""
+    hashed = lambda use: F.xxhash64(F.col("doc_id").cast("string"), F.lit(use))
+    return df.withColumns({"calibrates": F.pmod(hashed("calibrates"), F.lit(CALIBRATION)) == 0, "draw": hashed("block")})
+
+
+def _dealt(docs: DataFrame, known: DataFrame, n_known: int, block: Column, parts: int) -> DataFrame:
+    """(block, label, text, lang, calibrates, draw) of the rows of ``known``, once for each id and label, in the order of block and draw.
+
+    Texts are shuffled once, by block. An id lies in one block: of its rows the smallest text is taken there. If there are too many labels
+    for a broadcast, they are dealt with the texts, as rows before those of their id.
+    """
+    met = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null")
+    order = ["block", "draw", "doc_id"]
+    if n_known <= LABELS_ABROAD:
+        met = _drawn(met.join(F.broadcast(known), "doc_id")).withColumn("block", block).repartition(parts, "block").sortWithinPartitions(*order, "text", "lang")
+        met = met.withColumn("nth", F.row_number().over(W.partitionBy(*order).orderBy("text", "lang"))).where("nth = 1")
+    else:
+        known = known.select(F.col("doc_id").cast(met.schema["doc_id"].dataType), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("lang"), F.col("marks").alias("before"))
+        met = met.where(F.col("doc_id").isNotNull() & (common.id_crc() % 5 != 0)).withColumn("before", F.lit(None).cast("int"))
+        met = _drawn(met.unionByName(known)).withColumn("block", block).repartition(parts, "block").sortWithinPartitions(*order, "text", "lang")
+        met = met.withColumn("marks", F.lag("before").over(W.partitionBy(*order).orderBy("text", "lang"))).where("marks is not null")
+    return met.select("block", _each_label(), "text", "lang", "calibrates", "draw")
+
+
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, text, lang, calibrates, draw) of every labelled document that may be learned from, once for each of its labels; ``draw`` is a hash of the id.
 
     Only rows whose crc32 of the id is not divisible by 5 are learned from. Of an id's rows the smallest text counts.
     """
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (common.id_crc() % 5 != 0)).distinct()
-    known = common.materialize(known, "toxic-labels")
-    met = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null")
-    met = met.join(common.small(known, known.count()), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("text", "lang")).alias("d"))
-    hashed = lambda use: F.xxhash64(F.col("doc_id").cast("string"), F.lit(use))
-    return met.select("label", "d.text", "d.lang", (F.pmod(hashed("calibrates"), F.lit(CALIBRATION)) == 0).alias("calibrates"), hashed("block").alias("draw"))
+    known = _known(labels)
+    return _dealt(docs, known, known.count(), F.pmod("draw", F.lit(64)), 64).drop("block")
 
 
 def fit(docs: DataFrame, labels: DataFrame, block_rows: int = BLOCK_ROWS, rounds: int = ROUNDS, seed: int = 11) -> Model:
     """A model of every labelled row: its words, its steps and its thresholds come from all of them (see above)."""
     spark = docs.sparkSession
-    rows = common.materialize(labelled(docs, labels), "toxic-rows")
-    training = rows.where("not calibrates")
-    sizes = {r["label"]: (r["n"], r["b"]) for r in training.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()}  # two rows
+    known = _known(labels)
+    n_known = known.count()
+    lengths = docs.select("doc_id", F.octet_length(F.col("text").cast("string")).alias("b")).where("b is not null")
+    lengths = _drawn(lengths.join(common.small(known, n_known, LABELS_ABROAD), "doc_id").groupBy("doc_id", "marks").agg(F.max("b").alias("b")))
+    sizes = {r["label"]: (r["n"], r["b"]) for r in lengths.where("not calibrates").select(_each_label(), "b").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).collect()}  # two rows
     if len(sizes) < 2:
+        remove(spark, known.table_path)
         return untrained(np.zeros(0, np.int64), seed)
     n_blocks = max(-(-sum(n for n, _ in sizes.values()) // block_rows), -(-sum(b for _, b in sizes.values()) // BLOCK_BYTES), 1)
-    blocks = training.select(F.pmod("draw", F.lit(n_blocks)).alias("block"), "draw", "label", "text", "lang").repartition(4 * n_blocks, "block").sortWithinPartitions("block", "draw", "label", "text")
-    blocks = common.materialize(blocks.select("block", "label", "text", "lang"), "toxic-blocks")
+    # Calibrating rows go to smaller blocks of their own, behind the others.
+    block = F.when(F.col("calibrates"), n_blocks + F.pmod("draw", F.lit(3 * n_blocks))).otherwise(F.pmod("draw", F.lit(n_blocks)))
+    rows = common.materialize(_dealt(docs, known, n_known, block, 4 * n_blocks).select("block", "label", "text", "lang"), "toxic-blocks", compression="zstd")
+    blocks = rows.where(F.col("block") < n_blocks)
     languages = sorted(r[0] for r in blocks.where("lang <> ''").select("lang").distinct().collect())
     kept, seen = _counted(blocks, languages)
     model = untrained(kept, seed)
@@ -423,7 +464,9 @@ def fit(docs: DataFrame, labels: DataFrame, block_rows: int = BLOCK_ROWS, rounds
     for k in range(rounds if n_blocks > 1 else 1):
         _averaged(spark, blocks, model, k, rounds if n_blocks > 1 else 1, seed)
     _languages(model, languages, seen)
-    _calibrate(model, *_logit_counts(rows.where("calibrates"), model))
+    _calibrate(model, *_logit_counts(rows.where(F.col("block") >= n_blocks), model))
+    for done in (rows, known):
+        remove(spark, done.table_path)
     return model
 
 
@@ -494,7 +537,7 @@ def _averaged(spark: SparkSession, blocks: DataFrame, model: Model, part: int, p
     dense[row[row < 0] + len(dense)] += d[row < 0]
     _set_dense(model, dense)
     model.embeddings[row[row >= 0]] += d[row >= 0]
-    shared.unpersist()
+    shared.destroy()  # its file at the driver too, which unpersist() leaves
 
 
 def _logit_counts(rows: DataFrame, model: Model) -> tuple[np.ndarray, ...]:
@@ -509,6 +552,7 @@ def _logit_counts(rows: DataFrame, model: Model) -> tuple[np.ndarray, ...]:
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(shared.value.guessed(b).astype(np.int32)), r.column(1).slice(a, 256)], ["z", "lang", "y"])
 
     found = rows.select("text", "label").mapInArrow(run, "z int, lang int, y int").groupBy("z", "lang", "y").agg(F.count(F.lit(1)).alias("n")).toArrow()  # GRID and the languages bound it
+    shared.destroy()
     n = found["n"].to_numpy().astype(np.float64)
     return found["z"].to_numpy() / GRID, found["lang"].to_numpy(), found["y"].to_numpy(), n, n
 

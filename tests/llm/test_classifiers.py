@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -272,6 +273,36 @@ def test_toxicity_is_learned_from_every_labelled_row(spark, documents):
     assert seen[1, 1] / (seen[1, 0] + seen[1, 1]) > 0.9 and seen[0, 1] / (seen[0, 0] + seen[0, 1]) < 0.05
 
 
+def test_toxicity_deals_texts_once_and_leaves_nothing_on_disk(spark, documents, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, prose(rng, lang := rng.choice(list(SYLLABLES)), 6) + (" " + insult(rng, lang) if i % 4 == 0 else ""), lang) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id bigint, toxic int")
+    dealt, materialize = [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, *tag, **options: ("text" in df.columns and dealt.append(df._jdf.queryExecution().executedPlan().toString())) or materialize(df, *tag, **options))
+    files = lambda: {p for d in (common.shared_dir(spark), spark.sparkContext._temp_dir) for p in Path(d).iterdir()}
+    before = files()
+    model = toxicity.fit(documents(rows), labels, block_rows=300)
+    assert model.learned and [p.count("Exchange hashpartitioning") for p in dealt] == [1]
+    assert files() <= before
+
+
+def test_toxicity_learns_from_the_same_rows_whether_labels_are_broadcast_or_dealt(spark, documents, odd, monkeypatch):
+    rows = [(i, f"wort{i} und {k}", "de") for i in range(40) for k in range(1 + 9 * (i == 7))] + odd + [(12, "wort12 und 0", None)]
+    docs = documents(rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(None, 1), (7, 0)], "doc_id bigint, toxic int")
+    want = Counter()
+    for i, y in {(i, i % 2) for i in range(200)} | {(7, 0)}:
+        texts = sorted(((t, g) for j, t, g in [(*r, "en")[:3] for r in rows] if j == i and t is not None), key=lambda r: (r[0], r[1] or ""))
+        if texts and not held(i, 5, 0):
+            want[y, *texts[0]] += 1
+    known, dealt = toxicity._known(labels), []
+    for limit in (10**6, 0):
+        monkeypatch.setattr(toxicity, "LABELS_ABROAD", limit)
+        dealt.append([tuple(r) for r in toxicity._dealt(docs, known, known.count(), F.pmod("draw", F.lit(3)), 12).collect()])
+        assert Counter(r[1:4] for r in dealt[-1]) == want
+    assert dealt[0] == dealt[1] and len({r[0] for r in dealt[0]}) == 3  # in the same order too
+
+
 def test_toxicity_steps_go_over_every_row(monkeypatch):
     monkeypatch.setattr(toxicity, "STEPS", 4)
     met, texts = Counter(), [f"wort{i}" for i in range(300)]
