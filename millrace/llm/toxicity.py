@@ -6,7 +6,7 @@ each filter's largest response in the whole text is kept, and a logistic unit on
 In training a part (``DROPOUT``) of the rows is left out at random, so that
 no score hangs on a single row. Every bucket that the rows learned from use has an embedding, however rare it is.
 
-:func:`fit` learns from every labelled row. Spark deals the rows to blocks of about ``BLOCK_ROWS`` by a hash of their ids; in each of ``ROUNDS`` rounds
+:func:`fit` learns from every labelled row. Spark deals the rows to blocks of about ``BLOCK_ROWS`` by a hash of their ids, the one shuffle of texts; in each of ``ROUNDS`` rounds
 every block takes its share of the steps from the common model, in numpy with Adam, and Spark averages what the blocks
 have changed (a row of the table over the blocks that moved it). Over the rounds a block goes over all of its rows at least once.
 Changes are summed as whole numbers, so reruns agree. The driver gets the averages, at most ``BUCKETS`` rows however many documents there are.
